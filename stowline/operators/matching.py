@@ -58,11 +58,20 @@ def prefix_join(rows: DataFrame, text: str, keys: DataFrame, key: str) -> DataFr
     return skew.checked_join(fanned, keyed, ["_head"], small_fits=_fits(facts)).drop("_head")
 
 
+ANCHOR_LENGTHS = (1, 2, 4, 8, 16, 32, 64)
+
+
+def _rung(length: Column) -> Column:
+    """The largest anchor length that is not above ``length``."""
+    return F.array_max(F.filter(F.array(*[F.lit(n) for n in ANCHOR_LENGTHS]), lambda n: n <= length))
+
+
 def with_glob_anchor(names: DataFrame, name: str = "name") -> DataFrame:
     """Glob names plus their regex and the literal text used as equality key.
 
     The key is the literal part after the last wildcard (``tail``) or before the first one (``head``),
-    whichever is longer; a pattern with neither is ``any`` and matches on the empty key.
+    whichever is longer, cut down to one of a few lengths so that texts are fanned out to few pieces; a
+    pattern with neither is ``any`` and matches on the empty key.
     """
     head = F.regexp_extract(name, r"^([^*?\[]*)", 1)
     tail = F.regexp_extract(name, r"([^*?\]]*)$", 1)
@@ -71,7 +80,12 @@ def with_glob_anchor(names: DataFrame, name: str = "name") -> DataFrame:
         .when(F.length(tail) >= F.length(head), F.lit("tail"))
         .otherwise(F.lit("head"))
     )
-    key = F.when(kind == "tail", tail).when(kind == "head", head).otherwise(F.lit(""))
+    keep_tail, keep_head = _rung(F.length(tail)), _rung(F.length(head))
+    key = (
+        F.when(kind == "tail", F.substr(tail, F.length(tail) - keep_tail + 1, keep_tail))
+        .when(kind == "head", F.substr(head, F.lit(1), keep_head))
+        .otherwise(F.lit(""))
+    )
     regex = F.concat(F.lit(r"(?s)^.*/"), P.glob_regex(name), F.lit(r"\z"))
     return names.select("*", regex.alias("_regex"), kind.alias("_kind"), key.alias("_key"))
 
