@@ -278,17 +278,17 @@ def reference_prefix_names(builds: DataFrame) -> DataFrame:
 def fill_references(leaves: DataFrame, matches: DataFrame, candidate: Column) -> DataFrame:
     """Replace candidate leaf values by what they resolve to.
 
-    ``leaves`` is a leaf table (``rec_id, ctx, pos, kind, value``), ``matches`` is ``(name, ord, uri)``.
-    A value with several matches becomes a list: its leaf turns into one leaf per match, ``pos`` extended
-    by the match order. Values without a match stay as they are.
+    ``leaves`` is a leaf table ``(rec_id, path, kind, value)``, ``matches`` is ``(name, ord, uri)``. A value
+    with several matches becomes a list: its leaf turns into one leaf per match, one list step longer and
+    in match order. Values without a match stay as they are.
     """
     counts = matches.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
     found = matches.select("name", F.col("ord").alias("_ord"), F.col("uri").alias("_uri")).join(counts, "name")
     keyed = leaves.withColumn("name", F.when(candidate, F.col("value")))
     filled = keyed.join(found, "name", "left")
+    item = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("_ord").cast("long").alias("idx")))
     return filled.select(
-        "rec_id", "ctx",
-        F.when(F.col("_n") > 1, F.concat("pos", F.array(F.col("_ord").cast("long")))).otherwise(F.col("pos")).alias("pos"),
+        "rec_id", F.when(F.col("_n") > 1, F.concat("path", item)).otherwise(F.col("path")).alias("path"),
         "kind", F.coalesce("_uri", "value").alias("value"), F.col("_uri").isNotNull().alias("filled"),
     )
 

@@ -34,7 +34,8 @@ keyed_listing AS (SELECT k AS ord, 'p' || (k % 2) AS project, 'f' || k AS file_i
 keyed AS (SELECT max(ord) AS ord, arg_max(project, ord) AS project, arg_max(file_id, ord) AS file_id, path
     FROM keyed_listing GROUP BY path)
 """
-LISTING = PARTS + """,
+LISTING_ONLY = """
 listing AS (SELECT DISTINCT CASE k % 4 WHEN 0 THEN '/data/ref' WHEN 1 THEN '/data/in0' WHEN 2 THEN '/data/in1'
     ELSE '/data/ref' END || '/' || path AS path FROM parts)
 """
+LISTING = PARTS + "," + LISTING_ONLY
