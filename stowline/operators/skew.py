@@ -110,27 +110,20 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, points: dict[s
                     group_rows: int | None = None) -> DataFrame:
     """Exact interpolated quantiles per group, whatever the group size.
 
-    Equal values are first merged into (value, count), which already bounds groups of coded values. Then
-    groups with at most ``group_rows`` distinct values are finished by ``percentile``; when a larger one
-    exists, the rows at the wanted ranks are picked out of a skew-safe running count instead.
+    Groups up to ``group_rows`` rows (counted first) are finished by ``percentile`` over merged equal
+    values. When a larger group exists, rows get a skew-safe rank and those at the wanted ranks are kept.
     """
     group_rows = GROUP_ROWS if group_rows is None else group_rows
     by = list(by)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    top = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if top <= group_rows:
-        return counts.groupBy(*by).agg(
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= group_rows:
+        merged = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        return merged.groupBy(*by).agg(
             *[F.percentile("_v", F.lit(q), F.col("_c")).alias(n) for n, q in points.items()]
         )
-    rows = number_in_group(
-        df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")),
-        by, ["_v"], "_rank", group_rows)
-    total = counts.groupBy(*by).agg((F.sum("_c") - 1).cast("double").alias("_last"))
-    ranked = rows.join(total, by)
+    ranked = number_in_group(rows, by, ["_v"], "_rank", group_rows).join(
+        sizes.select(*by, (F.col("_n") - 1).cast("double").alias("_last")), by)
     out = []
     for n, q in points.items():
         spot = F.col("_last") * F.lit(q)

@@ -94,8 +94,15 @@ def scan_raw_metrics(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_series(series: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Persist a metric series by host and day, so that run windows prune folders."""
-    series.withColumn("day", F.to_date("ts")).write.mode(mode).partitionBy("day", "host").parquet(path)
+    """Persist a metric series in day folders, so that run windows prune folders.
+
+    Rows are range-partitioned and sorted by day, host and time: a file holds a narrow range of hosts,
+    which its statistics prune, and a busy host is spread over several files. Host folders would mean
+    hosts × days tiny files.
+    """
+    order = ["day", "host", "ts"]
+    dated = series.withColumn("day", F.to_date("ts"))
+    dated.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("day").parquet(path)
 
 
 def ready_path(sheet: str) -> str:
