@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,25 +27,31 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Functions nest, and an argument that is used twice doubles the expression at every level. So each of
+# them mentions its argument once: by one regex, or by binding it to a lambda variable.
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def basename(path: Column | str) -> Column:
     return F.substring_index(_col(path), "/", -1)
 
 
 def dirname(path: Column | str) -> Column:
     """Parent folder: no trailing slash unless the parent is the root itself."""
-    head = F.regexp_replace(_col(path), r"[^/]*$", "")
-    return F.when(head.rlike(r"^/*$"), head).otherwise(F.regexp_replace(head, r"/+$", ""))
+    return F.regexp_extract(_col(path), r"(?s)^(/+(?=[^/]*$)|.*[^/](?=/+[^/]*$))?", 1)
 
 
 def extension(path: Column | str) -> Column:
     """Last extension with its dot; leading dots of a hidden file do not start one."""
-    return F.regexp_extract(basename(path), r"^\.*[^.].*?(\.[^.]*)$", 1)
+    return F.regexp_extract(_col(path), r"(?:^|/)\.*[^./][^/]*?(\.[^./]*)$", 1)
 
 
 def without_extension(path: Column | str) -> Column:
     """Path minus its last extension (see :func:`extension`)."""
-    path = _col(path)
-    return F.substr(path, F.lit(1), F.length(path) - F.length(extension(path)))
+    return F.regexp_replace(_col(path), r"(?s)^((?:.*/)?\.*[^./][^/]*?)\.[^./]*$", "$1")
 
 
 def without_full_extension(path: Column | str) -> Column:
@@ -53,21 +61,22 @@ def without_full_extension(path: Column | str) -> Column:
 
 def join_path(folder: Column | str, name: Column | str) -> Column:
     """Join a folder and a name; an absolute name replaces the folder."""
-    folder, name = _col(folder), _col(name)
-    glue = F.when(folder.endswith("/") | (folder == ""), F.lit("")).otherwise(F.lit("/"))
-    return F.when(name.startswith("/"), name).otherwise(F.concat(folder, glue, name))
+    marked = F.concat(_col(folder), F.lit("\0"), _col(name))
+    # Drop the folder before an absolute name, and the joint after a slash or an empty folder.
+    joined = F.regexp_replace(marked, "(?s)^.*\0(?=/)|(?<=/)\0|^\0", "")
+    return F.replace(joined, F.lit("\0"), F.lit("/"))
 
 
 def normalize(path: Column | str) -> Column:
     """Collapse empty, ``.`` and ``..`` components of a path."""
-    path = _col(path)
-    lead = (
-        F.when(path.rlike(r"^//(?!/)"), F.lit("//")).when(path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
-    )
+    return _with(_col(path), _normalized)
+
+
+def _normalized(path: Column) -> Column:
+    lead = F.regexp_extract(path, r"^(//(?!/)|/)?", 1)
     steps = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
     folded = F.aggregate(steps, F.array().cast("array<string>"), lambda done, step: _walk(done, step, path))
-    out = F.concat(lead, F.array_join(folded, "/"))
-    return F.when(out == "", F.lit(".")).otherwise(out)
+    return F.coalesce(F.nullif(F.concat(lead, F.array_join(folded, "/")), F.lit("")), F.lit("."))
 
 
 def _walk(done: Column, step: Column, path: Column) -> Column:
@@ -83,12 +92,16 @@ def _walk(done: Column, step: Column, path: Column) -> Column:
 
 
 def normalize_remote(uri: Column | str) -> Column:
-    """Normalise a path but keep the ``scheme://`` of a remote name."""
-    uri = _col(uri)
-    has_scheme = F.instr(uri, "://") > 1
-    scheme = F.substring_index(uri, ":/", 1)
-    rest = F.substr(uri, F.length(scheme) + 3)
-    return F.when(has_scheme, F.concat(scheme, F.lit(":/"), normalize(rest))).otherwise(normalize(uri))
+    """Normalise a path but keep the ``scheme:/`` of a remote ``scheme://…`` name."""
+    def parts(u: Column) -> Column:
+        cut = F.when(F.instr(u, "://") > 1, F.instr(u, ":/") + 1).otherwise(F.lit(0))
+        return F.struct(u.alias("u"), cut.alias("cut"))
+
+    def join(p: Column) -> Column:
+        rest = normalize(F.substr(p["u"], p["cut"] + 1))
+        return F.concat(F.substr(p["u"], F.lit(1), p["cut"]), rest)
+
+    return _with(_with(_col(uri), parts), join)
 
 
 def is_remote(name: Column | str, platform: Column | str) -> Column:
@@ -106,13 +119,12 @@ def is_sample_file(name: Column | str) -> Column:
 
 def object_id(uri: Column | str, platform: Column | str) -> Column:
     """Id part of ``scheme:id/path``."""
-    return F.substring_index(_body(uri, platform), "/", 1)
+    return F.regexp_extract(_body(uri, platform), "^[^/]*", 0)
 
 
 def object_path(uri: Column | str, platform: Column | str) -> Column:
     """Path part of ``scheme:id/path``; the whole body when it holds no slash."""
-    body = _body(uri, platform)
-    return F.when(F.instr(body, "/") > 0, F.substr(body, F.instr(body, "/") + 1)).otherwise(body)
+    return F.regexp_replace(_body(uri, platform), "^[^/]*/", "")
 
 
 def _body(uri: Column | str, platform: Column | str) -> Column:
@@ -120,8 +132,7 @@ def _body(uri: Column | str, platform: Column | str) -> Column:
     return (
         F.when(platform == "keep", F.replace(uri, F.lit("keep:"), F.lit("")))
         .when(platform == "sbg", F.substring_index(uri, ":", -1))
-        .when(F.instr(uri, ":") > 0, F.substr(uri, F.instr(uri, ":") + 1))
-        .otherwise(uri)
+        .otherwise(F.regexp_replace(uri, "^[^:]*:", ""))
     )
 
 

@@ -164,10 +164,10 @@ def d9(t):
 
 
 @query("s2_live_usage", f"""
-WITH {METRICS}
-SELECT host, metric, date_trunc('hour', ts)::TIMESTAMP AS start, (date_trunc('hour', ts) + INTERVAL 1 HOUR)::TIMESTAMP AS "end", count(value) AS n,
-    min(value) AS lowest, round(avg(value) + 1e-9, 4) AS mean, max(value) AS highest FROM metrics GROUP BY ALL
-HAVING "end" <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM metrics)
+WITH {METRICS}, u AS (SELECT host, metric, date_trunc('hour', ts)::TIMESTAMP AS start, count(value) AS n, min(value) AS lowest,
+    round(avg(value) + 1e-9, 4) AS mean, max(value) AS highest FROM metrics GROUP BY 1, 2, 3)
+SELECT *, (start + INTERVAL 1 HOUR)::TIMESTAMP AS "end" FROM u
+WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM metrics)
 """)
 def s2(t):
     out = _scratch(t.spark)
