@@ -66,8 +66,8 @@ def _rung(length: Column) -> Column:
     return F.array_max(F.filter(F.array(*[F.lit(n) for n in ANCHOR_LENGTHS]), lambda n: n <= length))
 
 
-def with_glob_anchor(names: DataFrame, name: str = "name") -> DataFrame:
-    """Glob names plus their regex and the literal text used as equality key.
+def _glob_anchor(name: Column) -> Column:
+    """Literal text of a glob that its matches must show, as struct(kind, key).
 
     The key is the literal part after the last wildcard (``tail``) or before the first one (``head``),
     whichever is longer, cut down to one of a few lengths so that texts are fanned out to few pieces; a
@@ -75,61 +75,57 @@ def with_glob_anchor(names: DataFrame, name: str = "name") -> DataFrame:
     """
     head = F.regexp_extract(name, r"^([^*?\[]*)", 1)
     tail = F.regexp_extract(name, r"([^*?\]]*)$", 1)
-    kind = (
-        F.when((F.length(tail) == 0) & (F.length(head) == 0), F.lit("any"))
-        .when(F.length(tail) >= F.length(head), F.lit("tail"))
-        .otherwise(F.lit("head"))
-    )
     keep_tail, keep_head = _rung(F.length(tail)), _rung(F.length(head))
-    key = (
-        F.when(kind == "tail", F.substr(tail, F.length(tail) - keep_tail + 1, keep_tail))
-        .when(kind == "head", F.substr(head, F.lit(1), keep_head))
-        .otherwise(F.lit(""))
+    return (
+        F.when((F.length(tail) == 0) & (F.length(head) == 0), _piece("any", F.lit("")))
+        .when(F.length(tail) >= F.length(head), _piece("tail", F.substr(tail, F.length(tail) - keep_tail + 1, keep_tail)))
+        .otherwise(_piece("head", F.substr(head, F.lit(1), keep_head)))
     )
-    regex = F.concat(F.lit(r"(?s)^.*/"), P.glob_regex(name), F.lit(r"\z"))
-    return names.select("*", regex.alias("_regex"), kind.alias("_kind"), key.alias("_key"))
 
 
-def glob_join(rows: DataFrame, text: str, names: DataFrame, name: str = "name") -> DataFrame:
-    """Pairs where ``text`` matches the glob ``*/name``; names without ``*`` never match."""
-    globs = with_glob_anchor(names.filter(F.col(name).contains("*")), name)
+def _piece(kind: str, key: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+
+
+def name_join(rows: DataFrame, text: str, names: DataFrame, name: str = "name") -> DataFrame:
+    """Pairs where ``text`` equals ``name``, ends with ``/name``, or matches the glob ``*/name``.
+
+    Only names that hold a ``*`` are globs. Names must be distinct; every pair comes once. All three
+    rules share one pass over ``rows``: a name asks for its literal text and, if it is a glob, for its
+    anchor; a text offers its tails and the pieces of the anchor lengths in use.
+    """
+    col, is_glob = F.col(text), F.col(name).contains("*")
+    regex = F.concat(F.lit(r"(?s)^.*/"), P.glob_regex(name), F.lit(r"\z"))
+    asks = F.filter(
+        F.array(_piece("name", F.col(name)), F.when(is_glob, _glob_anchor(F.col(name)))), lambda p: p.isNotNull())
+    keyed = names.select("*", F.explode(asks).alias("_p"), F.when(is_glob, regex).alias("_regex")).select(
+        "*", F.col("_p.kind").alias("_kind"), F.col("_p.key").alias("_key")).drop("_p")
+    literal = F.col("_kind") == "name"
     facts = _facts(
-        globs, "_key", F.collect_set(F.struct(F.col("_kind").alias("k"), F.length("_key").alias("n"))).alias("anchors")
-    )
-    tails = sorted(a["n"] for a in facts["anchors"] if a["k"] == "tail")
-    heads = sorted(a["n"] for a in facts["anchors"] if a["k"] == "head")
-    col = F.col(text)
-    pieces = []
-    if any(a["k"] == "any" for a in facts["anchors"]):
-        pieces.append(F.array(_piece("any", F.lit(""))))
-    if tails:
-        fits = F.filter(F.array(*[F.lit(n) for n in tails]), lambda n: n <= F.length(col))
-        pieces.append(F.transform(fits, lambda n: _piece("tail", F.substr(col, F.length(col) - n + 1, n))))
-    if heads:
+        keyed, "_key",
+        F.collect_set(F.when(literal, F.size(F.split("_key", "/")))).alias("depths"),
+        F.collect_set(F.when(~literal, F.struct(F.col("_kind").alias("k"), F.length("_key").alias("n")))).alias("anchors"))
+    depths = sorted(facts["depths"])
+    if not depths:
+        return rows.join(names, F.lit(False))
+    lengths = lambda kind: sorted(a["n"] for a in facts["anchors"] if a["k"] == kind)
+    offers = [F.transform(_tails(col, depths), lambda x: _piece("name", x))]
+    if lengths("any"):
+        offers.append(F.array(_piece("any", F.lit(""))))
+    if lengths("tail"):
+        fits = F.filter(F.array(*[F.lit(n) for n in lengths("tail")]), lambda n: n <= F.length(col))
+        offers.append(F.transform(fits, lambda n: _piece("tail", F.substr(col, F.length(col) - n + 1, n))))
+    if lengths("head"):
         # What a pattern may begin with: the text after each slash, cut to every head length in use.
         starts = F.transform(
-            F.sequence(F.lit(1), F.size(F.split(col, "/")) - 1),
-            lambda d: F.substr(col, F.length(F.array_join(F.slice(F.split(col, "/"), F.lit(1), d), "/")) + 2),
-        )
-        starts = F.when(F.instr(col, "/") > 0, starts).otherwise(F.array().cast("array<string>"))
-        cut = F.flatten(
-            F.transform(
-                starts,
-                lambda s: F.transform(
-                    F.filter(F.array(*[F.lit(n) for n in heads]), lambda n: n <= F.length(s)),
-                    lambda n: _piece("head", F.substr(s, F.lit(1), n)),
-                ),
-            )
-        )
-        pieces.append(F.array_distinct(cut))
-    if not pieces:
-        return rows.join(names, F.lit(False))
-    fanned = rows.withColumn("_piece", F.explode(F.concat(*pieces))).select(
-        "*", F.col("_piece.kind").alias("_kind"), F.col("_piece.key").alias("_key")
-    ).drop("_piece")
-    joined = skew.checked_join(fanned, globs, ["_kind", "_key"], small_fits=_fits(facts))
-    return joined.filter(F.expr(f"rlike(`{text}`, _regex)")).drop("_kind", "_key", "_regex")
-
-
-def _piece(kind: str, key: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+            F.sequence(F.lit(1), F.greatest(F.size(F.split(col, "/")) - 1, F.lit(1))), lambda d: F.call_function("substring_index", col, F.lit("/"), -d))
+        heads = F.array(*[F.lit(n) for n in lengths("head")])
+        cut = F.flatten(F.transform(starts, lambda s: F.transform(
+            F.filter(heads, lambda n: n <= F.length(s)), lambda n: _piece("head", F.substr(s, F.lit(1), n)))))
+        offers.append(F.array_distinct(cut))
+    fanned = rows.withColumn("_p", F.explode(F.concat(*offers))).select(
+        "*", F.col("_p.kind").alias("_kind"), F.col("_p.key").alias("_key")).drop("_p")
+    joined = skew.checked_join(fanned, keyed, ["_kind", "_key"], small_fits=_fits(facts))
+    by_name = (col == F.col(name)) | col.endswith(F.concat(F.lit("/"), F.col(name)))
+    hit = literal | (F.rlike(col, F.col("_regex")) & ~by_name)
+    return joined.filter(hit).drop("_kind", "_key", "_regex")

@@ -51,24 +51,33 @@ def changed_files(remote: DataFrame, local: DataFrame) -> DataFrame:
     return remote.join(local.select(*keys).distinct(), keys, "left_anti")
 
 
-def interval_stats(metrics: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
+def _stats() -> list[Column]:
+    return [F.count("value").alias("n"), F.min("value").alias("lowest"), F.avg("value").alias("mean"),
+            F.max("value").alias("highest")]
+
+
+def interval_stats(metrics: DataFrame, width: str = "1 hour", slide: str | None = None, *extra: Column) -> DataFrame:
     """Count, minimum, mean and maximum per host, metric and time window; works on streams too."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return (
-        metrics.groupBy(window.alias("w"), "host", "metric")
-        .agg(F.count("value").alias("n"), F.min("value").alias("lowest"), F.avg("value").alias("mean"),
-             F.max("value").alias("highest"))
-        .select("host", "metric", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "lowest", "mean",
-                "highest")
-    )
+    stats = metrics.groupBy(window.alias("w"), "host", "metric").agg(*_stats(), *extra)
+    return stats.select("host", "metric", F.col("w.start").alias("start"), F.col("w.end").alias("end"),
+                        *[c for c in stats.columns if c not in ("w", "host", "metric")])
 
 
 def usage_by_interval(metrics: DataFrame, width: str = "1 hour", group_rows: int | None = None) -> DataFrame:
-    """:func:`interval_stats` plus the exact 95th percentile."""
+    """:func:`interval_stats` plus the exact 95th percentile.
+
+    One aggregation does it while every group is known to have at most ``group_rows`` rows; beyond that
+    the percentile comes from :func:`skew.exact_quantiles`, which splits large groups.
+    """
+    group_rows = skew.GROUP_ROWS if group_rows is None else group_rows
     keys = ["host", "metric", "start"]
     marked = metrics.withColumn("start", F.window("ts", width).start)
+    largest = marked.groupBy(*keys).agg(F.count("value").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= group_rows:
+        return interval_stats(metrics, width, None, F.percentile("value", F.lit(0.95)).alias("p95"))
     p95 = skew.exact_quantiles(marked, keys, "value", {"p95": 0.95}, group_rows)
-    return interval_stats(metrics, width).join(p95, keys)
+    return interval_stats(metrics, width).join(p95, keys, "left")
 
 
 def _micros(df: DataFrame, ts: str) -> Column:

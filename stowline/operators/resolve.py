@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from stowline.functions import paths as P
 from stowline.operators import skew
-from stowline.operators.matching import glob_join, prefix_join, suffix_join
+from stowline.operators.matching import name_join, prefix_join, suffix_join
 
 
 def split_requests(requests: DataFrame, key: str = "names", sep: str | None = ";") -> DataFrame:
@@ -32,11 +32,7 @@ def find_all(catalog: DataFrame, names: DataFrame) -> DataFrame:
 
     Returns distinct names with all their rows; equal URIs listed twice stay twice.
     """
-    wanted = names.select("name").distinct()
-    literal = suffix_join(catalog, "uri", wanted)
-    is_literal = (F.col("uri") == F.col("name")) | F.col("uri").endswith(F.concat(F.lit("/"), F.col("name")))
-    globbed = glob_join(catalog, "uri", wanted).filter(~is_literal)
-    return literal.unionByName(globbed).select("name", *catalog.columns)
+    return name_join(catalog, "uri", names.select("name").distinct()).select("name", *catalog.columns)
 
 
 def resolve(catalog: DataFrame, names: DataFrame) -> DataFrame:
@@ -284,7 +280,9 @@ def fill_references(leaves: DataFrame, matches: DataFrame, candidate: Column) ->
     """
     counts = matches.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
     found = matches.select("name", F.col("ord").alias("_ord"), F.col("uri").alias("_uri")).join(counts, "name")
-    keyed = leaves.withColumn("name", F.when(candidate, F.col("value")))
+    # Leaves that ask for nothing get scattered keys that match nothing; null keys would meet in one task.
+    nothing = F.concat(F.lit("\0"), F.pmod(F.xxhash64("rec_id", "path"), F.lit(4096)).cast("string"))
+    keyed = leaves.withColumn("name", F.coalesce(F.when(candidate, F.col("value")), nothing))
     filled = keyed.join(found, "name", "left")
     item = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("_ord").cast("long").alias("idx")))
     return filled.select(
@@ -300,6 +298,14 @@ def is_candidate(value: Column | str, platform: Column, kind: Column | str = "ki
     return (kind == "string") & (P.extension(value) != "") & ~P.is_remote(value, platform)
 
 
+def candidate_names(leaves: DataFrame, platform: Column, listing: DataFrame | None = None) -> DataFrame:
+    """Distinct candidate values ``(name)``, without those that exist locally in ``listing (path)``."""
+    names = leaves.filter(is_candidate("value", platform)).select(F.col("value").alias("name")).distinct()
+    if listing is None:
+        return names
+    return names.join(listing.select(F.col("path").alias("name")), "name", "left_anti")
+
+
 def drop_existing(leaves: DataFrame, listing: DataFrame) -> DataFrame:
     """Leaves whose value is not an existing local path."""
     local = listing.select(F.col("path").alias("value")).distinct()

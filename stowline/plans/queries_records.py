@@ -8,6 +8,7 @@ from stowline.operators import records as RC
 from stowline.operators import resolve as R
 from stowline.operators import transfer as TR
 from stowline.plans import bindings as B
+from stowline.plans import lifecycle as LC
 from stowline.plans import oracle_views as V
 from stowline.plans.registry import query
 from stowline.sources import files as SF
@@ -139,11 +140,7 @@ SELECT rec_id, ctx, CASE WHEN n > 1 THEN pos || '.' || ord ELSE pos END AS pos,
 FROM cand LEFT JOIN m USING (name)
 """)
 def a17(t):
-    rows, listing = leaves(t), B.listing(t)
-    looks = R.is_candidate("value", F.lit("gs"))
-    names = R.drop_existing(rows.filter(looks), listing).select(F.col("value").alias("name")).distinct()
-    found = R.find_all(B.catalog(t).select("ord", "uri"), names)
-    return shown(R.fill_references(rows, found, looks), "filled")
+    return shown(LC.fill_records(leaves(t), B.catalog(t).select("ord", "uri"), B.listing(t), "gs"), "filled")
 
 
 @query("a9_path_candidates", f"""
