@@ -129,6 +129,6 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, points: dict[s
         spot = F.col("_last") * F.lit(q)
         low = F.max(F.when(F.col("_rank") == F.floor(spot), F.col("_v")))
         high = F.max(F.when(F.col("_rank") == F.ceil(spot), F.col("_v")))
-        part = F.max(spot - F.floor(spot))
-        out.append((low + (high - low) * part).alias(n))
+        below, above = F.max(F.ceil(spot) - spot), F.max(spot - F.floor(spot))
+        out.append(F.when(F.max(F.ceil(spot)) == F.max(F.floor(spot)), low).otherwise(low * below + high * above).alias(n))
     return ranked.groupBy(*by).agg(*out)
