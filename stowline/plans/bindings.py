@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowline.sources.inventory import spread
+
 
 class Tables:
-    """Lazily opened parquet tables of one data folder."""
+    """Lazily opened parquet tables of one data folder; ``wide_<name>`` is spread over all cores."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("wide_"):
+            df = spread(getattr(self, name.removeprefix("wide_")))
+            setattr(self, name, df)
+            return df
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         setattr(self, name, df)
         return df
@@ -40,9 +46,9 @@ def _k(mod: int) -> Column:
     return F.col("p_partkey") % mod
 
 
-def parts(t: Tables) -> DataFrame:
+def parts(t: Tables, wide: bool = False) -> DataFrame:
     """Part rows with the pieces the other bindings are made of."""
-    return t.part.select(
+    return (t.wide_part if wide else t.part).select(
         F.col("p_partkey").alias("k"), _kind().alias("kind"), F.col("p_brand").alias("brand"),
         _base().alias("base"), _folder().alias("folder"), _path().alias("path"),
         F.col("p_size").cast("long").alias("psize"), F.col("p_name").alias("pname"),
@@ -51,7 +57,7 @@ def parts(t: Tables) -> DataFrame:
 
 def catalog(t: Tables) -> DataFrame:
     """``(ord, uri, size)``: an object-store listing with repeated names."""
-    return t.part.select(
+    return t.wide_part.select(
         F.col("p_partkey").alias("ord"),
         F.concat(F.lit("gs://b"), _k(3).cast("string"), F.lit("/"), _path()).alias("uri"),
         (F.col("p_size").cast("long") * 1048576).alias("size"),

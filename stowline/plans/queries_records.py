@@ -55,7 +55,7 @@ def records(t):
             member("files", files), member("algorithm", algorithm), member("reference", fasta), member("tags", F.lit("[]")),
             member("attrs", F.lit("{}")), member("nest", nest), member("note", F.lit("null")),
             member("only", F.lit("[null]")), member("flag", F.lit("true"))), F.lit("}"))
-    return B.parts(t).select(F.col("k").alias("rec_id"), whole.alias("json"))
+    return B.parts(t, wide=True).select(F.col("k").alias("rec_id"), whole.alias("json"))
 
 
 def leaves(t):

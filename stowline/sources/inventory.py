@@ -28,6 +28,17 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def spread(source: DataFrame) -> DataFrame:
+    """Deal out a stored table that is read in fewer splits than there are cores.
+
+    Opening records and fanning out names costs far more than reading them, so a single-file source would
+    leave most cores idle. A large source already has more splits than cores and is returned unchanged.
+    Only for plain scans: counting splits must not run a query.
+    """
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source
+
+
 def ordered_listing(listing: DataFrame, order: str = "path") -> DataFrame:
     """Give a listing an explicit ``ord`` from a hash-free, repeatable order of its paths."""
     grouped = listing.withColumn("_all", F.lit(0))
