@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stowline.functions import paths as P
 from stowline.operators import skew
 from stowline.operators.matching import prefix_join
+from stowline.session import cut_lineage
 
 PATH_TYPE = "array<struct<key:string,idx:bigint>>"
 MAX_STEPS = 32
@@ -187,7 +188,8 @@ def remap_longest(rows: DataFrame, value: str, remap: DataFrame, boundary: bool
     All occurrences of the source inside the value are replaced unless ``prefix_only``; ``boundary``
     asks for a ``/`` (or the end) after the prefix. Adds ``remapped`` and ``matched``; rows without a
     match keep their value. A small map is probed once per distinct source length, longest first, which
-    needs no shuffle; a large map goes through a prefix join of the distinct values.
+    needs no shuffle; it is checkpointed, so the probes do not each derive it again. A large map goes
+    through a prefix join of the distinct values.
     """
     facts = remap.agg(F.count("src").alias("n"), F.coalesce(F.sum(F.length("src") + F.length("dst")), F.lit(0)).alias("b"),
                       F.collect_set(F.length("src")).alias("lengths")).first()
@@ -201,8 +203,9 @@ def remap_longest(rows: DataFrame, value: str, remap: DataFrame, boundary: bool
 
     if small:
         out, found = rows, []
+        table = cut_lineage(remap.select("src", "dst")) if len(lengths) > 1 else remap
         for n in lengths:
-            keys = remap.filter(F.length("src") == n).select(
+            keys = table.filter(F.length("src") == n).select(
                 F.col("src").alias(f"_k{n}"), F.struct("src", "dst").alias(f"_m{n}"))
             on = F.substr(text, F.lit(1), F.lit(n)) == F.col(f"_k{n}")
             if boundary:
