@@ -188,10 +188,11 @@ def remap_longest(rows: DataFrame, value: str, remap: DataFrame, boundary: bool
     All occurrences of the source inside the value are replaced unless ``prefix_only``; ``boundary``
     asks for a ``/`` (or the end) after the prefix. Adds ``remapped`` and ``matched``; rows without a
     match keep their value. A small map is probed once per distinct source length, longest first, which
-    needs no shuffle; it is checkpointed, so the probes do not each derive it again. A large map goes
-    through a prefix join of the distinct values.
+    needs no shuffle. A large map goes through a prefix join of the distinct values. The map is
+    checkpointed first, so that it is derived once.
     """
-    facts = remap.agg(F.count("src").alias("n"), F.coalesce(F.sum(F.length("src") + F.length("dst")), F.lit(0)).alias("b"),
+    table = cut_lineage(remap.select("src", "dst"))
+    facts = table.agg(F.count("src").alias("n"), F.coalesce(F.sum(F.length("src") + F.length("dst")), F.lit(0)).alias("b"),
                       F.collect_set(F.length("src")).alias("lengths")).first()
     lengths = sorted(facts["lengths"], reverse=True)
     small = facts["n"] <= skew.BROADCAST_ROWS and facts["b"] <= skew.BROADCAST_BYTES and len(lengths) <= MAX_STEPS
@@ -203,19 +204,18 @@ def remap_longest(rows: DataFrame, value: str, remap: DataFrame, boundary: bool
 
     if small:
         out, found = rows, []
-        table = cut_lineage(remap.select("src", "dst")) if len(lengths) > 1 else remap
         for n in lengths:
             keys = table.filter(F.length("src") == n).select(
                 F.col("src").alias(f"_k{n}"), F.struct("src", "dst").alias(f"_m{n}"))
             on = F.substr(text, F.lit(1), F.lit(n)) == F.col(f"_k{n}")
             if boundary:
                 on = on & ends_well(F.lit(n))
-            out = out.join(F.broadcast(keys), on, "left").drop(f"_k{n}")
+            out = out.join(F.broadcast(keys), on, "left")
             found.append(F.col(f"_m{n}"))
         best = F.coalesce(*found) if found else F.lit(None).cast("struct<src:string,dst:string>")
-        out = out.withColumn("_best", best).drop(*[f"_m{n}" for n in lengths])
+        out = out.select(*rows.columns, best.alias("_best"))
     else:
-        hits = prefix_join(rows.select(value).distinct(), value, remap.select("src", "dst"), "src")
+        hits = prefix_join(rows.select(value).distinct(), value, table, "src")
         if boundary:
             hits = hits.filter(ends_well(F.length("src")))
         best = hits.groupBy(value).agg(F.max_by(F.struct("src", "dst"), F.length("src")).alias("_best"))
