@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stowline.llm import bpe, exact_dedup, mixing, shards
+from stowline.llm import bpe, exact_dedup, imatch, langid, mixing, shards, toxicity
 from stowline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,18 @@ def op9(spark, sf_dir):
 @query("op10_source_mix", mixing.REPORT_SQL)
 def op10(spark, sf_dir):
     return mixing.mix_report(documents(spark, sf_dir))
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    return toxicity.toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op7_language_id")
+def op7(spark, sf_dir):
+    return langid.language_report(documents(spark, sf_dir))
+
+
+@query("op8_imatch_fingerprints")
+def op8(spark, sf_dir):
+    return imatch.fingerprint_report(documents(spark, sf_dir))
