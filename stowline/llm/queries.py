@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stowline.llm import bpe, exact_dedup, imatch, langid, mixing, shards, toxicity
+from stowline.llm import bpe, exact_dedup, imatch, jaccard, langid, mixing, shards, toxicity
 from stowline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op7(spark, sf_dir):
 @query("op8_imatch_fingerprints")
 def op8(spark, sf_dir):
     return imatch.fingerprint_report(documents(spark, sf_dir))
+
+
+@query("op4_ngram_jaccard_join")
+def op4(spark, sf_dir):
+    return jaccard.near_duplicate_report(documents(spark, sf_dir))
