@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stowline.llm import bpe, exact_dedup, imatch, jaccard, langid, mixing, shards, toxicity
+from stowline.llm import bpe, exact_dedup, imatch, jaccard, langid, mixing, shards, span_dedup, toxicity
 from stowline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op8(spark, sf_dir):
 @query("op4_ngram_jaccard_join")
 def op4(spark, sf_dir):
     return jaccard.near_duplicate_report(documents(spark, sf_dir))
+
+
+@query("op6_sentence_span_dedup")
+def op6(spark, sf_dir):
+    return span_dedup.span_report(documents(spark, sf_dir))
