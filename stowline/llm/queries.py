@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stowline.llm import bpe, exact_dedup, imatch, jaccard, langid, mixing, shards, span_dedup, toxicity
+from stowline.llm import bpe, exact_dedup, imatch, jaccard, langid, mixing, shards, span_dedup, toxicity, weak_quality
 from stowline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op4(spark, sf_dir):
 @query("op6_sentence_span_dedup")
 def op6(spark, sf_dir):
     return span_dedup.span_report(documents(spark, sf_dir))
+
+
+@query("op3_weak_label_quality")
+def op3(spark, sf_dir):
+    return weak_quality.quality_report(documents(spark, sf_dir))
