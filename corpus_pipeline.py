@@ -1,4 +1,8 @@
-"""A training-corpus pipeline over ``documents``."""
+"""A training-corpus pipeline over ``documents``: language ID, exact dedup, near dedup, source mix, tokens.
+
+Each stage takes and returns a table with the columns of ``documents``; the last one returns the tokens. A stage
+reads what its predecessor wrote; ``run`` writes each in the shared checkpoint folder.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +10,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowline.llm import bpe
-from stowline.llm.common import documents
+from stowline.llm import bpe, langid
+from stowline.llm.common import cut, documents
 from stowline.llm.exact_dedup import exact_dedup
+from stowline.llm.jaccard import near_dedup
 from stowline.llm.mixing import mix
 from stowline.llm.queries import RANKS
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that language ID rejects: no letters, or too unsure of any language.
+
+    The model learns from the labelled rows outside the held-out fold.
+    """
+    names = docs.columns
+    rows = docs.select(*(F.col(c).alias(f"c_{c}") for c in names), "text")
+    kept = langid.predict(rows, langid.train(docs.where(langid.fold() != 0)), drop_text=True).where("NOT rejected")
+    return kept.select(*(F.col(f"c_{c}").alias(c) for c in names))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row with the smallest id of equal texts."""
     return exact_dedup(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near duplicates."""
+    return near_dedup(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or thin out documents until each source is near its share."""
     return mix(docs)
@@ -32,13 +53,14 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("decodes"))
 
 
-STAGES = [("exact dedup", drop_copies), ("mixing sources", mix_sources), ("byte-level BPE", tokens)]
-#: Language ID and BPE have no SQL form; the tests compare with brute force.
+STAGES = [("language ID", known_language), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies),
+          ("mixing sources", mix_sources), ("byte-level BPE", tokens)]
+#: Language ID, near dedup and BPE have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
