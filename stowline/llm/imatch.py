@@ -51,7 +51,7 @@ class Terms:
         known = self.known
         if len(known) > self.entries:
             known.clear()
-        out = [known.get(w) for w in distinct]
+        out = list(map(known.get, distinct))
         if None in out:
             out = []
             for w in distinct:
@@ -103,34 +103,46 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.nda
     return np.sort(found)
 
 
-def subset_mask(terms: np.ndarray) -> np.ndarray:
-    """For each term and subset whether the subset holds the term."""
-    rng_bits = np.empty((len(terms), SCALES * PER_SCALE), bool)
-    x = terms.astype(np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(SCALES * PER_SCALE):
-            h = x ^ np.uint64(0x9E3779B97F4A7C15 * (k + SEED) & (2**64 - 1))
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(32)
-            rng_bits[:, k] = (h >> np.uint64(63 - k // PER_SCALE)) == 0
-    return rng_bits
+def subsets(terms: np.ndarray) -> np.ndarray:
+    """For each term the subsets that hold it, one bit each: subset k of scale s if a seeded hash starts with s + 1 zero bits."""
+    held = np.empty((len(terms), SCALES * PER_SCALE), bool)
+    for k in range(SCALES * PER_SCALE):
+        h = _mixed(terms.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (k + SEED) & (2**64 - 1)))
+        held[:, k] = (h >> np.uint64(63 - k // PER_SCALE)) == 0
+    return np.packbits(held, axis=1)
 
 
-def fingerprint(kept: np.ndarray) -> list[str]:
-    """The hashes of the subsets, given the sorted lexicon terms of a document."""
-    mask = subset_mask(kept)
-    return [xxhash.xxh3_64_hexdigest(kept[own].tobytes()) if (own := mask[:, k]).any() else "" for k in range(mask.shape[1])]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
 
 
-def likeness(a: list[str], b: list[str]) -> float:
-    if a == b:
+_PLACES = np.arange(SCALES * PER_SCALE, dtype=np.uint64)
+
+
+def fingerprint(kept: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of each subset, 0 for an empty one, given a document's sorted lexicon terms and their subsets.
+
+    The terms are distinct, so the sum of their mixed values stands for the sorted list.
+    """
+    held = np.unpackbits(bits, axis=1).view(bool)
+    sums = np.where(held, _mixed(kept.astype(np.uint64))[:, None], np.uint64(0)).sum(0, dtype=np.uint64)
+    some = held.any(0)
+    return np.where(some, (_mixed(sums ^ _PLACES) >> np.uint64(32)) | np.uint64(1), np.uint64(0))
+
+
+def shown(marks: np.ndarray) -> str:
+    return "-".join(["%x" % m if m else "" for m in marks.tolist()])
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    same = a == b
+    if same.all():
         return 1.0
-    best = 0.0
-    for s in range(0, len(a), PER_SCALE):
-        pairs = [(x, y) for x, y in zip(a[s:s + PER_SCALE], b[s:s + PER_SCALE]) if x or y]
-        best = max(best, sum(x == y for x, y in pairs) / max(FILLED, len(pairs)))
-    return best
+    filled = (a | b) != 0
+    equal = (same & filled).reshape(SCALES, PER_SCALE).sum(1)
+    return float((equal / np.maximum(FILLED, filled.reshape(SCALES, PER_SCALE).sum(1))).max())
 
 
 def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -178,13 +190,13 @@ def fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]):
         lexicon, known = shared.value, Terms()
+        bits = subsets(lexicon)
 
         def marks(text):
             own = known.hashes(text)
-            if not len(lexicon):
-                return fingerprint(own[:0])
-            at = np.minimum(np.searchsorted(lexicon, own), len(lexicon) - 1)
-            return fingerprint(own[lexicon[at] == own])
+            at = np.searchsorted(lexicon, own)
+            at = at[(lexicon[np.minimum(at, len(lexicon) - 1)] == own)] if len(lexicon) else at[:0]
+            return fingerprint(lexicon[at], bits[at])
 
         held, out = None, []
         for batch in batches:
@@ -197,7 +209,7 @@ def fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
                         k = len(old) // 3
                         edited = old[:len(old) - k] + text[:k]
                         new = marks(edited)
-                        out.append((old_id, len(old), hashlib.sha256(edited.encode()).hexdigest(), "-".join(old_marks), "-".join(new),
+                        out.append((old_id, len(old), hashlib.sha256(edited.encode()).hexdigest(), shown(old_marks), shown(new),
                                     likeness(old_marks, new), likeness(old_marks, own)))
                     held = None if more else (b, doc_id, text, own)
                 if out:
