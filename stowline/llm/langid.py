@@ -23,7 +23,7 @@ from stowline.llm.subword import Trainer, WordSums, clean_letters, softmax
 
 TRAIN_ROWS, TRAIN_WORDS = 6_000, 60
 LO, HI = 1, 4
-EPOCHS = 6
+EPOCHS, STEPS = 6, 150
 REJECT_SHARE, REJECT_MOST = 0.001, 0.5
 
 
@@ -69,7 +69,7 @@ class Model:
         bags = [trainer.rows([clean_letters(w) for w in text.lower().split()]) for _, text in rows]
         labels = np.array([at[lang] for lang, _ in rows])
         aside = np.array([zlib.crc32(text.encode()) % 5 == 0 for _, text in rows])
-        trainer.fit([bags[i] for i in np.flatnonzero(~aside)], labels[~aside], epochs=EPOCHS)
+        trainer.fit([bags[i] for i in np.flatnonzero(~aside)], labels[~aside], epochs=EPOCHS, steps=STEPS)
         self.table, self.bias = trainer.table(), trainer.b
         if aside.any():
             z, right = trainer.logits([bags[i] for i in np.flatnonzero(aside)]), labels[aside]

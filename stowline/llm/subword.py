@@ -80,10 +80,12 @@ class Trainer:
         out = [self.hidden(bags[i:i + 512])[0] @ self.w + self.b for i in range(0, len(bags), 512)]
         return np.concatenate(out) if out else np.empty((0, self.classes), np.float32)
 
-    def fit(self, bags: Sequence[np.ndarray], labels: np.ndarray, weights: np.ndarray | None = None, epochs: int = 1) -> None:
+    def fit(self, bags: Sequence[np.ndarray], labels: np.ndarray, weights: np.ndarray | None = None, epochs: int = 1,
+            steps: int = 0) -> None:
+        """Go through the bags ``epochs`` times, and more often until ``steps`` steps are done."""
         rng = np.random.default_rng(self.seed + 1)
         weights = np.ones(len(bags), np.float32) if weights is None else weights
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-steps // -(-len(bags) // self.batch))) if bags else 0):
             order = rng.permutation(len(bags))
             for start in range(0, len(order), self.batch):
                 at = order[start:start + self.batch]

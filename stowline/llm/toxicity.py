@@ -32,6 +32,8 @@ WINDOW = 12
 TRAIN_ROWS, TRAIN_WINDOWS = 1_500, 40
 LO, HI = 3, 5
 ROUNDS = 3
+#: Steps of a round at least, so that a small sample is learnt as well.
+STEPS = 200
 
 
 def words(text: str | None) -> list[str]:
@@ -99,7 +101,7 @@ class Model:
             # Both classes weigh the same, however many windows each has.
             both, n = chosen + against, (len(chosen), len(against))
             w = np.repeat([len(both) / (2 * k) for k in n], n).astype(np.float32)
-            trainer.fit(both, np.repeat([1, 0], n), np.minimum(w, 8))
+            trainer.fit(both, np.repeat([1, 0], n), np.minimum(w, 8), steps=STEPS)
             chosen = [b for b, v, top in flagged(toxic) if v > 0 or top]
             hard = [b for b, v, top in flagged(clean) if v > -2 or top]
             against = hard * 2 + [b for i in clean for b in bags[i]]
