@@ -47,8 +47,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to the text's bytes."""
     ranks = bpe.load(public_tokenizers.path(RANKS))
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
-    whole = F.sha2("decoded", 256) == F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", digest.alias("digest"), "text"), ranks, public_tokenizers.PATTERN,
+                       drop_text=True)
+    whole = F.sha2("decoded", 256) == F.col("digest")
     return bpe.decode(coded, ranks).select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("decodes"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from stowline.llm.common import with_arrow
 
 #: Entries of a generation of a worker's caches of words and of matches. Longer strings are not kept.
-CACHE_WORDS, CACHE_PIECES = 70_000, 150_000
+CACHE_WORDS, CACHE_PIECES = 40_000, 60_000
 CACHE_CHARS = 48
 #: Children of a node of the segment tree; a match of up to so many bytes is a tree of one level.
 FAN = 16
