@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowline.operators import skew
+from stowline.session import cut_lineage
 
 LOG_LINE = r"^\[([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]+)Z?\]\s+([^\s:]+):"
 
@@ -32,16 +33,20 @@ def run_frame(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def in_run_frame(files: DataFrame, frame: DataFrame, first: str = "first_ts", last: str = "mtime",
-                 day: str | None = None) -> DataFrame:
+                 day: str | None = None, span_days: int | None = None) -> DataFrame:
     """Files whose time interval overlaps the run.
 
-    The frame is read by scalar subqueries, so the condition is an ordinary scan filter; ``day`` names a
-    partition column to prune by.
+    The frame is read by scalar subqueries, so the condition is an ordinary scan filter. ``day`` names a
+    partition column, the day of ``last``, to prune by: a file that overlaps the run ends on its first day or
+    later. It may end after the run, so days have no upper bound unless ``span_days`` says how many days a file
+    spans at most.
     """
     start, end = frame.select("run_start").scalar(), frame.select("run_end").scalar()
     kept = files.filter((F.col(last) >= start) & (F.col(first) <= end))
     if day is not None:
-        kept = kept.filter(F.col(day) <= F.to_date(end))
+        kept = kept.filter(F.col(day) >= F.to_date(start))
+        if span_days is not None:
+            kept = kept.filter(F.col(day) <= F.date_add(F.to_date(end), span_days))
     return kept
 
 
@@ -65,19 +70,25 @@ def interval_stats(metrics: DataFrame, width: str = "1 hour", slide: str | None
 
 
 def usage_by_interval(metrics: DataFrame, width: str = "1 hour", group_rows: int | None = None) -> DataFrame:
-    """:func:`interval_stats` plus the exact 95th percentile.
+    """Count, minimum, mean and maximum per host, metric and time window, and the exact 95th percentile.
 
-    One aggregation does it while every group is known to have at most ``group_rows`` rows; beyond that
-    the percentile comes from :func:`skew.exact_quantiles`, which splits large groups.
+    The input is read once, into counts of equal values, which are checkpointed. While no group has more than
+    ``group_rows`` different values, the percentile comes from these; beyond that from :func:`skew.exact_quantiles`,
+    which splits large groups.
     """
     group_rows = skew.GROUP_ROWS if group_rows is None else group_rows
     keys = ["host", "metric", "start"]
-    marked = metrics.withColumn("start", F.window("ts", width).start)
-    largest = marked.groupBy(*keys).agg(F.count("value").alias("n")).agg(F.max("n")).first()[0] or 0
+    marked = metrics.withColumn("_w", F.window("ts", width)).withColumn("start", F.col("_w.start")).withColumn("end", F.col("_w.end"))
+    values = cut_lineage(marked.groupBy(*keys, "end", "value").agg(F.count("value").alias("_c")))
+    stats = [F.sum("_c").alias("n"), F.min("value").alias("lowest"), (F.sum(F.col("value") * F.col("_c")) / F.sum("_c")).alias("mean"),
+             F.max("value").alias("highest")]
+    largest = values.groupBy(*keys).agg(F.count("value").alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= group_rows:
-        return interval_stats(metrics, width, None, F.percentile("value", F.lit(0.95)).alias("p95"))
-    p95 = skew.exact_quantiles(marked, keys, "value", {"p95": 0.95}, group_rows)
-    return interval_stats(metrics, width).join(p95, keys, "left")
+        p95 = F.percentile("value", F.lit(0.95), F.col("_c")).alias("p95")
+        return values.groupBy(*keys, "end").agg(*stats, p95).select("host", "metric", "start", "end", "n", "lowest", "mean", "highest", "p95")
+    p95 = cut_lineage(skew.exact_quantiles(marked, keys, "value", {"p95": 0.95}, group_rows))
+    rows = values.groupBy(*keys, "end").agg(*stats).select("host", "metric", "start", "end", "n", "lowest", "mean", "highest")
+    return skew.null_safe_join(rows, p95, keys, "left", skew.fits_broadcast(p95))
 
 
 def _micros(df: DataFrame, ts: str) -> Column:

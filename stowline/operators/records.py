@@ -187,11 +187,13 @@ def remap_longest(rows: DataFrame, value: str, remap: DataFrame, boundary: bool
 
     All occurrences of the source inside the value are replaced unless ``prefix_only``; ``boundary``
     asks for a ``/`` (or the end) after the prefix. Adds ``remapped`` and ``matched``; rows without a
-    match keep their value. A small map is probed once per distinct source length, longest first, which
+    match keep their value. Of several mappings of a source the last by ``ord`` counts, or without ``ord`` the
+    one with the greatest target. A small map is probed once per distinct source length, longest first, which
     needs no shuffle. A large map goes through a prefix join of the distinct values. The map is
     checkpointed first, so that it is derived once.
     """
-    table = cut_lineage(remap.select("src", "dst"))
+    dst = F.max_by("dst", "ord") if "ord" in remap.columns else F.max("dst")
+    table = cut_lineage(remap.filter(F.col("src").isNotNull()).groupBy("src").agg(dst.alias("dst")))
     facts = table.agg(F.count("src").alias("n"), F.coalesce(F.sum(F.length("src") + F.length("dst")), F.lit(0)).alias("b"),
                       F.collect_set(F.length("src")).alias("lengths")).first()
     lengths = sorted(facts["lengths"], reverse=True)
@@ -219,7 +221,8 @@ def remap_longest(rows: DataFrame, value: str, remap: DataFrame, boundary: bool
         if boundary:
             hits = hits.filter(ends_well(F.length("src")))
         best = hits.groupBy(value).agg(F.max_by(F.struct("src", "dst"), F.length("src")).alias("_best"))
-        out = rows.join(best, value, "left")
+        # Rows without a value match nothing and skip the join; a value of very many rows is salted there.
+        out = skew.checked_join(rows, best, [value], "left")
     src, dst = F.col("_best.src"), F.col("_best.dst")
     if prefix_only:
         new = F.concat(dst, F.substr(text, F.length(src) + 1))

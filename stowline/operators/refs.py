@@ -27,6 +27,7 @@ BUNDLE = ["build", "aligner", "kind"]
 
 def _bundle_rows(builds: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Wanted (build, aligner, kind) rows and every catalog row that may belong to one, with its role."""
+    builds = builds.withColumn("aligner", F.coalesce("aligner", F.lit("")))
     kinds = F.array_distinct(F.filter(F.array(F.lit("seq"), F.lit("rtg"), F.col("aligner")), lambda k: k != ""))
     wanted = builds.select("build", "aligner", "prefix", F.explode(kinds).alias("kind"))
     rows = catalog.select("ord", "uri")

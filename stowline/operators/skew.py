@@ -19,6 +19,7 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 2_000_000
 GROUP_ROWS = 5_000_000
+HOT_KEYS = 500_000
 
 
 def fits_broadcast(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
@@ -32,6 +33,15 @@ def fits_broadcast(df: DataFrame, rows: int | None = None, size: int | None = No
     return seen["n"] <= rows and (seen["b"] or 0) <= size
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", spread_right: bool = False) -> DataFrame:
+    """Join in which null keys are equal. ``spread_right`` broadcasts ``right``; its size must have been checked."""
+    other = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}") if c in on else F.col(f"`{c}`") for c in right.columns])
+    match = F.lit(True)
+    for c in on:
+        match = match & left[c].eqNullSafe(other[f"_r_{c}"])
+    return left.join(F.broadcast(other) if spread_right else other, match, how).drop(*[f"_r_{c}" for c in on])
+
+
 def checked_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
                  small_fits: bool | None = None) -> DataFrame:
     """Broadcast ``small`` when its counted size allows it, otherwise use ``skew_join``."""
@@ -40,26 +50,37 @@ def checked_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     return skew_join(big, small, on, how)
 
 
+def _holds_map(kind) -> bool:
+    if kind.typeName() in ("map", "variant"):
+        return True
+    inner = [f.dataType for f in kind.fields] if kind.typeName() == "struct" else [kind.elementType] if kind.typeName() == "array" else []
+    return any(_holds_map(k) for k in inner)
+
+
 def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
               hot_rows: int | None = None) -> DataFrame:
     """Shuffle join that spreads every key of ``big`` with more than ``hot_rows`` rows.
 
     A hot key gets one salt per ``hot_rows`` rows; the matching rows of ``small`` are repeated once per
     salt, so inner, left, semi and anti joins all keep their meaning. There are at most
-    ``rows(big) / hot_rows`` hot keys, each counted with a map-side combine.
+    ``rows(big) / hot_rows`` hot keys, each counted with a map-side combine; if even these are too many to
+    broadcast, a key must have twice as many rows to count as hot, and so on. Rows whose key has a null match
+    nothing: they skip the shuffle. The salt is a hash of the columns that can be hashed (no maps, no variants).
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    on = list(on)
-    hot = (
-        big.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
-    )
-    if not fits_broadcast(hot):
-        return big.join(small, on, how)
+    on, how = list(on), how.replace("_", "").lower()
+    no_null = F.lit(True)
+    for c in on:
+        no_null = no_null & F.col(f"`{c}`").isNotNull()
+    whole, big = big, big.filter(no_null)
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    while True:
+        hot = counts.filter(F.col("_rows") > hot_rows).select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
+        if fits_broadcast(hot, HOT_KEYS):
+            break
+        hot_rows *= 2
     hot = F.broadcast(hot)
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
+    row_hash = F.xxhash64(*[F.col(f"`{f.name}`") for f in big.schema.fields if not _holds_map(f.dataType)])
     salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(row_hash, F.col("_salts")).cast("int"))
     left = big.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
     right = (
@@ -67,7 +88,10 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    joined = left.join(right, [*on, "_salt"], how).drop("_salt")
+    if how in ("left", "leftouter", "leftanti", "anti"):
+        joined = joined.unionByName(whole.filter(~no_null), allowMissingColumns=True)
+    return joined
 
 
 def number_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "n",
@@ -98,9 +122,10 @@ def number_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str], name
         .select(*by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     )
     within = Window.partitionBy(*by, "_slice").orderBy(*order)
+    placed = sliced.withColumn("_pos", F.row_number().over(within).cast("long") - 1)
+    shift = cut_lineage(shift)
     return (
-        sliced.withColumn("_pos", F.row_number().over(within).cast("long") - 1)
-        .join(shift, [*by, "_slice"])
+        null_safe_join(placed, shift, [*by, "_slice"], spread_right=fits_broadcast(shift))
         .withColumn(name, F.col("_pos") + F.col("_shift"))
         .drop("_pos", "_shift", "_slice")
     )
@@ -122,8 +147,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, points: dict[s
         return merged.groupBy(*by).agg(
             *[F.percentile("_v", F.lit(q), F.col("_c")).alias(n) for n, q in points.items()]
         )
-    ranked = number_in_group(rows, by, ["_v"], "_rank", group_rows).join(
-        sizes.select(*by, (F.col("_n") - 1).cast("double").alias("_last")), by)
+    last = cut_lineage(sizes.select(*by, (F.col("_n") - 1).cast("double").alias("_last")))
+    ranked = null_safe_join(number_in_group(rows, by, ["_v"], "_rank", group_rows), last, by, spread_right=fits_broadcast(last))
     out = []
     for n, q in points.items():
         spot = F.col("_last") * F.lit(q)

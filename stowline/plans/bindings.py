@@ -86,7 +86,7 @@ def keyed_listing(t: Tables) -> DataFrame:
 
 def requests(t: Tables) -> DataFrame:
     """``(req_id, names)``: two names joined by ``;``, the second often a glob."""
-    p = parts(t).filter(F.col("k") % 7 == 0)
+    p = parts(t)
     ext = F.expr("substr(base, instr(base, '.') + 1)")
     last_word = F.substring_index("pname", " ", -1)
     first = F.when(F.col("k") % 21 == 0, F.col("base")).otherwise(F.concat_ws("/", "brand", "base"))

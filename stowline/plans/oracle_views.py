@@ -21,7 +21,7 @@ requests AS (SELECT k AS req_id,
             WHEN 1 THEN '*' || folder || '/' || base
             WHEN 2 THEN replace(base, '_', '?')
             ELSE brand || '/[a-l]*.' || substr(base, instr(base, '.') + 1) END AS n1
-    FROM parts WHERE k % 7 = 0),
+    FROM parts),
 names AS (SELECT req_id, 0 AS pos, n0 AS name FROM requests UNION ALL SELECT req_id, 1, n1 FROM requests)
 """
 MATCHES = """,
@@ -31,7 +31,7 @@ matches AS (SELECT DISTINCT n.name, c.ord, c.uri FROM (SELECT DISTINCT name FROM
 """
 KEYED = PARTS + """,
 keyed_listing AS (SELECT k AS ord, 'p' || (k % 2) AS project, 'f' || k AS file_id, '/' || path AS path FROM parts),
-keyed AS (SELECT max(ord) AS ord, arg_max(project, ord) AS project, arg_max(file_id, ord) AS file_id, path
+keyed AS (SELECT min(ord) AS ord, arg_max(project, ord) AS project, arg_max(file_id, ord) AS file_id, path
     FROM keyed_listing GROUP BY path)
 """
 LISTING_ONLY = """

@@ -351,7 +351,7 @@ def c6(t):
 
 
 PLAN = """,
-files AS (SELECT DISTINCT '/data/' || path AS path, 'bk' || (psize % 2) AS bucket, kind AS folder FROM parts WHERE k % 2 = 0),
+files AS (SELECT DISTINCT '/data/' || path AS path, 'bk' || (psize % 2) AS bucket, kind AS folder FROM parts),
 source AS (SELECT DISTINCT '/data/' || path || CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN '.tbi' ELSE '.bai' END AS path FROM parts),
 target AS (SELECT DISTINCT 'bk' || (psize % 2) AS bucket, kind || '/' || base || CASE k % 3 WHEN 0 THEN '' ELSE '.tbi' END AS key FROM parts WHERE k % 5 = 0),
 m AS (SELECT *, path || s AS member FROM files, (SELECT unnest(['', '.idx', '.gbi', '.tbi', '.bai']) AS s))
@@ -363,7 +363,7 @@ def _plan_tables(t):
     bucket = F.concat(F.lit("bk"), (F.col("psize") % 2).cast("string"))
     path = F.concat(F.lit("/data/"), "path")
     end = F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.lit(".tbi")).otherwise(F.lit(".bai"))
-    files = p.filter(k % 2 == 0).select(path.alias("path"), bucket.alias("bucket"), F.col("kind").alias("folder"))
+    files = p.select(path.alias("path"), bucket.alias("bucket"), F.col("kind").alias("folder"))
     source = p.select(F.concat(path, end).alias("path"))
     sent = F.when(k % 3 == 0, F.lit("")).otherwise(F.lit(".tbi"))
     target = p.filter(k % 5 == 0).select(bucket.alias("bucket"), F.concat("kind", F.lit("/"), "base", sent).alias("key"))

@@ -191,7 +191,7 @@ def a18_lookup(t):
 
 
 JARS = V.PARTS + """,
-sheets AS (SELECT k AS sheet_id, 's3://bk' || (k % 40) || '/proj' || (k % 9) || '/sheet' || k || '.yaml' AS uri FROM parts WHERE k % 3 = 0),
+sheets AS (SELECT k AS sheet_id, 's3://bk' || (k % 40) || '/proj' || (k % 9) || '/sheet' || k || '.yaml' AS uri FROM parts),
 jars AS (SELECT k AS ord, 's3://bk' || (k % 40) || '/' || CASE k % 2 WHEN 0 THEN '' ELSE 'proj' || (k % 9) || '/' END || 'jars/' ||
     CASE kind WHEN 'small' THEN 'GenomeAnalysisTK-' || psize WHEN 'large' THEN 'MuTect-' || psize WHEN 'promo' THEN 'muTect-GenomeAnalysisTK-' || psize ELSE 'other-' || psize END || '.jar' AS uri FROM parts)
 """
@@ -213,7 +213,7 @@ def a25(t):
         F.when(F.col("kind") == "small", F.lit("GenomeAnalysisTK-")).when(F.col("kind") == "large", F.lit("MuTect-"))
         .when(F.col("kind") == "promo", F.lit("muTect-GenomeAnalysisTK-")).otherwise(F.lit("other-")))
     parts = B.parts(t)
-    sheets = parts.filter(k % 3 == 0).select(
+    sheets = parts.select(
         k.alias("sheet_id"), F.concat(bucket, project, F.lit("sheet"), k.cast("string"), F.lit(".yaml")).alias("uri"))
     where = F.when(k % 2 == 0, F.lit("")).otherwise(project)
     jars = parts.select(k.alias("ord"), F.concat(bucket, where, F.lit("jars/"), tool, size, F.lit(".jar")).alias("uri"))
@@ -224,13 +224,13 @@ def a25(t):
 
 PLATFORM = "CASE page_id % 5 WHEN 0 THEN 'gs' WHEN 1 THEN 's3' WHEN 2 THEN 'keep' WHEN 3 THEN 'sbg' ELSE 'dx' END"
 WEB = f"""
-web AS (SELECT page_id AS ord, {PLATFORM} AS platform, regexp_replace(url, '[?#].*$', '') AS url,
-    regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://', '') AS rest FROM pages)
+web AS (SELECT page_id AS ord, {PLATFORM} AS platform, url,
+    regexp_replace(url, '^https?://', '') AS rest FROM pages)
 """
 
 
 def _web(t):
-    url = F.regexp_replace("url", r"[?#].*$", "")
+    url = F.col("url")
     platform = F.element_at(F.array(*map(F.lit, ("gs", "s3", "keep", "sbg", "dx"))), (F.col("page_id") % 5 + 1).cast("int"))
     return t.pages.select(F.col("page_id").alias("ord"), platform.alias("platform"), url.alias("url"),
                           F.regexp_replace(url, "^https?://", "").alias("rest"))
@@ -343,7 +343,7 @@ def a37(t):
     deep = F.concat(F.lit("@eu-1/proj"), (k % 9).cast("string"))
     uri = F.concat(F.lit("s3://bk"), (k % 40).cast("string"), F.when(k % 2 == 0, deep).otherwise(F.lit("")),
                    F.lit("/sheet"), k.cast("string"), F.lit(".yaml"))
-    return B.parts(t).filter(k % 3 == 0).select(k.alias("sheet_id"), P.upload_target(uri).alias("u")).select("sheet_id", "u.*")
+    return B.parts(t).select(k.alias("sheet_id"), P.upload_target(uri).alias("u")).select("sheet_id", "u.*")
 
 
 @query("a5_resource_name", f"WITH {V.CATALOG} SELECT ord, regexp_replace(uri, '\\.[^./]*$', '') || '-resources.yaml' AS resources FROM catalog")

@@ -26,7 +26,7 @@ asked AS (SELECT k AS req_id, unnest([
         {'pos': 3, 'name': brand || '/*.' || substr(base, instr(base, '.') + 1)}]) AS n,
     [{'rank': 0, 'project': 'p' || (k % 2), 'folder': '/' || folder},
      {'rank': 1, 'project': 'p0', 'folder': '/' || kind}, {'rank': 2, 'project': 'p1', 'folder': '/small'}] AS folders
-    FROM parts WHERE k % 7 = 0),
+    FROM parts),
 reqs AS (SELECT req_id * 10 + n.pos AS req_id, n.name AS name, folders,
         CASE WHEN n.pos = 1 THEN 'p1' END AS want_project,
         CASE n.pos WHEN 1 THEN substr(n.name, 4) WHEN 2 THEN substr(n.name, 7) ELSE n.name END AS want FROM asked),
@@ -35,7 +35,7 @@ opened AS (SELECT req_id, name, want_project, want, unnest(folders) AS f FROM re
 
 
 def _folder_requests(t):
-    p = B.parts(t).filter("k % 7 = 0")
+    p = B.parts(t)
     ext = F.expr("substr(base, instr(base, '.') + 1)")
     names = F.array(
         F.col("base"), F.concat(F.lit("p1:"), "base"), F.concat(F.lit("dx:f0/"), "brand", F.lit("/"), "base"),
@@ -51,7 +51,7 @@ def _folder_requests(t):
 
 
 @query("a11_resolve_prefix", f"""
-WITH {V.CATALOG}, names AS (SELECT DISTINCT unnest([folder, kind, base, '*' || brand || '/' || base]) AS name FROM parts WHERE k % 5 = 0),
+WITH {V.CATALOG}, names AS (SELECT DISTINCT unnest([folder, kind, base, '*' || brand || '/' || base]) AS name FROM parts),
 targets AS (SELECT name, 'gs://b1/' || name AS target FROM names),
 last AS (SELECT name, target, max(ord) AS ord FROM targets JOIN catalog ON starts_with(uri, target) GROUP BY ALL),
 matches AS (SELECT n.name, c.ord, c.uri FROM names n JOIN catalog c ON c.uri = n.name OR ends_with(c.uri, '/' || n.name)
@@ -60,16 +60,16 @@ SELECT name, ord, target AS uri FROM last
 UNION ALL SELECT m.name, m.ord, m.uri FROM matches m LEFT JOIN last l ON m.name = l.name WHERE l.ord IS NULL OR m.ord > l.ord
 """)
 def a11(t):
-    names = B.parts(t).filter("k % 5 = 0").select(
+    names = B.parts(t).select(
         F.explode(F.array("folder", "kind", "base", F.concat(F.lit("*"), "brand", F.lit("/"), "base"))).alias("name"))
     return R.find_with_prefix(B.catalog(t), names, "gs://b1")
 
 
-TIER_NAMES = "names AS (SELECT DISTINCT unnest([path, brand || '/' || base, folder, brand, 'no/' || base]) AS name FROM parts WHERE k % 7 = 0)"
+TIER_NAMES = "names AS (SELECT DISTINCT unnest([path, brand || '/' || base, folder, brand, 'no/' || base]) AS name FROM parts)"
 
 
 def _tier_names(t):
-    return B.parts(t).filter("k % 7 = 0").select(F.explode(F.array(
+    return B.parts(t).select(F.explode(F.array(
         F.col("path"), F.concat_ws("/", "brand", "base"), F.col("folder"), F.col("brand"),
         F.concat(F.lit("no/"), "base"))).alias("name"))
 
@@ -96,7 +96,7 @@ def a12_folders(t):
 
 
 @query("a13_resolve_first", f"""
-WITH {V.OBJECTS}, names AS (SELECT DISTINCT unnest([path, folder, 'sbg:x/' || path]) AS name FROM parts WHERE k % 7 = 0),
+WITH {V.OBJECTS}, names AS (SELECT DISTINCT unnest([path, folder, 'sbg:x/' || path]) AS name FROM parts),
 w AS (SELECT name, CASE WHEN starts_with(name, 'sbg:') THEN substr(name, 7) ELSE name END AS want FROM names)
 SELECT name, ord, 'sbg:' || file_id || '/' || want AS uri FROM w JOIN objects ON path = want
 QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord) = 1
@@ -106,12 +106,12 @@ def a13(t):
 
 
 def _first_names(t):
-    return B.parts(t).filter("k % 7 = 0").select(
+    return B.parts(t).select(
         F.explode(F.array(F.col("path"), F.col("folder"), F.concat(F.lit("sbg:x/"), "path"))).alias("name"))
 
 
 @query("a13_resolve_first_folders", f"""
-WITH {V.OBJECTS}, names AS (SELECT DISTINCT unnest([path, folder, 'sbg:x/' || path]) AS name FROM parts WHERE k % 7 = 0),
+WITH {V.OBJECTS}, names AS (SELECT DISTINCT unnest([path, folder, 'sbg:x/' || path]) AS name FROM parts),
 w AS (SELECT name, CASE WHEN starts_with(name, 'sbg:') THEN substr(name, 7) ELSE name END AS want FROM names)
 SELECT name, ord, 'sbg:' || file_id || '/' || want AS uri FROM w JOIN objects ON starts_with(path, want)
 QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord) = 1
@@ -138,14 +138,14 @@ def a14(t):
 @query("a14_resolve_folder_mode", f"""
 WITH {V.KEYED},
 dirs AS (SELECT regexp_replace(path, '/[^/]*$', '') AS path, min(ord) AS ord, arg_max(project, ord) AS project FROM keyed GROUP BY 1),
-reqs AS (SELECT k AS req_id, brand AS name, '/' || kind AS folder FROM parts WHERE k % 7 = 0)
+reqs AS (SELECT k AS req_id, brand AS name, '/' || kind AS folder FROM parts)
 SELECT req_id, name, 1 AS tier, 0 AS rank, d.ord, 'dx:None/' || d.project || ':' || d.path AS uri
 FROM reqs JOIN dirs d ON d.path = folder || '/' || name
 """)
 def a14_folders(t):
     folders = F.array(F.struct(F.lit(0).alias("rank"), F.lit("p0").alias("project"),
                                F.concat(F.lit("/"), "kind").alias("folder")))
-    asked = B.parts(t).filter("k % 7 = 0").select(
+    asked = B.parts(t).select(
         F.col("k").alias("req_id"), F.col("brand").alias("name"), folders.alias("folders"))
     return R.find_in_folders(R.folder_catalog(I.keyed_last_wins(B.keyed_listing(t))), asked)
 
@@ -165,7 +165,7 @@ def a15(t):
 @query("a16_glob_expand", f"""
 WITH {V.LISTING},
 asked AS (SELECT k AS req_id, CASE k % 3 WHEN 0 THEN split_part(base, '.', 1) WHEN 1 THEN split_part(base, '_', 1)
-        ELSE '/data/ref/' || path END AS name, ['/data/ref/' || folder, '/data/in0/' || folder] AS inputs FROM parts WHERE k % 2 = 0),
+        ELSE '/data/ref/' || path END AS name, ['/data/ref/' || folder, '/data/in0/' || folder] AS inputs FROM parts),
 itself AS (SELECT req_id, name, -1 AS pos, name AS path FROM asked WHERE name IN (SELECT path FROM listing)),
 missing AS (SELECT req_id, name, unnest([{{'pos': 0, 'd': inputs[1]}}, {{'pos': 1, 'd': inputs[2]}}]) AS t FROM asked
     WHERE name NOT IN (SELECT path FROM listing))
@@ -179,18 +179,18 @@ def a16(t):
         .when(F.col("k") % 3 == 1, F.substring_index("base", "_", 1))
         .otherwise(F.concat(F.lit("/data/ref/"), "path")))
     inputs = F.array(F.concat(F.lit("/data/ref/"), "folder"), F.concat(F.lit("/data/in0/"), "folder"))
-    asked = B.parts(t).filter("k % 2 = 0").select(F.col("k").alias("req_id"), name.alias("name"), inputs.alias("inputs"))
+    asked = B.parts(t).select(F.col("k").alias("req_id"), name.alias("name"), inputs.alias("inputs"))
     return R.expand_names(B.listing(t), asked)
 
 
 @query("a16_unresolved", f"""
 WITH {V.LISTING},
-asked AS (SELECT k AS req_id, split_part(base, '_', 1) AS name, '/data/ref/' || folder AS d FROM parts WHERE k % 2 = 0)
+asked AS (SELECT k AS req_id, split_part(base, '_', 1) AS name, '/data/ref/' || folder AS d FROM parts)
 SELECT req_id, name FROM asked a WHERE NOT EXISTS (SELECT 1 FROM listing l WHERE starts_with(l.path, d || '/' || name)
     AND regexp_matches(l.path, '(\\.bam|\\.(fastq|fq)(\\.gz)?|\\.vcf(\\.gz)?)$'))
 """)
 def a16_unresolved(t):
-    asked = B.parts(t).filter("k % 2 = 0").select(
+    asked = B.parts(t).select(
         F.col("k").alias("req_id"), F.substring_index("base", "_", 1).alias("name"),
         F.array(F.concat(F.lit("/data/ref/"), "folder")).alias("inputs"))
     return R.unresolved(asked, R.expand_names(B.listing(t), asked)).select("req_id", "name")
@@ -323,12 +323,12 @@ def a6(t):
 
 
 @query("a6_prefix_list_by_id", f"""
-WITH {V.KEYED}, prefixes AS (SELECT DISTINCT 'dx:f1/p' || (k % 2) || ':/' || folder AS prefix FROM parts WHERE k % 3 = 0)
+WITH {V.KEYED}, prefixes AS (SELECT DISTINCT 'dx:f1/p' || (k % 2) || ':/' || folder AS prefix FROM parts)
 SELECT prefix, ord, 'dx:' || file_id || '/' || project || ':' || path AS uri
 FROM prefixes JOIN keyed ON starts_with(project || ':' || path, substr(prefix, 7))
 """)
 def a6_by_id(t):
-    prefixes = B.parts(t).filter("k % 3 = 0").select(F.concat(
+    prefixes = B.parts(t).select(F.concat(
         F.lit("dx:f1/p"), (F.col("k") % 2).cast("string"), F.lit(":/"), "folder").alias("prefix"))
     return I.under_object_prefix(I.keyed_last_wins(B.keyed_listing(t)), prefixes, "dx")
 

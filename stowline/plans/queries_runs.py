@@ -73,11 +73,11 @@ def d4(t):
 
 
 @query("d4_hardware", f"""
-WITH {METRICS}, hw AS (SELECT 'h' || c_custkey AS host, c_nationkey + 1 AS cores, c_acctbal AS mem FROM customer WHERE c_custkey % 2 = 0)
+WITH {METRICS}, hw AS (SELECT 'h' || c_custkey AS host, c_nationkey + 1 AS cores, c_acctbal AS mem FROM customer)
 SELECT event_id, host, cores, mem FROM metrics LEFT JOIN hw USING (host)
 """)
 def d4_hardware(t):
-    hardware = t.customer.filter("c_custkey % 2 = 0").select(
+    hardware = t.customer.select(
         F.concat(F.lit("h"), F.col("c_custkey").cast("string")).alias("host"), (F.col("c_nationkey") + 1).alias("cores"),
         F.col("c_acctbal").alias("mem"))
     return MT.with_hardware(metrics(t), hardware).select("event_id", "host", "cores", "mem")
@@ -274,14 +274,14 @@ def e7(t):
 
 
 @query("e7_inventory_roles", """
-WITH l AS (SELECT o_custkey % 50 AS cluster_id, o_orderkey AS ord, CASE o_orderstatus WHEN 'F' THEN 'frontend' WHEN 'O' THEN 'compute' ELSE 'other' END || lpad('' || o_orderkey, 3, '0') AS host FROM orders)
+WITH l AS (SELECT o_custkey % 50 AS cluster_id, o_orderkey AS ord, CASE o_orderstatus WHEN 'F' THEN 'frontend' WHEN 'O' THEN 'compute' ELSE 'other' END || CASE WHEN len('' || o_orderkey) < 3 THEN lpad('' || o_orderkey, 3, '0') ELSE '' || o_orderkey END AS host FROM orders)
 SELECT cluster_id, 'client' AS role, ord, host FROM l WHERE starts_with(host, 'compute')
 UNION ALL SELECT cluster_id, 'server', max(ord), arg_max(host, ord) FROM l WHERE starts_with(host, 'frontend') GROUP BY 1
 """)
 def e7_inventory(t):
     kind = F.when(F.col("o_orderstatus") == "F", F.lit("frontend")).when(F.col("o_orderstatus") == "O", F.lit("compute")).otherwise(F.lit("other"))
     number = F.col("o_orderkey").cast("string")
-    padded = F.when(F.length(number) > 3, F.substr(number, F.lit(1), F.lit(3))).otherwise(F.lpad(number, 3, "0"))
+    padded = F.when(F.length(number) >= 3, number).otherwise(F.lpad(number, 3, "0"))
     line = F.concat(kind, padded, F.lit(" ansible_ssh_host=10.0.0.1"))
     return FL.inventory_roles(t.orders.select((F.col("o_custkey") % 50).alias("cluster_id"), F.col("o_orderkey").alias("ord"), line.alias("line")))
 

@@ -25,13 +25,17 @@ def _to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON or YAML file: ``(path, json)``. Files are spread over tasks."""
+    """One row per JSON or YAML file: ``(path, json)``. Files are spread over tasks.
+
+    A YAML file is an error when no YAML reader is installed.
+    """
     text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
     named = text.select(F.regexp_replace(F.input_file_name(), r"^file:/+", "/").alias("path"), "value")
     plain = named.filter(F.col("path").endswith(".json")).select("path", F.col("value").alias("json"))
-    if yaml is None:
-        return plain
     marked = named.filter(F.col("path").rlike(r"\.ya?ml$"))
+    if yaml is None:
+        missing = F.raise_error(F.concat(F.lit("no YAML reader is installed to read "), F.col("path"))).cast("string")
+        return plain.unionByName(marked.select("path", missing.alias("json")))
     return plain.unionByName(marked.mapInPandas(_to_json, "path string, json string"))
 
 

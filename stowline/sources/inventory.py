@@ -49,7 +49,8 @@ def expand_folders(nodes: DataFrame, root_id: Column | int | str) -> DataFrame:
     """``(id, parent, name, type)`` rows → full paths ``(id, path)`` of the files below ``root_id``.
 
     Only folders are walked, one join per level; the files, which are nearly all rows, are joined once
-    at the end. Each level is checkpointed, so level k does not repeat the joins of the levels above.
+    at the end. Each level is checkpointed, so level k does not repeat the joins of the levels above. A folder that
+    is its own ancestor is walked once.
     """
     root_id = root_id if isinstance(root_id, Column) else F.lit(root_id)
     folders = nodes.filter(F.col("type") == "folder").select("id", "parent", "name")
@@ -60,7 +61,7 @@ def expand_folders(nodes: DataFrame, root_id: Column | int | str) -> DataFrame:
         step = skew.checked_join(
             folders.withColumnRenamed("id", "_id"), level.withColumnRenamed("id", "parent"), ["parent"]
         ).select(F.col("_id").alias("id"), P.join_path("path", "name").alias("path"))
-        level = cut_lineage(step)
+        level = cut_lineage(step.join(found.select("id"), "id", "left_anti"))
         if level.isEmpty():
             break
         found = found.unionByName(level)
@@ -125,9 +126,10 @@ def union_catalogs(listings: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def keyed_last_wins(listing: DataFrame, key: str = "path") -> DataFrame:
-    """One row per key: the one listed last."""
-    rest = [c for c in listing.columns if c != key]
-    return listing.groupBy(key).agg(F.max_by(F.struct(*rest), "ord").alias("_r")).select(key, "_r.*")
+    """One row per key: the values listed last, at the place where the key was listed first."""
+    rest = [c for c in listing.columns if c not in (key, "ord")]
+    last = F.max_by(F.struct("ord", *rest), "ord").alias("_r")
+    return listing.groupBy(key).agg(F.min("ord").alias("ord"), last).select(key, "ord", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def under_prefix(catalog: DataFrame, prefix: str, key: str = "uri") -> DataFrame:

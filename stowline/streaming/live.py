@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -34,21 +37,36 @@ def new_versions(stream: DataFrame, delay: str = "1 day") -> DataFrame:
 def ingest_changed(stream: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append file versions that ``target`` does not hold yet, without keeping stream state.
 
-    Every micro-batch owns the folder ``batch=<id>`` and compares only with the other batches' folders,
-    so a batch that runs again after a failure replaces its own rows.
+    Every micro-batch owns the folder ``run=<query id>/batch=<id>`` below ``target``, cut into days of ``mtime``. The query id
+    lives in the checkpoint, so a batch that runs again after a failure replaces its own rows, and a new checkpoint
+    over an old target adds to it. A batch is compared with the rows of its own days only, so that its cost does
+    not grow with the history.
     """
+    started, own = threading.Event(), {}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(FILE_KEYS)
-        if batch_id > 0:
-            schema = StructType([batch.schema[c] for c in FILE_KEYS]).add("batch", "long")
-            known = spark.read.schema(schema).parquet(target).filter(F.col("batch") < batch_id).select(*FILE_KEYS)
-            fresh = fresh.join(known, FILE_KEYS, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        started.wait()
+        fresh = batch.dropDuplicates(FILE_KEYS).withColumn("day", F.to_date("mtime"))
+        days = fresh.agg(F.min("day"), F.max("day")).first()
+        if days[0] is not None:
+            schema = StructType([batch.schema[c] for c in FILE_KEYS]).add("run", "string").add("batch", "long").add("day", "date")
+            try:
+                known = spark.read.schema(schema).parquet(target)
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
+            else:
+                others = (F.col("run") != own["id"]) | (F.col("batch") != batch_id)
+                known = known.filter(others & F.col("day").between(*days)).select(*FILE_KEYS)
+                fresh = fresh.join(known, FILE_KEYS, "left_anti")
+        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{target}/run={own['id']}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    query = (writer.trigger(availableNow=True) if available_now else writer).start()
+    own["id"] = str(query.id)
+    started.set()
+    return query
 
 
 def live_usage(stream: DataFrame, width: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
