@@ -23,7 +23,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stowline.llm.common import cut, few, lookup_join, row_key, text_chunks
 
@@ -76,10 +75,9 @@ def _hashed(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
-    """``high, low, _doc, _none, _text, _row, first, last`` of every span."""
-    rows = docs.where("text IS NOT NULL").select(
-        F.coalesce("doc_id", F.lit(0)).alias("_doc"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text").alias("_text"), row_key().alias("_row"), "text")
-    names = ["high", "low", "_doc", "_none", "_text", "_row", "first", "last"]
+    """``high, low, _row, first, last`` of every span; ``_row`` is ``row_key()`` of ``docs``."""
+    rows = docs.where("text IS NOT NULL").select(row_key().alias("_row"), "text")
+    names = ["high", "low", "_row", "first", "last"]
 
     def run(batches):
         for batch in batches:
@@ -87,22 +85,28 @@ def all_spans(docs: DataFrame) -> DataFrame:
                 found = [_hashed(t) for t in part.column("text").to_pylist()]
                 at = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 flat = np.array([s for x in found for s in x], np.int64).reshape(-1, 4)
-                keys = [part.column(n).take(pa.array(at)) for n in names[2:6]]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), *keys, pa.array(flat[:, 2].astype(np.int32)),
-                                                  pa.array(flat[:, 3].astype(np.int32))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), part.column("_row").take(pa.array(at)),
+                                                  pa.array(flat[:, 2].astype(np.int32)), pa.array(flat[:, 3].astype(np.int32))], names)
 
-    return rows.mapInArrow(run, "high long, low long, _doc long, _none boolean, _text long, _row long, first int, last int")
+    return rows.mapInArrow(run, "high long, low long, _row long, first int, last int")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """``_row, n_spans, gone``: for each row that repeats something, its repeated spans as (first, last) units.
 
-    ``_row`` is ``row_key()`` of ``docs``, which must be a table scan or a checkpointed frame.
+    ``_row`` is ``row_key()`` of ``docs``, which must be a table scan or a checkpointed frame. All spans are shuffled
+    by bare hash to count them, and those of repeated hashes alone get their documents' ids and are ordered.
     """
+    keys = ["high", "low"]
     found = all_spans(docs)
-    place = F.struct("_none", "_doc", "_text", "first")
-    repeated = cut(found.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("top")).where("n > 1"))
-    others = lookup_join(found, repeated, ["high", "low"], "n", "inner").where(place != F.col("top"))
+    repeated = cut(found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    copies = cut(lookup_join(found, repeated, keys, "n", "inner").drop("n"))
+    owner = docs.where("text IS NOT NULL").select(
+        row_key().alias("_row"), F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"),
+                                          F.xxhash64("text").alias("text")).alias("_owner"))
+    placed = copies.join(owner, "_row").withColumn("_place", F.struct("_owner", "first"))
+    tops = cut(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_place").alias("_top")))
+    others = lookup_join(placed, tops, keys, "n", "inner").where(F.col("_place") != F.col("_top"))
     return others.groupBy("_row").agg(F.count(F.lit(1)).alias("n_spans"), F.collect_set(F.struct("first", "last")).alias("gone"))
 
 
@@ -122,27 +126,26 @@ def without(text: str | None, gone: list[dict] | None) -> tuple[str | None, int,
 def span_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with its texts cleaned, and ``removed_units``, ``removed_words``, ``repeated_spans``."""
     names = ["removed_units", "removed_words", "repeated_spans", "text"]
-    lost = cut(removals(docs))
-    rows = docs.withColumn("_row", row_key())
+    lost = cut(removals(docs)).select("_row", F.col("n_spans").alias("_n_spans"), F.col("gone").alias("_gone"))
+    # Columns of docs travel in one struct, so that none can clash with those above.
+    others = [c for c in docs.columns if c not in names]
+    rows = docs.select(F.struct(*others).alias("_kept"), "text", row_key().alias("_row"))
     hint = F.broadcast(lost) if few(lost, 50_000) else lost
     joined = rows.join(hint, "_row", "left")
-    fields = [T.StructField("text", T.StringType()), T.StructField("removed_units", T.LongType(), False), T.StructField("removed_words", T.LongType(), False)]
+    zero = F.lit(0).cast("long")
     # Untouched texts don't leave the JVM.
-    plain = joined.where("gone IS NULL").select(*docs.drop(*names).columns, "text", F.lit(0).cast("long").alias("removed_units"),
-                                                F.lit(0).cast("long").alias("removed_words"), F.lit(0).cast("long").alias("repeated_spans"))
+    plain = joined.where("_gone IS NULL").select("_kept", zero.alias("repeated_spans"), "text", zero.alias("removed_units"), zero.alias("removed_words"))
 
     def run(batches):
         for batch in batches:
             for part in text_chunks(batch, "text"):
-                made = [without(t, g) for t, g in zip(part.column("text").to_pylist(), part.column("gone").to_pylist())]
-                kept = [n for n in part.schema.names if n not in ("text", "gone")]
-                cols = zip(*made)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(next(cols), pa.string()), pa.array(next(cols), pa.int64()),
-                                                  pa.array(next(cols), pa.int64())], [*kept, *(f.name for f in fields)])
-
-    touched = joined.where("gone IS NOT NULL").select(*docs.drop(*names).columns, F.col("n_spans").alias("repeated_spans"), "text", "gone")
-    out = T.StructType([*(f for f in touched.schema.fields if f.name not in ("text", "gone")), *fields])
-    return plain.unionByName(touched.mapInArrow(run, out))
+                made = zip(*(without(t, g) for t, g in zip(part.column("text").to_pylist(), part.column("_gone").to_pylist())))
+                yield pa.RecordBatch.from_arrays([part.column("_kept"), part.column("repeated_spans"), *map(pa.array, made, kinds)], order)
+
+    order, kinds = plain.columns, [pa.string(), pa.int64(), pa.int64()]
+    touched = joined.where("_gone IS NOT NULL").select("_kept", F.col("_n_spans").alias("repeated_spans"), "text", "_gone")
+    done = plain.unionByName(touched.mapInArrow(run, plain.schema))
+    return done.select(*(F.col("_kept").getField(c).alias(c) for c in others), "text", "removed_units", "removed_words", "repeated_spans")
 
 
 def span_report(docs: DataFrame) -> DataFrame:
