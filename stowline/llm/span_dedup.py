@@ -75,14 +75,14 @@ def _hashed(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
-    """``high, low, _row, first, last`` of every span; ``_row`` is ``row_key()`` of ``docs``."""
-    rows = docs.where("text IS NOT NULL").select(row_key().alias("_row"), "text")
+    """``high, low, _row, first, last`` of every span; ``_row`` is ``row_key()`` of all rows of ``docs``, null texts too."""
+    rows = docs.select(row_key().alias("_row"), "text")
     names = ["high", "low", "_row", "first", "last"]
 
     def run(batches):
         for batch in batches:
             for part in text_chunks(batch, "text"):
-                found = [_hashed(t) for t in part.column("text").to_pylist()]
+                found = [_hashed(t or "") for t in part.column("text").to_pylist()]
                 at = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 flat = np.array([s for x in found for s in x], np.int64).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), part.column("_row").take(pa.array(at)),
@@ -101,7 +101,7 @@ def removals(docs: DataFrame) -> DataFrame:
     found = all_spans(docs)
     repeated = cut(found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     copies = cut(lookup_join(found, repeated, keys, "n", "inner").drop("n"))
-    owner = docs.where("text IS NOT NULL").select(
+    owner = docs.select(
         row_key().alias("_row"), F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"),
                                           F.xxhash64("text").alias("text")).alias("_owner"))
     placed = copies.join(owner, "_row").withColumn("_place", F.struct("_owner", "first"))

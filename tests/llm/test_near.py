@@ -144,6 +144,17 @@ def test_span_dedup(spark, tmp_path, monkeypatch, small):
     assert span_dedup.span_dedup(docs.limit(0)).count() == 0
 
 
+def test_span_dedup_numbers_null_texts(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda n: "".join(" ".join(rng.choice(VOCAB) for _ in range(9)) + ". " for _ in range(n))
+    passage = text(8)
+    rows = [(0, None), (1, text(2)), (2, text(1) + passage), (3, None), (4, text(1)), (5, passage + text(1)), (6, text(9))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r for r in span_dedup.span_report(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert {i: r.text for i, r in got.items() if i != 5} == dict(r for r in rows if r[0] != 5)
+    assert got[5].text == rows[5][1][len(passage):] and [i for i, r in got.items() if r.changed] == [5]
+
+
 def test_fingerprints(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(imatch, "BUCKET_CHARS", 3000)
     rng = random.Random(4)
