@@ -1,8 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends after ``.``, ``!``, ``?`` or a line break; one of more than ``UNIT_WORDS`` words is cut into units of so
-many. From each unit a span runs forward, and to each unit one runs backward, until it has at least two units
-and ``SPAN_WORDS`` words, so that a repeated passage of 50 words is covered up to both its ends. Spans are hashed
+A sentence ends after a word with a full stop, exclamation or question mark of any script (and what closes a quote or
+bracket after it), or at a line break. Within a sentence a unit ends after the word whose hash is least among some
+``WINDOW`` words in a row (winnowing), so a unit has at most ``WINDOW`` words, and whether one ends at a word
+depends on the ``WINDOW`` - 1 words before and after it alone, not on the place in the sentence. From each unit a span
+runs forward, and to each unit one runs backward, until it has at least two units and ``SPAN_WORDS`` words. So any
+repeated passage of 50 words holds a whole span, wherever it starts in a sentence, and is covered but for at most
+2 * ``WINDOW`` - 2 words at either end; up to an end that is the end of a sentence in both texts. Spans are hashed
 (128 bits, white space between words does not count) and joined over all documents. The first span of a hash, by
 doc_id and place, stays; the units of every other one are removed from their texts, also within one document.
 
@@ -27,51 +31,106 @@ from pyspark.sql import functions as F
 from stowline.llm.common import cut, few, lookup_join, row_key, text_chunks
 
 UNIT_WORDS, SPAN_WORDS = 15, 25
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)|[.!?]+|\n|$)\s*")
-_WORD = re.compile(r"\S+\s*")
+#: Of any so many words in a row in a sentence, a unit ends after one. 4 * WINDOW + SPAN_WORDS - 3 words hold a whole span: 50.
+WINDOW = UNIT_WORDS // 2
+_STOP, _CLOSE = "\u2026\u3002\uff01\uff1f\uff61\u061f\u06d4\u0964\u0965", ")]}\"'*\u00bb\u201c\u201d\u2019\u300d\u300f"
+_STOPS = re.compile(f"[.!?{_STOP}][.!?{re.escape(_STOP + _CLOSE)}]*$")
+#: By last byte of a word: 1 if it ends a sentence, 2 if the whole word decides.
+_LAST = np.zeros(256, np.int8)
+_LAST[[c.encode()[-1] for c in _STOP + _CLOSE]] = 2
+_LAST[list(b".!?")] = 1
+_WORD = re.compile(r"\S+")
+
+
+def _plain(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of ``texts``, each with one space after it, and the places after those spaces; the number of words
+    up to the end of each line and of each text."""
+    plain, lines, ends = [], [], []
+    total = 0
+    for text in texts:
+        for line in text.splitlines():
+            words = line.split()
+            if words:
+                plain.append(" ".join(words))
+                total += len(words)
+                lines.append(total)
+        ends.append(total)
+    plain = " ".join([*plain, ""]).encode()
+    after = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32) + 1
+    return plain, after, np.array(lines, np.int64), np.array(ends, np.int64)
+
+
+def _word_hashes(plain: bytes, after: np.ndarray) -> np.ndarray:
+    """A hash of the length and the last eight bytes of each word."""
+    length = np.diff(after, prepend=0).astype(np.uint64) - np.uint64(1)
+    tails = np.lib.stride_tricks.sliding_window_view(np.frombuffer(bytes(8) + plain, np.uint8), 8)[after - 1].view(">u8").ravel().astype(np.uint64)
+    tails &= np.uint64(2**64 - 1) >> (np.uint64(64) - np.minimum(length, np.uint64(8)) * np.uint64(8))
+    h = (tails ^ (length << np.uint64(56))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def _unit_words(plain: bytes, after: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The number of words before each unit, and that of all words."""
+    n = len(after)
+    ends = np.zeros(n + 1, bool)
+    last = _LAST[np.frombuffer(plain, np.uint8)[after - 2]]
+    ends[1:] = last == 1
+    for k in np.flatnonzero(last == 2).tolist():
+        ends[k + 1] = _STOPS.search(plain[after[k - 1] if k else 0:after[k] - 1].decode()) is not None
+    ends[lines] = ends[0] = True
+    if n >= WINDOW:
+        h = _word_hashes(plain, after)
+        least, at = h[WINDOW - 1:], np.arange(WINDOW - 1, n)
+        for k in range(1, WINDOW):
+            earlier = h[WINDOW - 1 - k:n - k]
+            at = np.where(earlier < least, np.arange(WINDOW - 1 - k, n - k), at)
+            least = np.minimum(earlier, least)
+        # The window has to lie within a sentence.
+        sentence = np.cumsum(ends[:n])
+        ends[at[sentence[:n - WINDOW + 1] == sentence[WINDOW - 1:]] + 1] = True
+    return np.flatnonzero(ends)
 
 
 def units(text: str) -> list[tuple[int, int, int]]:
     """(start, end, words) of each unit of ``text``; together they are the whole text."""
-    out, start, end = [], 0, 0
-    for match in _SENTENCE.finditer(text):
-        end = match.end()
-        sentence = text[start:end]
-        # A full stop inside a word (1.5, a.b) does not end a sentence.
-        if end < len(text) and not sentence[-1:].isspace():
-            continue
-        n = len(sentence.split())
-        if n <= UNIT_WORDS:
-            if sentence:
-                out.append((start, end, n))
-        else:
-            places = [m.start() for m in _WORD.finditer(sentence)]
-            cuts = [0, *places[UNIT_WORDS::UNIT_WORDS], len(sentence)]
-            out += [(start + a, start + b, min(UNIT_WORDS, n - k * UNIT_WORDS)) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-        start = end
-    return out
-
-
-def spans(parts: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(first, last) unit of each span, each once, by place."""
-    words = np.cumsum([0, *(n for _, _, n in parts)])
-    count = len(parts)
-    forward = np.searchsorted(words, words[:-1] + SPAN_WORDS)
-    found = {(i, max(i + 1, int(forward[i]) - 1)) for i in range(count) if forward[i] <= count}
-    backward = np.searchsorted(words, words[1:] - SPAN_WORDS, side="right") - 1
-    found |= {(min(j - 1, int(backward[j])), j) for j in range(count) if backward[j] >= 0}
-    return sorted((i, j) for i, j in found if i >= 0 and j < count)
-
-
-def _hashed(text: str) -> list[tuple[int, int, int, int]]:
+    if not text.strip():
+        return [(0, len(text), 0)] if text else []
+    plain, after, lines, _ = _plain([text])
+    words = _unit_words(plain, after, lines).tolist()
+    starts = [m.start() for m in _WORD.finditer(text)]
+    cuts = [0, *(starts[w] for w in words[1:-1]), len(text)]
+    return [(a, b, w - v) for a, b, v, w in zip(cuts, cuts[1:], words, words[1:])]
+
+
+def spans(words: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last unit of each span, each once, given the number of words before each unit and in all, and the
+    text of each unit."""
+    unit = np.arange(len(texts))
+    forward = np.maximum(unit + 1, np.searchsorted(words, words[:-1] + SPAN_WORDS) - 1)
+    backward = np.minimum(unit - 1, np.searchsorted(words, words[1:] - SPAN_WORDS, side="right") - 1)
+    down = (forward < len(texts)) & (texts[np.minimum(forward, len(texts) - 1)] == texts)
+    up = (backward >= 0) & (texts[backward] == texts) & (forward[backward] != unit)
+    return np.concatenate([unit[down], backward[up]]), np.concatenate([forward[down], unit[up]])
+
+
+def _hashed_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(high, low, first, last) of each span of each of ``texts``, and the number of its text."""
+    plain, after, lines, ends = _plain(texts)
+    if not len(after):
+        return np.empty((0, 4), np.int64), np.empty(0, np.int64)
+    words = _unit_words(plain, after, lines)
+    owner = np.searchsorted(ends, words[:-1], side="right")
+    first, last = spans(words, owner)
+    begin, end = np.append(0, after)[words[first]].tolist(), (after[words[last + 1] - 1] - 1).tolist()
+    keys = b"".join([xxhash.xxh3_128_digest(plain[a:b]) for a, b in zip(begin, end)])
+    origin = np.searchsorted(owner, owner[first])
+    return np.column_stack([np.frombuffer(keys, np.int64).reshape(-1, 2), first - origin, last - origin]), owner[first]
+
+
+def _hashed(text: str) -> np.ndarray:
     """(high, low, first, last) of each span of ``text``."""
-    parts = units(text)
-    keys = [xxhash.xxh3_128_digest(" ".join(text[a:b].split()).encode()) for a, b, _ in parts]
-    out = []
-    for i, j in spans(parts):
-        h = np.frombuffer(xxhash.xxh3_128_digest(b"".join(keys[i:j + 1])), np.int64)
-        out.append((int(h[0]), int(h[1]), i, j))
-    return out
+    return _hashed_all([text])[0]
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
@@ -82,9 +141,7 @@ def all_spans(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in text_chunks(batch, "text"):
-                found = [_hashed(t or "") for t in part.column("text").to_pylist()]
-                at = np.repeat(np.arange(len(found)), [len(x) for x in found])
-                flat = np.array([s for x in found for s in x], np.int64).reshape(-1, 4)
+                flat, at = _hashed_all([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), part.column("_row").take(pa.array(at)),
                                                   pa.array(flat[:, 2].astype(np.int32)), pa.array(flat[:, 3].astype(np.int32))], names)
 
@@ -95,12 +152,12 @@ def removals(docs: DataFrame) -> DataFrame:
     """``_row, n_spans, gone``: for each row that repeats something, its repeated spans as (first, last) units.
 
     ``_row`` is ``row_key()`` of ``docs``, which must be a table scan or a checkpointed frame. All spans are shuffled
-    by bare hash to count them, and those of repeated hashes alone get their documents' ids and are ordered.
+    by half of their hash to count them, and those of repeated halves alone get their documents' ids and are ordered.
     """
     keys = ["high", "low"]
     found = all_spans(docs)
-    repeated = cut(found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    copies = cut(lookup_join(found, repeated, keys, "n", "inner").drop("n"))
+    repeated = cut(found.groupBy("high").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    copies = cut(lookup_join(found, repeated, ["high"], "n", "inner").drop("n"))
     owner = docs.select(
         row_key().alias("_row"), F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"),
                                           F.xxhash64("text").alias("text")).alias("_owner"))

@@ -155,6 +155,42 @@ def test_span_dedup_numbers_null_texts(spark, tmp_path):
     assert got[5].text == rows[5][1][len(passage):] and [i for i, r in got.items() if r.changed] == [5]
 
 
+def test_span_dedup_finds_passages_at_any_phase(spark, tmp_path):
+    rng, fresh = random.Random(5), iter(range(10**6))
+    new = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+
+    def passage(kind):
+        # Without a sentence end; with ends at random; of three sentences of 17 words; of short ones.
+        words = new(51 if kind == 2 else rng.randint(50, 80))
+        every = {0: 999, 1: rng.randint(4, 25), 2: 17, 3: 5}[kind]
+        return [w + rng.choice((".", "!", "?\u00bb", "\u3002")) if i % every == every - 1 and i < len(words) - 1 else w for i, w in enumerate(words)]
+
+    rows, planted = [], []
+    for case in range(60):
+        own = passage(case % 4)
+        for _ in range(2):
+            before, behind = new(rng.randint(1, 40)), new(rng.randint(1, 40))
+            rows.append((len(rows), " ".join(before + own + behind) + "."))
+            planted.append((len(before), len(own)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r for r in span_dedup.span_report(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    # Brute force: a word may go if it is in a run of SPAN_WORDS words that an earlier text has.
+    seen = set()
+    for (i, text), (start, length) in zip(rows, planted):
+        words, n = text.split(), span_dedup.SPAN_WORDS
+        runs = [tuple(words[k:k + n]) for k in range(len(words) - n + 1)]
+        may = {k + j for k, run in enumerate(runs) if run in seen for j in range(n)}
+        seen.update(runs)
+        assert len(may) == (length if i % 2 else 0)
+        left = got[i].text.split()
+        gone = [k for k, w in enumerate(words) if w not in set(left)]
+        assert left == [w for k, w in enumerate(words) if k not in set(gone)] and set(gone) <= may
+        edge = 2 * span_dedup.WINDOW - 2
+        assert got[i].removed_words == len(gone)
+        if i % 2:
+            assert set(range(start + edge, start + length - edge)) <= set(gone) and gone
+
+
 def test_fingerprints(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(imatch, "BUCKET_CHARS", 3000)
     rng = random.Random(4)
