@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stowline.llm import bpe, exact_dedup, imatch, jaccard, langid, mixing, shards, span_dedup, toxicity, weak_quality
+from stowline.llm import bpe, exact_dedup, fim, imatch, jaccard, langid, licenses, mixing, shards, span_dedup, toxicity, weak_quality
 from stowline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,13 @@ def op6(spark, sf_dir):
 @query("op3_weak_label_quality")
 def op3(spark, sf_dir):
     return weak_quality.quality_report(documents(spark, sf_dir))
+
+
+@query("op11_fill_in_middle", fim.REPORT_SQL)
+def op11(spark, sf_dir):
+    return fim.fim_report(documents(spark, sf_dir))
+
+
+@query("op12_license_scan")
+def op12(spark, sf_dir):
+    return licenses.license_report(documents(spark, sf_dir))
