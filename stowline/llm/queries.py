@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stowline.llm import bpe, exact_dedup, fim, imatch, jaccard, langid, licenses, mixing, shards, span_dedup, toxicity, weak_quality
+from stowline.llm import bpe, exact_dedup, fim, imatch, jaccard, langid, licenses, mixing, prefix_trie, shards, span_dedup, toxicity, weak_quality
 from stowline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op11(spark, sf_dir):
 @query("op12_license_scan")
 def op12(spark, sf_dir):
     return licenses.license_report(documents(spark, sf_dir))
+
+
+@query("op13_conversation_trie", prefix_trie.REPORT_SQL)
+def op13(spark, sf_dir):
+    return prefix_trie.trie_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
