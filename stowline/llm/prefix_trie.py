@@ -2,7 +2,7 @@
 
 A conversation is a path of turns; a node is a distinct prefix of turns. A prefix is known by its depth and a hash of
 128 bits: the bitwise sum (xor) of the hashes of (place, role, text) of its turns, so that prefixes of any conversation, however
-long, are running sums. Texts are hashed where they are read and never moved.
+long, are running sums. Texts are hashed first; only putting turns in order (``rebuilt``) moves them, once.
 
 Paths are cut into segments of ``SEGMENT`` turns, each rooted at the prefix before it, so that a long conversation is
 shared by many tasks. A task gets the segments of a range of first turns and inserts them, an Arrow batch at a time, into a
@@ -265,16 +265,27 @@ def end_hashes(ends: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "depth long, p1 long, p2 long, ends_sha256 string")
 
 
+def contents(turns: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep``, and ``c1, c2, size`` for ``role`` and ``text``: a hash of 128 bits and the text's code points."""
+    role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
+    return turns.select(*keep, F.xxhash64(F.lit(71), role, text).alias("c1"), F.xxhash64(F.lit(113), role, text).alias("c2"),
+                        F.length(text).cast("long").alias("size"))
+
+
 def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
-    """The nodes of the trie of ``turns`` (conv_id, depth, role, text; depth from 1 without gaps).
+    """The nodes of the trie of ``turns`` (conv_id, depth, role, text; depth from 1 without gaps); see ``trie_of``."""
+    return trie_of(contents(turns, "conv_id", "depth"), conversations)
+
+
+def trie_of(turns: DataFrame, conversations: DataFrame) -> DataFrame:
+    """The nodes of the trie of ``turns`` (conv_id, depth from 1 without gaps, and c1, c2, size of ``contents``).
 
     ``conversations`` (conv_id) are all members, those without turns too; each id once. Gives, per node, ``conv_id`` (its smallest member),
     ``depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256``. Null role or text counts as empty.
     """
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
-    hashed = turns.select("conv_id", F.col("depth").cast("long").alias("depth"), F.length(text).cast("long").alias("size"),
-                          *(F.xxhash64(F.lit(seed), "depth", role, text).alias(f"h{i}") for i, seed in ((1, 71), (2, 113))))
+    hashed = turns.select("conv_id", F.col("depth").cast("long").alias("depth"), "size",
+                          F.xxhash64(F.lit(29), "depth", "c1", "c2").alias("h1"), F.xxhash64(F.lit(31), "depth", "c2", "c1").alias("h2"))
     segments = cut(paths(hashed, conversations))
     nodes = merged(segments.withColumns({"w1": one, "w2": zero}), ["w1", "w2"])
     chain = Window.partitionBy("conv_id").orderBy("depth")
@@ -310,28 +321,29 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
 
 
 def rebuilt(conversations: DataFrame, block: int = 100, most: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Turns (conv_id, depth, role, text) and ids of the conversations that begin like the first of their block.
+    """Turns (conv_id, depth, and ``contents``) and ids of the conversations that begin like the first of their block.
 
     Conversation c takes the first h turns of conversation c - c % block, h = crc32(c) % most, then its own turns after its first h.
     """
     turns = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     turns = turns.withColumns({"none": F.col("turn").isNotNull(), "role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
-    placed = cut(number_in_group(turns, ["conv_id"], ["none", "turn", "role", "text"], "at").select("conv_id", "at", "role", "text"))
+    content = ["c1", "c2", "size"]
+    placed = cut(contents(number_in_group(turns, ["conv_id"], ["none", "turn", "role", "text"], "at"), "conv_id", "at"))
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % most
     ids = placed.where("at = 0").select("conv_id", h.alias("h"), (F.col("conv_id") - F.col("conv_id") % block).alias("base"))
     # At most ``most`` - 1 turns of a base, for at most 2 * ``block`` - 1 conversations.
-    heads = placed.where(F.col("at") < most - 1).select(F.col("conv_id").alias("base"), "at", "role", "text")
+    heads = placed.where(F.col("at") < most - 1).select(F.col("conv_id").alias("base"), "at", *content)
     sizes = heads.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
     known = cut(ids.join(sizes, "base", "left").select("conv_id", "base", "h", F.least("h", F.coalesce("n", F.lit(0))).alias("taken")))
-    begun = known.join(heads, "base").where("at < h").select("conv_id", (F.col("at") + 1).alias("depth"), "role", "text")
+    begun = known.join(heads, "base").where("at < h").select("conv_id", (F.col("at") + 1).alias("depth"), *content)
     shift = known.select("conv_id", "h", "taken")
-    rest = placed.join(shift, "conv_id").where("at >= h").select("conv_id", (F.col("at") - F.col("h") + F.col("taken") + 1).alias("depth"), "role", "text")
+    rest = placed.join(shift, "conv_id").where("at >= h").select("conv_id", (F.col("at") - F.col("h") + F.col("taken") + 1).alias("depth"), *content)
     return begun.unionByName(rest), known.select("conv_id")
 
 
 def trie_report(conversations: DataFrame) -> DataFrame:
     """The nodes of the trie of the rebuilt ``conversations`` (conv_id, turn, role, text)."""
-    return prefix_trie(*rebuilt(conversations))
+    return trie_of(*rebuilt(conversations))
 
 
 REPORT_SQL = """
