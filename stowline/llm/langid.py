@@ -1,7 +1,7 @@
 """Language ID: averaged hashed subword embeddings, a linear softmax, calibrated rejection.
 
-The model learns from a bounded sample of (text, lang): at most about ``TRAIN_ROWS`` rows, shared equally among the
-languages, and ``TRAIN_WORDS`` consecutive words of each from a place that depends on its hash. Every fifth
+The model learns from a bounded sample of (text, lang): at most ``TRAIN_ROWS`` different texts, shared equally among the
+languages (one of each at least), and ``TRAIN_WORDS`` consecutive words of each from a place that depends on its hash. Every fifth
 sampled row is set aside: it sets the softmax temperature and the rejection threshold, the score that all but
 ``REJECT_SHARE`` of its rightly predicted rows reach (never above ``REJECT_MOST``). Prediction reads whole texts.
 
@@ -14,12 +14,12 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stowline.llm.common import with_arrow
-from stowline.llm.subword import Trainer, WordSums, clean_letters, softmax
+from stowline.llm.common import cut, lookup_join, with_arrow
+from stowline.llm.subword import BUCKETS, Trainer, WordSums, clean_letters, softmax
 
 TRAIN_ROWS, TRAIN_WORDS = 6_000, 60
 LO, HI = 1, 4
@@ -33,26 +33,35 @@ def fold() -> Column:
 
 
 def sample(labelled: DataFrame, rows: int, words: int) -> list[tuple[str, str]]:
-    """A bounded sample of (lang, words): about rows / languages of each, chosen by a hash of the text."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    """A bounded sample of (lang, words): of each language the same number of different texts, those with the least hash.
+
+    Copies count once, so that a text that fills its language is drawn like any other. At most ``rows`` texts, or one of each language.
+    """
+    hashed = labelled.withColumn("hash", F.xxhash64("text", F.lit(3)))
+    known = cut(hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("hash").alias("texts")))
+    langs = known.count()
+    if not langs:
         return []
-    each = max(1, rows // len(counts))
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))))
-    draw = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_003)) / 1_000_003
-    chosen = labelled.where(draw < share[F.col("lang")]).select("lang", "text")
+    each = max(1, rows // langs)
+    # Far more hashes than are wanted, but not all of a large table, are told apart and put in order.
+    draw = F.pmod(F.col("hash"), F.lit(1_000_003)) / 1_000_003 < F.lit(max(64.0, 4.0 * each)) / F.col("texts")
+    texts = lookup_join(hashed.select("lang", "hash"), known, ["lang"], "n", "inner").where(draw).select("lang", "hash").distinct()
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    chosen = texts.withColumn("at", order).where(F.col("at") <= each).select("lang", "hash")
+    # At most ``rows`` hashes, or one of each language.
+    found = hashed.join(F.broadcast(cut(chosen)), ["lang", "hash"]).groupBy("lang", "hash").agg(F.first("text").alias("text"))
 
     def make():
-        def cut(texts):
+        def some_words(texts):
             out = []
             for text in texts:
                 tokens = text.split()
                 at = zlib.crc32(text[:200].encode()) % max(1, len(tokens) - words)
                 out.append(" ".join(tokens[at:at + words]))
             return [out]
-        return cut
+        return some_words
 
-    taken = with_arrow(chosen, "text", [T.StructField("words", T.StringType())], make, ["text"]).limit(2 * rows).collect()
+    taken = with_arrow(found.select("lang", "text"), "text", [T.StructField("words", T.StringType())], make, ["text"]).collect()
     return sorted((r["lang"], r["words"]) for r in taken if r["words"])
 
 
@@ -61,12 +70,12 @@ class Model:
 
     def __init__(self, rows: list[tuple[str, str]]):
         self.langs = sorted({lang for lang, _ in rows})
-        self.table, self.bias, self.heat, self.least = np.zeros((1, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0
+        self.table, self.bias, self.heat, self.least = np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0
         if not rows:
             return
         at = {lang: i for i, lang in enumerate(self.langs)}
         trainer = Trainer(len(self.langs), LO, HI)
-        bags = [trainer.rows([clean_letters(w) for w in text.lower().split()]) for _, text in rows]
+        bags = trainer.rows([[clean_letters(w) for w in text.lower().split()] for _, text in rows])
         labels = np.array([at[lang] for lang, _ in rows])
         aside = np.array([zlib.crc32(text.encode()) % 5 == 0 for _, text in rows])
         trainer.fit([bags[i] for i in np.flatnonzero(~aside)], labels[~aside], epochs=EPOCHS, steps=STEPS)

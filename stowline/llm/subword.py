@@ -7,9 +7,10 @@ and a word's share can be cached.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterable, Sequence
+from collections import defaultdict
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import chain, count, islice
 
 import numpy as np
 
@@ -25,17 +26,58 @@ def clean_edges(token: str) -> str:
     return token.strip(".,;:!?\"'()[]|*$%&#")
 
 
-def grams(word: str, lo: int, hi: int) -> list[int]:
-    """Table rows of the n-grams of ``word`` with its ends marked, and of the marked word."""
-    if not word:
-        return []
-    w = f"<{word}>"
-    n = len(w)
-    out = [zlib.crc32(w[i:i + k].encode()) % BUCKETS for k in range(lo, hi + 1) for i in range(n - k + 1)]
-    out.append(zlib.crc32(f"={w}".encode()) % BUCKETS)
+def codes(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of ``words``, one after the other, and the length of each word."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), sizes
+
+
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h ^ np.uint64(salt * 0x2545F4914F6CDD1D % 2**64)) * _MIX
+    h = (h ^ (h >> np.uint64(32))) * _STEP
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(points: np.ndarray, sizes: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each word's code points, 0 for empty words."""
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(points)) - np.repeat(starts, sizes)
+    out, some = np.zeros(len(sizes), np.uint64), sizes > 0
+    if some.any():
+        powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(int(sizes.max()), _STEP)])
+        out[some] = mixed(np.add.reduceat((points + np.uint64(1)) * powers[place], starts[some]), salt)
     return out
 
 
+def grams(words: Sequence[str], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of the n-grams of each word with its ends marked, and of the marked word; word after word, and how many each has.
+
+    The hashes of all n-grams of a length are made at once from those of the length before. An empty word has none.
+    """
+    points, sizes = codes([f"<{w}>" if w else "" for w in words])
+    starts = np.cumsum(sizes) - sizes
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(points))
+    counts = [np.maximum(sizes - k + 1, 0) for k in range(lo, hi + 1)]
+    total = np.sum(counts, axis=0) + (sizes > 0)
+    out = np.empty(int(total.sum()), np.int64)
+    at = np.cumsum(total) - total
+    shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
+    h = points + np.uint64(1)
+    for k in range(1, hi + 1):
+        if k > 1:
+            h = h[:-1] * _STEP + points[k - 1:] + np.uint64(1) if len(h) else h
+        if k >= lo:
+            here, n = np.flatnonzero(left[:len(h)] >= k), counts[k - lo]
+            out[np.repeat(at - starts, n) + here] = mixed(h[here], k) >> shift
+            at = at + n
+    some = sizes > 0
+    out[at[some]] = (word_hashes(points, sizes, 99) >> shift)[some]
+    return out, total
+
+
 @dataclass
 class Trainer:
     """Embeddings and softmax, trained jointly by stochastic gradient descent with per-row step sizes."""
@@ -58,14 +100,12 @@ class Trainer:
         self.w2 = np.full(self.w.shape, 1e-3, np.float32)
         self.b2 = np.full(self.classes, 1e-3, np.float32)
 
-    def rows(self, words: Iterable[str]) -> np.ndarray:
-        parts = []
-        for word in words:
-            found = self.words.get(word)
-            if found is None:
-                found = self.words[word] = np.array(grams(word, self.lo, self.hi), np.int32)
-            parts.append(found)
-        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+    def rows(self, bags: Sequence[Sequence[str]]) -> list[np.ndarray]:
+        """The table rows of each bag of words."""
+        new = list({w: None for words in bags for w in words if w not in self.words})
+        flat, sizes = grams(new, self.lo, self.hi)
+        self.words.update(zip(new, np.split(flat.astype(np.int32), np.cumsum(sizes)[:-1])))
+        return [np.concatenate([self.words[w] for w in words]) if words else np.empty(0, np.int32) for words in bags]
 
     def _bags(self, bags: Sequence[np.ndarray]):
         sizes = np.fromiter((max(1, len(x)) for x in bags), np.int64, len(bags))
@@ -116,6 +156,22 @@ class Trainer:
         return (self.e @ self.w).astype(np.float32)
 
 
+class WordIds(defaultdict):
+    """Numbers words in the order in which they are first met."""
+
+    def __init__(self):
+        super().__init__(count().__next__)
+
+    def of(self, texts: Sequence[Sequence[str]]) -> list[np.ndarray]:
+        sizes = list(map(len, texts))
+        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if sizes else []
+
+    def since(self, first: int) -> list[str]:
+        """The words numbered from ``first`` on."""
+        return list(islice(self, first, None)) if len(self) > first else []
+
+
 class WordSums:
     """For each word the sum of its n-grams' logits and their count, for the words seen last."""
 
@@ -124,38 +180,30 @@ class WordSums:
         self._empty()
 
     def _empty(self):
-        self.index: dict[str, int] = {}
+        self.index = WordIds()
         self.sums = np.zeros((1024, self.table.shape[1] + 1), np.float32)
 
-    def _add(self, words: list[str]) -> None:
-        first = len(self.index)
-        lists = []
-        for word in words:
-            self.index[word] = first + len(lists)
-            lists.append(grams(self.clean(word), self.lo, self.hi))
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        while len(self.sums) < first + len(lists):
+    def _add(self, words: list[str], first: int) -> None:
+        while len(self.sums) < first + len(words):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        for i in range(0, len(lists), 20_000):
-            part, size = lists[i:i + 20_000], sizes[i:i + 20_000]
-            flat = np.fromiter((x for y in part for x in y), np.int64, int(size.sum()))
+        for i in range(0, len(words), 20_000):
+            flat, size = grams([self.clean(w) for w in words[i:i + 20_000]], self.lo, self.hi)
             some = np.flatnonzero(size)
+            at = first + i + np.arange(len(size))
+            self.sums[at] = 0
             if len(some):
-                at = first + i + some
-                self.sums[at, :-1] = np.add.reduceat(self.table[flat], (np.cumsum(size) - size)[some])
-                self.sums[at, -1] = size[some]
+                self.sums[at[some], :-1] = np.add.reduceat(self.table[flat], (np.cumsum(size) - size)[some])
+                self.sums[at[some], -1] = size[some]
 
     def lookup(self, texts: Sequence[Sequence[str]]) -> list[np.ndarray]:
         """For each list of words, the rows (sums of logits ..., count) of its words."""
         if len(self.index) > self.entries:
             self._empty()
-        get = self.index.get
-        found = [list(map(get, words)) for words in texts]
-        missing = list(dict.fromkeys(w for words, ids in zip(texts, found) if None in ids for w, i in zip(words, ids) if i is None))
-        if missing:
-            self._add(missing)
-            found = [list(map(get, words)) if None in ids else ids for words, ids in zip(texts, found)]
-        return [self.sums[np.array(ids, np.int64)] for ids in found]
+        first = len(self.index)
+        found = self.index.of(texts)
+        if new := self.index.since(first):
+            self._add(new, first)
+        return [self.sums[ids] for ids in found]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from stowline.llm.common import with_arrow
 from stowline.llm.langid import fold
-from stowline.llm.subword import Trainer, WordSums, clean_edges, platt
+from stowline.llm.subword import BUCKETS, Trainer, WordSums, clean_edges, platt
 
 WINDOW = 12
 TRAIN_ROWS, TRAIN_WINDOWS = 1_500, 40
@@ -75,13 +75,14 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[list[tuple[in
 
 class Model:
     def __init__(self, rows: list[tuple[int, list[str]]], share: float):
-        self.table, self.bias = np.zeros((1, 2), np.float32), np.zeros(2, np.float32)
+        self.table, self.bias = np.zeros((BUCKETS, 2), np.float32), np.zeros(2, np.float32)
         self.curve = (0.0, 30.0 if share else -30.0)
         labels = np.array([label for label, _ in rows])
         if not rows or labels.min() == labels.max():
             return
         trainer = Trainer(2, LO, HI, dim=8)
-        bags = [[trainer.rows([clean_edges(w) for w in x.split()]) for x in found] for _, found in rows]
+        flat = iter(trainer.rows([[clean_edges(w) for w in x.split()] for _, found in rows for x in found]))
+        bags = [[next(flat) for _ in found] for _, found in rows]
         aside = np.array([zlib.crc32("".join(found).encode()) % 5 == 0 for _, found in rows])
         if labels[~aside].min() == labels[~aside].max() or not aside.any() or labels[aside].min() == labels[aside].max():
             aside[:] = False
