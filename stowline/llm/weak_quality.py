@@ -6,8 +6,8 @@ often each labeller votes what for good and for bad documents, and the share of
 of two bad votes or more as bad, which also says which class is which. The posterior of its pattern is a document's weak label.
 
 A hashed linear scorer (logistic, over word and word-shape features, averaged over the text) then learns the
-posteriors of a bounded sample, about ``TRAIN_ROWS`` rows by a hash of the text, and scores every whole text. It sees no
-label, language, source or id. ``kept`` is score >= 0.5.
+posteriors of a bounded sample, ``TRAIN_ROWS`` different texts with the least hash and ``TRAIN_WORDS`` words of each, and scores
+every whole text. It sees no label, language, source or id. ``kept`` is score >= 0.5.
 
 A text without words (null too) gets no features and is not kept. Equal texts get equal scores. Other columns pass
 through; columns with the names of the results are replaced. An empty table gives an empty result.
@@ -17,16 +17,18 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stowline.llm.common import with_arrow
+from stowline.llm.common import cut, with_arrow
+from stowline.llm.subword import WordIds, codes, word_hashes
 
 BUCKETS = 1 << 16
-TRAIN_ROWS, EPOCHS = 4_000, 8
+TRAIN_ROWS, TRAIN_WORDS, EPOCHS = 4_000, 2_000, 8
 SEED = 13
 _SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()\-]")
 _PLAIN = re.compile(r"[\"'(]?[^\W_]+(?:['’\-][^\W_]+)*[\"')]?[.,;:!?]?[\"')]?")
@@ -45,20 +47,47 @@ LABELLERS = (
 )
 
 
-def _facts(word: str) -> tuple[int, int, int, int, int, int, int, int]:
-    """Of a word: table rows of itself and its shape, a hash, and its length, symbols, letters and flags."""
-    data = word.encode()
-    if word.isalpha():
-        plain, odd, symbols, letters = True, False, 0, len(word)
-    elif word[:-1].isalpha() and word[-1] in ".,;:!?":
-        plain, odd, symbols, letters = True, False, 0, len(word) - 1
-    else:
-        plain = _PLAIN.fullmatch(word) is not None
-        odd = not (word[-1].isalnum() or word[-1] in ".,;:!?\"')" and (len(word) < 2 or word[-2].isalnum()))
-        symbols, letters = len(_SYMBOLS.findall(word)), sum(map(str.isalpha, word))
-    upper = word == "|" or len(word) > 1 and word == word.upper()
-    return (zlib.crc32(word.lower().encode()) % BUCKETS, zlib.crc32(b"#" + _shape(word).encode()) % BUCKETS,
-            zlib.crc32(data) << 20 | zlib.adler32(data) & 0xFFFFF, len(word), symbols, letters, plain | odd << 1 | upper << 2, 0)
+#: Of code points seen so far: what they are (bits, 255 if not yet known), their lower case, and what stands for them in a shape.
+_ALPHA, _ALNUM, _CAPITAL, _SYMBOL, _MARK, _CLOSE = 1, 2, 4, 8, 16, 32
+_kind = np.full(0x110000, 255, np.uint8)
+_lower, _sign = np.zeros(0x110000, np.uint32), np.zeros(0x110000, np.uint32)
+
+
+def _learn(points: np.ndarray) -> None:
+    for point in np.unique(points[_kind[points] == 255]).tolist():
+        c = chr(point)
+        _kind[point] = (_ALPHA * c.isalpha() | _ALNUM * c.isalnum() | _CAPITAL * (c.upper() == c) | _SYMBOL * bool(_SYMBOLS.match(c))
+                        | _MARK * (c in ".,;:!?") | _CLOSE * (c in "\"')"))
+        _lower[point] = ord(c.lower()) if len(c.lower()) == 1 else point
+        _sign[point] = ord("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c)
+
+
+def _facts(words: list[str]) -> np.ndarray:
+    """Of each word: table rows of itself and its shape, a hash, and its length, symbols, letters and flags.
+
+    The shape of a word has X, x and 9 for its first 24 letters and digits, and no more than two of a kind in a row.
+    """
+    points, sizes = codes(words)
+    points = points.astype(np.int64)
+    _learn(points)
+    starts = np.cumsum(sizes) - sizes
+    kind, ends = _kind[points], starts + sizes - 1
+    shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
+    sign, place = _sign[points], np.arange(len(points)) - np.repeat(starts, sizes)
+    keep = place < 24
+    keep[2:] &= (place[2:] < 2) | (sign[2:] != sign[1:-1]) | (sign[2:] != sign[:-2])
+    letters = np.add.reduceat(kind & _ALPHA, starts, dtype=np.int64)
+    last, before = kind[ends], np.where(sizes > 1, kind[np.maximum(ends - 1, 0)], _ALNUM)
+    plain = (letters == sizes) | (letters == sizes - 1) & (sizes > 1) & (last & _MARK > 0)
+    for i in np.flatnonzero(~plain).tolist():
+        plain[i] = _PLAIN.fullmatch(words[i]) is not None
+    odd = ~((last & _ALNUM > 0) | (last & (_MARK | _CLOSE) > 0) & (before & _ALNUM > 0))
+    upper = (sizes > 1) & np.logical_and.reduceat(kind & _CAPITAL > 0, starts) | (sizes == 1) & (points[starts] == ord("|"))
+    return np.column_stack([
+        (word_hashes(_lower[points].astype(np.uint64), sizes, 5) >> shift).astype(np.int64),
+        (word_hashes(sign[keep].astype(np.uint64), np.add.reduceat(keep, starts, dtype=np.int64), 6) >> shift).astype(np.int64),
+        word_hashes(points.astype(np.uint64), sizes, 7).view(np.int64), sizes, np.add.reduceat(kind & _SYMBOL > 0, starts, dtype=np.int64), letters,
+        plain | odd.astype(np.int64) << 1 | upper.astype(np.int64) << 2, np.zeros(len(words), np.int64)])
 
 
 class Words:
@@ -69,23 +98,21 @@ class Words:
         self._empty()
 
     def _empty(self):
-        self.index: dict[str, int] = {}
-        self.facts = np.zeros((1024, 8), np.int64)
+        self.index, self.facts = WordIds(), np.zeros((1024, 8), np.int64)
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
+    def of(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """The facts of the words of each text; new words of all texts are looked at together."""
         if len(self.index) > self.entries:
             self._empty()
-        ids = list(map(self.index.get, words))
-        if None in ids:
-            new = list(dict.fromkeys(w for w, known in zip(words, ids) if known is None))
-            first = len(self.index)
-            self.index.update(zip(new, range(first, first + len(new))))
-            while len(self.facts) < len(self.index):
-                self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-            self.facts[first:len(self.index)] = list(map(_facts, new))
-            ids = list(map(self.index.get, words))
-        return self.facts[np.array(ids, np.int64)]
+        first = len(self.index)
+        found = self.index.of([(text or "").split() for text in texts])
+        new = self.index.since(first)
+        while len(self.facts) < len(self.index):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        for at in range(0, len(new), 50_000):
+            part = new[at:at + 50_000]
+            self.facts[first + at:first + at + len(part)] = _facts(part)
+        return [self.facts[ids] for ids in found]
 
 
 def measures(facts: np.ndarray) -> dict[str, float]:
@@ -139,13 +166,6 @@ def label_model(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, fl
     return dict(zip(codes, good.tolist())), tables, float(share)
 
 
-def _shape(word: str) -> str:
-    if word.isalpha() and (word.islower() or word.istitle()):
-        return "xx"[:len(word)] if word.islower() else "Xxx"[:len(word)]
-    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:24])
-    return re.sub(r"(.)\1+", r"\1\1", out)
-
-
 def features(facts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Table rows and values of a text: its words, their shapes, and words that repeat the one before."""
     if not len(facts):
@@ -159,11 +179,9 @@ def _logistic(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_scorer(rows: list[tuple[str, float]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias by stochastic gradient descent on the posteriors."""
-    words, rng = Words(), np.random.default_rng(SEED)
-    found = [features(words.of(text)) for text, _ in rows]
-    goal = np.array([p for _, p in rows])
+def train_scorer(found: list[tuple[np.ndarray, np.ndarray]], goal: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and bias by stochastic gradient descent on the posteriors ``goal`` of texts with the features ``found``."""
+    rng = np.random.default_rng(SEED)
     w, b, g2 = np.zeros(BUCKETS, np.float32), 0.0, np.full(BUCKETS, 1e-4, np.float32)
     for epoch in range(epochs):
         for k in rng.permutation(len(found)):
@@ -180,7 +198,7 @@ def weak_labels(docs: DataFrame) -> dict[int, float]:
     """The posterior of good by pattern, from the votes of all rows."""
     def make():
         words = Words()
-        return lambda texts: [[votes(words.of(t)) for t in texts]]
+        return lambda texts: [list(map(votes, words.of(texts)))]
 
     voted = with_arrow(docs, "text", [T.StructField("votes", T.IntegerType())], make)
     counts = voted.where("votes IS NOT NULL").groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
@@ -188,23 +206,47 @@ def weak_labels(docs: DataFrame) -> dict[int, float]:
     return label_model({r["votes"]: r["n"] for r in counts.collect()})[0]
 
 
+def sample(docs: DataFrame, rows: int) -> list[tuple[int, list[int], list[float]]]:
+    """Votes, table rows and values of a bounded sample: the ``rows`` different texts with the least hash.
+
+    Copies count once. Votes are those of the whole text; the features are those of ``TRAIN_WORDS`` words in a row.
+    """
+    hashed = docs.where("text IS NOT NULL").select("text", F.xxhash64("text", F.lit(SEED)).alias("hash"))
+    texts = hashed.agg(F.approx_count_distinct("hash")).first()[0]
+    # Far more hashes than are wanted, but not all of a large table, are told apart and put in order.
+    draw = F.pmod(F.col("hash"), F.lit(1_000_003)) / 1_000_003 < 4 * rows / max(1, texts)
+    chosen = cut(hashed.where(draw).select("hash").distinct().orderBy("hash").limit(rows))
+    found = hashed.join(F.broadcast(chosen), "hash").groupBy("hash").agg(F.first("text").alias("text"))
+    fields = [T.StructField("votes", T.IntegerType()), T.StructField("rows", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.DoubleType()))]
+
+    def make():
+        words = Words()
+
+        def work(texts):
+            facts = words.of(texts)
+            parts = [f[(at := zlib.crc32(t[:200].encode()) % max(1, len(f) - TRAIN_WORDS)):at + TRAIN_WORDS] for t, f in zip(texts, facts)]
+            at, values = zip(*map(features, parts))
+            return list(map(votes, facts)), [a.tolist() for a in at], [v.tolist() for v in values]
+        return work
+
+    taken = with_arrow(found.select("text"), "text", fields, make, ["text"]).where("votes IS NOT NULL").collect()
+    return sorted((r["votes"], r["rows"], r["values"]) for r in taken)
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """Add ``votes``, ``weak_label`` (posterior of good), ``score`` and ``kept``."""
     only = docs.select("text")
     posterior = weak_labels(only)
-    total = docs.count()
-    draw = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1_000_003)) / 1_000_003
-    chosen = only.where(F.col("text").isNotNull() & (draw < TRAIN_ROWS / max(1, total))).limit(3 * TRAIN_ROWS)
-    words = Words()
-    rows = sorted((r["text"], posterior[code]) for r in chosen.toLocalIterator() if (code := votes(words.of(r["text"]))) is not None)
-    weights, bias = train_scorer(rows)
+    taken = sample(only, TRAIN_ROWS)
+    weights, bias = train_scorer([(np.array(at, np.int64), np.array(value, np.float32)) for _, at, value in taken],
+                                 np.array([posterior[code] for code, _, _ in taken]))
     fields = [T.StructField("votes", T.IntegerType()), T.StructField("weak_label", T.DoubleType()), T.StructField("score", T.DoubleType(), False)]
 
     def make():
         words = Words()
 
         def work(texts):
-            facts = [words.of(t) for t in texts]
+            facts = words.of(texts)
             codes = list(map(votes, facts))
             score = [0.0 if code is None else float(_logistic(float(weights[at] @ value) + bias))
                      for code, (at, value) in zip(codes, map(features, facts))]
