@@ -1,12 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence ends after a word with a full stop, exclamation or question mark of any script (and what closes a quote or
-bracket after it), or at a line break. Within a sentence a unit ends after the word whose hash is least among some
-``WINDOW`` words in a row (winnowing), so a unit has at most ``WINDOW`` words, and whether one ends at a word
-depends on the ``WINDOW`` - 1 words before and after it alone, not on the place in the sentence. From each unit a span
-runs forward, and to each unit one runs backward, until it has at least two units and ``SPAN_WORDS`` words. So any
-repeated passage of 50 words holds a whole span, wherever it starts in a sentence, and is covered but for at most
-2 * ``WINDOW`` - 2 words at either end; up to an end that is the end of a sentence in both texts. Spans are hashed
+bracket after it), or at a line break. Sentences are the units; one of more than ``WINDOW`` words is split by its content: a
+unit ends after the word whose hash is least among some ``WINDOW`` words of the sentence in a row (winnowing), so that whether
+one ends at a word depends on the ``WINDOW`` - 1 words before and after it alone, not on the place in the sentence. A span is a run
+of units: from each unit one runs forward, and to each unit one runs backward, until it has at least two units and
+``SPAN_WORDS`` words. So any repeated passage of 2 * ``WINDOW`` + ``SPAN_WORDS`` + ``WINDOW`` words holds a whole span, wherever it
+starts in a sentence, and is covered but for at most ``WINDOW`` words at either end. Spans are hashed
 (128 bits, white space between words does not count) and joined over all documents. The first span of a hash, by
 doc_id and place, stays; the units of every other one are removed from their texts, also within one document.
 
@@ -14,8 +14,10 @@ Units that several spans of a hash cover are removed once. Texts without a repea
 for byte. A removed unit goes with the white space after it. Null text stays null; rows with the same doc_id and text
 count as one document (they are copies of each other; exact dedup is another operator), null ids come last.
 
-Span hashes, not texts, are shuffled; a hash of any number of spans is reduced by partial aggregation and met again
-by ``lookup_join``. Only texts that lose something are rewritten, and the removals of a document are as few as its spans.
+Halves of hashes are counted first. A bit map of those that occur twice, of at most ``FILTER_BITS`` bits, lets a second pass drop
+nearly all other spans before they are shuffled (one bit may stand for several hashes; the counts that follow are exact, and beyond
+the bound more spans are shuffled). A hash of ``HOT_ROWS`` spans or more is reduced by partial aggregation and its few
+first places are broadcast; the others are ordered in the task of their hash. Texts move only if they lose something.
 """
 
 from __future__ import annotations
@@ -25,14 +27,20 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowline.llm.common import cut, few, lookup_join, row_key, text_chunks
-
-UNIT_WORDS, SPAN_WORDS = 15, 25
-#: Of any so many words in a row in a sentence, a unit ends after one. 4 * WINDOW + SPAN_WORDS - 3 words hold a whole span: 50.
-WINDOW = UNIT_WORDS // 2
+from stowline.llm.common import cut, lookup_join, row_key, text_chunks
+
+UNIT_WORDS, SPAN_WORDS = 10, 20
+#: A longer sentence is split, one end among so many words in a row. 3 * WINDOW + SPAN_WORDS words hold a whole span: 50.
+WINDOW = UNIT_WORDS
+#: Bits of the map of repeated hashes: ``FILTER_SHARE`` for each, but no more than this (32 MB).
+FILTER_BITS, FILTER_SHARE = 1 << 28, 8
+#: A hash with so many spans is hot.
+HOT_ROWS = 200_000
+#: What each task gets of documents that lose something, if so many bytes hold them.
+LOST_BYTES = 32_000_000
 _STOP, _CLOSE = "\u2026\u3002\uff01\uff1f\uff61\u061f\u06d4\u0964\u0965", ")]}\"'*\u00bb\u201c\u201d\u2019\u300d\u300f"
 _STOPS = re.compile(f"[.!?{_STOP}][.!?{re.escape(_STOP + _CLOSE)}]*$")
 #: By last byte of a word: 1 if it ends a sentence, 2 if the whole word decides.
@@ -86,9 +94,10 @@ def _unit_words(plain: bytes, after: np.ndarray, lines: np.ndarray) -> np.ndarra
             earlier = h[WINDOW - 1 - k:n - k]
             at = np.where(earlier < least, np.arange(WINDOW - 1 - k, n - k), at)
             least = np.minimum(earlier, least)
-        # The window has to lie within a sentence.
+        # The window has to lie within a sentence that is too long.
         sentence = np.cumsum(ends[:n])
-        ends[at[sentence[:n - WINDOW + 1] == sentence[WINDOW - 1:]] + 1] = True
+        within = (sentence[:n - WINDOW + 1] == sentence[WINDOW - 1:]) & (np.bincount(sentence)[sentence[WINDOW - 1:]] > WINDOW)
+        ends[at[within] + 1] = True
     return np.flatnonzero(ends)
 
 
@@ -133,37 +142,71 @@ def _hashed(text: str) -> np.ndarray:
     return _hashed_all([text])[0]
 
 
-def all_spans(docs: DataFrame) -> DataFrame:
-    """``high, low, _row, first, last`` of every span; ``_row`` is ``row_key()`` of all rows of ``docs``, null texts too."""
-    rows = docs.select(row_key().alias("_row"), "text")
-    names = ["high", "low", "_row", "first", "last"]
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``_row``, the text, and what orders documents; ``_row`` is ``row_key()`` of all rows of ``docs``, null texts too."""
+    return docs.select(row_key().alias("_row"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"),
+                       F.xxhash64("text").alias("twin"), "text")
+
+
+_PLACE = ["none", "doc", "twin", "first"]
+
+
+def all_spans(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """``high, low, _row, none, doc, twin, first, last`` of every span whose bit in the map ``bits`` is set."""
+    names = ["high", "low", "_row", "none", "doc", "twin", "first", "last"]
+    shared = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
+        chosen = None if shared is None else shared.value
         for batch in batches:
             for part in text_chunks(batch, "text"):
                 flat, at = _hashed_all([t or "" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), part.column("_row").take(pa.array(at)),
-                                                  pa.array(flat[:, 2].astype(np.int32)), pa.array(flat[:, 3].astype(np.int32))], names)
-
-    return rows.mapInArrow(run, "high long, low long, _row long, first int, last int")
+                if chosen is not None:
+                    place = flat[:, 0] & (len(chosen) * 64 - 1)
+                    keep = chosen[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1) > 0
+                    flat, at = flat[keep], at[keep]
+                rows = [part.column(c).take(pa.array(at)) for c in names[2:6]]
+                yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), *rows, pa.array(flat[:, 2].astype(np.int32)),
+                                                  pa.array(flat[:, 3].astype(np.int32))], names)
+
+    return _numbered(docs).mapInArrow(run, "high long, low long, _row long, none boolean, doc long, twin long, first int, last int")
+
+
+def _bit_map(repeated: DataFrame) -> np.ndarray:
+    """One bit for the low end of each hash half, as 64-bit words; at most ``FILTER_BITS`` bits reach the driver."""
+    size = 64
+    total = repeated.count()
+    while size < min(FILTER_BITS, FILTER_SHARE * total):
+        size *= 2
+    place = F.col("high").bitwiseAND(F.lit(size - 1))
+    words = repeated.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, CAST(high & 63 AS INT))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(size // 64, np.uint64)
+    for batch in found.toArrow().to_batches():
+        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """``_row, n_spans, gone``: for each row that repeats something, its repeated spans as (first, last) units.
 
-    ``_row`` is ``row_key()`` of ``docs``, which must be a table scan or a checkpointed frame. All spans are shuffled
-    by half of their hash to count them, and those of repeated halves alone get their documents' ids and are ordered.
+    ``_row`` is ``row_key()`` of ``docs``, which must be a table scan or a checkpointed frame.
     """
     keys = ["high", "low"]
-    found = all_spans(docs)
-    repeated = cut(found.groupBy("high").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    copies = cut(lookup_join(found, repeated, ["high"], "n", "inner").drop("n"))
-    owner = docs.select(
-        row_key().alias("_row"), F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"),
-                                          F.xxhash64("text").alias("text")).alias("_owner"))
-    placed = copies.join(owner, "_row").withColumn("_place", F.struct("_owner", "first"))
-    tops = cut(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_place").alias("_top")))
-    others = lookup_join(placed, tops, keys, "n", "inner").where(F.col("_place") != F.col("_top"))
+    repeated = cut(all_spans(docs).groupBy("high").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    spans = all_spans(docs, _bit_map(repeated))
+    # At most one half per HOT_ROWS spans.
+    hot = cut(repeated.where(F.col("n") >= HOT_ROWS).select("high", F.lit(True).alias("hot")))
+    spans = spans.join(F.broadcast(hot), "high", "left").withColumn("place", F.struct(*_PLACE)).drop(*_PLACE[:3])
+    over = Window.partitionBy(*keys)
+    rest = spans.where("hot IS NULL").withColumns({"n": F.count(F.lit(1)).over(over), "top": F.min("place").over(over)})
+    others = rest.drop("hot")
+    if not hot.isEmpty():
+        many = cut(spans.where("hot").drop("hot"))
+        # One row per hash of a hot half: as few, but for chance collisions.
+        tops = cut(many.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("top")))
+        others = others.unionByName(lookup_join(many, tops, keys, "n", "inner"))
+    others = others.where("n > 1 AND place <> top")
     return others.groupBy("_row").agg(F.count(F.lit(1)).alias("n_spans"), F.collect_set(F.struct("first", "last")).alias("gone"))
 
 
@@ -187,8 +230,16 @@ def span_dedup(docs: DataFrame) -> DataFrame:
     # Columns of docs travel in one struct, so that none can clash with those above.
     others = [c for c in docs.columns if c not in names]
     rows = docs.select(F.struct(*others).alias("_kept"), "text", row_key().alias("_row"))
-    hint = F.broadcast(lost) if few(lost, 50_000) else lost
-    joined = rows.join(hint, "_row", "left")
+    size = lost.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_gone")).alias("spans")).first()
+    if 40 * size["n"] + 24 * (size["spans"] or 0) <= LOST_BYTES:
+        joined = rows.join(F.broadcast(lost), "_row", "left")
+    elif 40 * size["n"] <= LOST_BYTES:
+        # Only texts that lose something move.
+        marked = rows.join(F.broadcast(lost.select("_row", F.lit(True).alias("_some"))), "_row", "left")
+        joined = marked.where("_some IS NULL").drop("_some").withColumns({"_n_spans": F.lit(None).cast("long"), "_gone": F.lit(None).cast(lost.schema["_gone"].dataType)})
+        joined = joined.unionByName(marked.where("_some").drop("_some").join(lost, "_row"))
+    else:
+        joined = rows.join(lost, "_row", "left")
     zero = F.lit(0).cast("long")
     # Untouched texts don't leave the JVM.
     plain = joined.where("_gone IS NULL").select("_kept", zero.alias("repeated_spans"), "text", zero.alias("removed_units"), zero.alias("removed_words"))

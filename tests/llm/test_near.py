@@ -94,7 +94,12 @@ def test_jaccard_join(spark, tmp_path, monkeypatch, pairs_up_to, block, small):
 
 def test_pruning_keeps_what_can_reach_the_threshold():
     limits = jaccard.least_matches()
-    assert [n for n, _ in limits] == [25, 50, 75, 100, 125] and all(0.5 * n < m < 0.8 * n for n, m in limits)
+    assert [n for n, _ in limits] == [25, 50, 75, 100, 125]
+    # The posterior of the similarity after m matches of n, by numeric integration over a uniform prior.
+    x = (np.arange(200_000) + 0.5) / 200_000
+    for n, m in limits:
+        above = {k: (d := x ** k * (1 - x) ** (n - k))[x >= jaccard.THRESHOLD].sum() / d.sum() for k in (m - 1, m)}
+        assert above[m - 1] < jaccard.TOLERANCE <= above[m]
     a = np.arange(250, dtype=np.uint32).reshape(2, 125)
     b = a.copy()
     b[0, ::10] += 1000
@@ -116,10 +121,13 @@ def test_units_are_the_whole_text():
         assert all(n <= span_dedup.UNIT_WORDS for _, _, n in parts) and sum(n for _, _, n in parts) == len(text.split())
 
 
-@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("small", [None, 0, 1500])
 def test_span_dedup(spark, tmp_path, monkeypatch, small):
-    if not small:
-        monkeypatch.setattr(span_dedup, "few", lambda *a: False)
+    if small is not None:
+        # Every repeated hash is hot, the map has few bits, and what is lost is not broadcast.
+        monkeypatch.setattr(span_dedup, "HOT_ROWS", 2)
+        monkeypatch.setattr(span_dedup, "FILTER_BITS", 64)
+        monkeypatch.setattr(span_dedup, "LOST_BYTES", small)
         monkeypatch.setattr(common, "few", lambda *a: False)
     rng = random.Random(3)
     sentence = lambda: " ".join(rng.choice(VOCAB) for _ in range(rng.randint(3, 20))) + ". "
@@ -128,8 +136,8 @@ def test_span_dedup(spark, tmp_path, monkeypatch, small):
     rows += [(50, passage + "x y. " + passage), (51, rows[1][1]), (52, None), (53, ""), (1, rows[1][1]), (None, passage)]
     spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, gone string").repartition(3).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
-    got = span_dedup.span_dedup(docs.drop("gone")).collect()
-    assert len(got) == len(rows)
+    got = span_dedup.span_dedup(docs).collect()
+    assert len(got) == len(rows) and all(r.gone == "mine" for r in got)
     first = {}
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         for a, b, u, _ in span_dedup._hashed(text or ""):
