@@ -215,6 +215,13 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids:
     return with_arrow(docs, text, [T.StructField(ids, T.ArrayType(T.IntegerType(), False))], make, [text] * drop_text)
 
 
+def _decoded(lists: pa.ListArray, tokens: dict[int, bytes]) -> pa.Array:
+    """The bytes of each list of ids."""
+    values, ends, null = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_null().to_pylist()
+    return pa.array([None if gone else b"".join(map(tokens.__getitem__, values[a:b].tolist()))
+                     for gone, a, b in zip(null, ends[:-1], ends[1:], strict=True)], pa.binary())
+
+
 def decode(rows: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``, the bytes that ``ids`` stand for. An unknown id is an error."""
     field = T.StructField(out, T.BinaryType())
@@ -226,21 +233,30 @@ def decode(rows: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded"
             step = max(1, int(batch.num_rows * 4e6 // max(1, batch.column(ids).nbytes)))
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                lists = part.column(ids)
-                values = lists.values.to_numpy(zero_copy_only=False)
-                ends = lists.offsets.to_numpy()
-                null = lists.is_null().to_pylist()
-                made = [None if gone else b"".join(map(tokens.__getitem__, values[a:b].tolist()))
-                        for gone, a, b in zip(null, ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(made, pa.binary())],
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), _decoded(part.column(ids), tokens)],
                                                  [*(f.name for f in kept), out])
 
     return rows.mapInArrow(run, T.StructType([*kept, field]))
 
 
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", drop_text: bool = False) -> DataFrame:
+    """Add ``ids`` as ``encode`` and ``decoded`` as ``decode`` of them, while rows are with a Python worker once."""
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())]
+
+    def make():
+        encoder, tokens = _encoder(ranks, pattern), {rank: token for token, rank in read_ranks(ranks).items()}
+
+        def work(texts):
+            ids = _lists(encoder.encode(t or "") for t in texts)
+            return ids, _decoded(ids, tokens)
+        return work
+
+    return with_arrow(docs, text, fields, make, [text] * drop_text)
+
+
 def round_trip_digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """``doc_id``, the number of ids, and digests of the ids and of the bytes they decode to."""
-    coded = decode(encode(docs.select("doc_id", "text"), ranks, pattern, drop_text=True), ranks)
+    coded = round_trip(docs.select("doc_id", "text"), ranks, pattern, drop_text=True)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

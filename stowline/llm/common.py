@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from stowline.session import cut_lineage
+from stowline.session import checkpoint_ready, cut_lineage
 
 #: A table is broadcast only after counting that it has no more rows than this.
 BROADCAST_ROWS = 400_000
@@ -30,6 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def row_key() -> Column:
     """A number for each row of a table scan.
 
