@@ -149,7 +149,7 @@ def rescale_specs(specs: DataFrame, target_cores: int, target_mb: int) -> DataFr
     gigabyte letter becomes the megabyte letter of the same case); of JVM options the last one is replaced.
     """
     common = common_memory(specs)
-    joined = specs.join(common, "site", "left")
+    joined = skew.checked_join(specs, common, ["site"], "left")
     text = _memory_text()
     unit = F.right(text, F.lit(1))
     new = F.concat(F.lit(str(target_mb)), F.when(unit == "G", F.lit("M")).when(unit == "g", F.lit("m")).otherwise(unit))

@@ -3,7 +3,8 @@
 ``ends with``, ``starts with`` and glob conditions would make Spark compare every row with every key.
 Here each text is fanned out to the few pieces a key could be equal to (its ``/`` suffixes, or its
 prefixes of the lengths that occur among the keys) and joined on equality. Fan-out depends on path depth
-or on the number of distinct key lengths, never on the number of keys.
+or on the number of distinct key lengths, never on the number of keys. Globs are filed in an inverted index of
+short literal pieces, each under the piece that the fewest texts have.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stowline.functions import paths as P
 from stowline.operators import skew
+from stowline.session import cut_lineage
 
 
 def _facts(keys: DataFrame, key: str, *extra: Column):
@@ -58,74 +60,93 @@ def prefix_join(rows: DataFrame, text: str, keys: DataFrame, key: str) -> DataFr
     return skew.checked_join(fanned, keyed, ["_head"], small_fits=_fits(facts)).drop("_head")
 
 
-ANCHOR_LENGTHS = (1, 2, 4, 8, 16, 32, 64)
+#: Characters of a gram of the glob index.
+GRAM = 4
+#: What a glob holds besides literal text; an opening bracket without its partner only ends a literal part here.
+_WILD = r"\*|\?|\[[!^]?\]?[^\]]*\]|\["
+#: Marks the end of a text or pattern, so that a gram at the end is another than the same one inside.
+_END = "\0"
 
 
-def _rung(length: Column) -> Column:
-    """The largest anchor length that is not above ``length``."""
-    return F.array_max(F.filter(F.array(*[F.lit(n) for n in ANCHOR_LENGTHS]), lambda n: n <= length))
+def _literals(name: Column) -> Column:
+    """The literal parts of the glob ``*/name``, the slash and the end mark among them."""
+    return F.split(F.concat(F.lit("/"), name, F.lit(_END)), _WILD)
 
 
-def _glob_anchor(name: Column) -> Column:
-    """Literal text of a glob that its matches must show, as struct(kind, key).
+def _grams(text: Column, length: Column) -> Column:
+    """All pieces of ``length`` characters of ``text``; an empty array if it is shorter."""
+    last = F.length(text) - length + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, length))).otherwise(F.array().cast("array<string>"))
 
-    The key is the literal part after the last wildcard (``tail``) or before the first one (``head``),
-    whichever is longer, cut down to one of a few lengths so that texts are fanned out to few pieces; a
-    pattern with neither is ``any`` and matches on the empty key.
-    """
-    head = F.regexp_extract(name, r"^([^*?\[]*)", 1)
-    tail = F.regexp_extract(name, r"([^*?\]]*)$", 1)
-    keep_tail, keep_head = _rung(F.length(tail)), _rung(F.length(head))
-    return (
-        F.when((F.length(tail) == 0) & (F.length(head) == 0), _piece("any", F.lit("")))
-        .when(F.length(tail) >= F.length(head), _piece("tail", F.substr(tail, F.length(tail) - keep_tail + 1, keep_tail)))
-        .otherwise(_piece("head", F.substr(head, F.lit(1), keep_head)))
-    )
 
+def rarest_grams(rows: DataFrame, text: str, globs: DataFrame, name: str = "name") -> tuple[DataFrame, list[int]]:
+    """Each glob with the one of its grams that the fewest texts have, ``(…, _gram)``, and the lengths of these grams.
 
-def _piece(kind: str, key: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    All grams of the literal parts are counted over the texts. A glob with a gram that no text has matches nothing and
+    is left out. Grams are ``GRAM`` characters long, or as long as the longest literal part of a pattern without
+    such a part; the end mark is in every text, so that every pattern has a gram.
+    """
+    parts = _literals(F.col(name))
+    size = F.least(F.lit(GRAM), F.array_max(F.transform(parts, lambda p: F.length(p))))
+    asked = globs.select("*", parts.alias("_parts"), size.alias("_q")).select(
+        "*", F.explode(F.array_distinct(F.flatten(F.transform("_parts", lambda p: _grams(p, F.col("_q")))))).alias("_gram"))
+    wanted = asked.select("_gram").distinct()
+    facts = _facts(wanted, "_gram", F.collect_set(F.length("_gram")).alias("sizes"))
+    sizes = sorted(facts["sizes"])
+    if not sizes:
+        return globs.withColumn("_gram", F.lit(None).cast("string")), []
+    offered = rows.select(F.explode(_offered(F.col(text), sizes)).alias("_gram"))
+    found = skew.checked_join(offered, wanted, ["_gram"], "left_semi", small_fits=_fits(facts))
+    counts = found.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    counted = skew.checked_join(asked.drop("_parts", "_q"), counts, ["_gram"], "left", small_fits=_fits(facts))
+    keys = list(globs.columns)
+    best = counted.groupBy(*keys).agg(
+        F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"), F.min(F.coalesce("_n", F.lit(0))).alias("_n"))
+    return cut_lineage(best.filter("_n > 0").drop("_n")), sizes
+
+
+def _offered(text: Column, sizes: list[int]) -> Column:
+    whole = F.concat(text, F.lit(_END))
+    return F.array_distinct(F.flatten(F.array(*[_grams(whole, F.lit(n)) for n in sizes])))
+
+
+def glob_candidates(rows: DataFrame, text: str, globs: DataFrame, name: str = "name") -> DataFrame:
+    """Pairs of a text and a glob whose rarest gram and whose literal head and tail it has."""
+    filed, sizes = rarest_grams(rows, text, globs, name)
+    if not sizes:
+        return rows.join(globs, F.lit(False))
+    fanned = rows.withColumn("_gram", F.explode(_offered(F.col(text), sizes)))
+    met = skew.checked_join(fanned, filed, ["_gram"]).drop("_gram")
+    parts = _literals(F.col(name))
+    head, tail = F.element_at(parts, 1), F.replace(F.element_at(parts, -1), F.lit(_END), F.lit(""))
+    return met.filter(F.col(text).contains(head) & F.col(text).endswith(tail))
+
+
+def _runs_in_order(text: Column, name: Column) -> Column:
+    """Whether ``text`` matches ``*/name``, if the only wildcard of ``name`` is the star: its literal parts follow each other.
+
+    Each part is looked for behind the one before, as early as possible; the last one is the end of the text.
+    """
+    runs = F.split(F.concat(F.lit("/"), name), r"\*")
+    last = F.element_at(runs, -1)
+    step = lambda at, run: F.when(
+        (at > 0) & (F.call_function("locate", run, text, at) > 0), F.call_function("locate", run, text, at) + F.length(run)).otherwise(F.lit(0))
+    at = F.aggregate(F.filter(F.slice(runs, F.lit(1), F.size(runs) - 1), lambda r: r != ""), F.lit(1), step)
+    return (at > 0) & (F.length(text) - F.length(last) + 1 >= at) & text.endswith(last)
 
 
 def name_join(rows: DataFrame, text: str, names: DataFrame, name: str = "name") -> DataFrame:
     """Pairs where ``text`` equals ``name``, ends with ``/name``, or matches the glob ``*/name``.
 
-    Only names that hold a ``*`` are globs. Names must be distinct; every pair comes once. All three
-    rules share one pass over ``rows``: a name asks for its literal text and, if it is a glob, for its
-    anchor; a text offers its tails and the pieces of the anchor lengths in use.
+    Only names that hold a ``*`` are globs. Names must be distinct; every pair comes once. A literal name meets the texts by
+    their tails. A glob meets those that have its rarest gram and its literal ends; only patterns with ``?`` or
+    brackets need a regular expression then.
     """
     col, is_glob = F.col(text), F.col(name).contains("*")
+    whole = suffix_join(rows, text, names, name)
+    met = glob_candidates(rows, text, names.filter(is_glob), name)
     regex = F.concat(F.lit(r"(?s)^.*/"), P.glob_regex(name), F.lit(r"\z"))
-    asks = F.filter(
-        F.array(_piece("name", F.col(name)), F.when(is_glob, _glob_anchor(F.col(name)))), lambda p: p.isNotNull())
-    keyed = names.select("*", F.explode(asks).alias("_p"), F.when(is_glob, regex).alias("_regex")).select(
-        "*", F.col("_p.kind").alias("_kind"), F.col("_p.key").alias("_key")).drop("_p")
-    literal = F.col("_kind") == "name"
-    facts = _facts(
-        keyed, "_key",
-        F.collect_set(F.when(literal, F.size(F.split("_key", "/")))).alias("depths"),
-        F.collect_set(F.when(~literal, F.struct(F.col("_kind").alias("k"), F.length("_key").alias("n")))).alias("anchors"))
-    depths = sorted(facts["depths"])
-    if not depths:
-        return rows.join(names, F.lit(False))
-    lengths = lambda kind: sorted(a["n"] for a in facts["anchors"] if a["k"] == kind)
-    offers = [F.transform(_tails(col, depths), lambda x: _piece("name", x))]
-    if lengths("any"):
-        offers.append(F.array(_piece("any", F.lit(""))))
-    if lengths("tail"):
-        fits = F.filter(F.array(*[F.lit(n) for n in lengths("tail")]), lambda n: n <= F.length(col))
-        offers.append(F.transform(fits, lambda n: _piece("tail", F.substr(col, F.length(col) - n + 1, n))))
-    if lengths("head"):
-        # What a pattern may begin with: the text after each slash, cut to every head length in use.
-        starts = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(F.split(col, "/")) - 1, F.lit(1))), lambda d: F.call_function("substring_index", col, F.lit("/"), -d))
-        heads = F.array(*[F.lit(n) for n in lengths("head")])
-        cut = F.flatten(F.transform(starts, lambda s: F.transform(
-            F.filter(heads, lambda n: n <= F.length(s)), lambda n: _piece("head", F.substr(s, F.lit(1), n)))))
-        offers.append(F.array_distinct(cut))
-    fanned = rows.withColumn("_p", F.explode(F.concat(*offers))).select(
-        "*", F.col("_p.kind").alias("_kind"), F.col("_p.key").alias("_key")).drop("_p")
-    joined = skew.checked_join(fanned, keyed, ["_kind", "_key"], small_fits=_fits(facts))
+    simple = ~F.col(name).rlike(r"[?\[]")
+    hit = F.when(simple, _runs_in_order(col, F.col(name))).otherwise(F.rlike(col, regex))
     by_name = (col == F.col(name)) | col.endswith(F.concat(F.lit("/"), F.col(name)))
-    hit = literal | (F.rlike(col, F.col("_regex")) & ~by_name)
-    return joined.filter(hit).drop("_kind", "_key", "_regex")
+    return whole.unionByName(met.filter(hit & ~by_name))

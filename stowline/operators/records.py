@@ -270,10 +270,10 @@ def absolute_paths(leaves: DataFrame, listing: DataFrame, bases: list[str], igno
     found = (
         skew.checked_join(known, tries, ["_try"]).groupBy("value").agg(F.min_by("_real", "_rank").alias("_abs"))
     )
-    joined = marked.join(found, "value", "left")
+    joined = skew.checked_join(marked, found, ["value"], "left")
     lists = joined.filter("_scope and _list and _item = 0 and _abs is not null").select(
         "rec_id", key.alias("_key")).distinct().withColumn("_open", F.lit(True))
-    full = joined.withColumn("_key", key).join(lists, ["rec_id", "_key"], "left")
+    full = skew.checked_join(joined.withColumn("_key", key), lists, ["rec_id", "_key"], "left")
     expand = F.col("_scope") & ~F.col("_list") & F.col("_abs").isNotNull()
     listed = F.col("_list") & F.coalesce("_open", F.lit(False)) & F.coalesce(scope, F.lit(False))
     return full.select(
@@ -295,8 +295,8 @@ def harvest_folders(leaves: DataFrame, listing: DataFrame, ignored: list[str]) -
         F.element_at(path, -1)["key"].isNull(), F.element_at(path, -1)["idx"]))
     base = base.withColumn("_list", F.slice(path, F.lit(1), F.size(path) - 1))
     local = listing.select(F.col("path").alias("value")).distinct()
-    there = base.filter((F.col("_item").isNull() | (F.col("_item") == 0)) & F.col("value").startswith("/")).join(
-        local, "value", "left_semi")
+    asked = base.filter((F.col("_item").isNull() | (F.col("_item") == 0)) & F.col("value").startswith("/"))
+    there = skew.checked_join(asked, local, ["value"], "left_semi")
     lists = there.filter(F.col("_item").isNotNull()).select("rec_id", "_list")
     items = base.filter(F.col("_item").isNotNull()).join(lists, ["rec_id", "_list"], "left_semi")
     rows = there.filter(F.col("_item").isNull()).select("rec_id", "value").unionByName(items.select("rec_id", "value"))

@@ -6,6 +6,8 @@ hold any number of members, so they are never gathered into one list.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,22 +27,30 @@ TARBALL_END = "-wf.tar.gz"
 BUNDLE = ["build", "aligner", "kind"]
 
 
+def keyed(catalog: DataFrame) -> DataFrame:
+    """``(ord, uri, key)``: ``key`` is what folders and names are compared with, and the uri itself if a catalog has no ``key``.
+
+    Platforms with ids in their names bring it (``Platform.keyed``).
+    """
+    return catalog.select("ord", "uri", F.col("key" if "key" in catalog.columns else "uri").alias("key"))
+
+
 def _bundle_rows(builds: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Wanted (build, aligner, kind) rows and every catalog row that may belong to one, with its role."""
     builds = builds.withColumn("aligner", F.coalesce("aligner", F.lit("")))
     kinds = F.array_distinct(F.filter(F.array(F.lit("seq"), F.lit("rtg"), F.col("aligner")), lambda k: k != ""))
     wanted = builds.select("build", "aligner", "prefix", F.explode(kinds).alias("kind"))
-    rows = catalog.select("ord", "uri")
+    rows = keyed(catalog)
     tarballs = (
-        prefix_join(rows.filter(F.col("uri").endswith(TARBALL_END)), "uri", wanted, "prefix")
-        .filter(P.basename("uri").startswith(F.col("kind")))
+        prefix_join(rows.filter(F.col("key").endswith(TARBALL_END)), "key", wanted, "prefix")
+        .filter(P.basename("key").startswith(F.col("kind")))
         .select(*BUNDLE, "ord", "uri", F.lit("tarball").alias("part"))
     )
-    is_base = F.col("uri").endswith(F.concat(F.lit("/"), F.col("build"), F.lit(".fa")))
+    is_base = F.col("key").endswith(F.concat(F.lit("/"), F.col("build"), F.lit(".fa")))
     for name in BASE_NAMES:
-        is_base = is_base | F.col("uri").endswith("/" + name)
+        is_base = is_base | F.col("key").endswith("/" + name)
     files = prefix_join(
-        rows, "uri", wanted.withColumn("folder", P.join_path("prefix", "kind")), "folder"
+        rows, "key", wanted.withColumn("folder", P.join_path("prefix", "kind")), "folder"
     ).select(*BUNDLE, "ord", "uri", F.when(is_base, F.lit("base")).otherwise(F.lit("file")).alias("part"))
     return wanted.select(*BUNDLE), tarballs.unionByName(files)
 
@@ -90,7 +100,7 @@ def reference_bundle(builds: DataFrame, catalog: DataFrame) -> DataFrame:
         .when((form == "single") & (part != "tarball"), F.array(F.lit("plain")))
         .when((form == "indexes") & (part != "tarball"), F.array(F.lit("index")))
     )
-    return rows.join(status, BUNDLE).select(*BUNDLE, "key", F.explode(roles).alias("role"), "ord", "uri")
+    return skew.checked_join(rows, status, BUNDLE).select(*BUNDLE, "key", F.explode(roles).alias("role"), "ord", "uri")
 
 
 def _parent(base_dir: str = "base_dir") -> Column:
@@ -103,7 +113,7 @@ def viral_bundle(builds: DataFrame, catalog: DataFrame) -> DataFrame:
     ``builds`` is ``(build, base_dir)``. A folder without any ``.fa`` gives rows of role ``no base``.
     """
     keys = builds.select("build", P.normalize_remote(P.join_path(_parent(), F.lit("viral"))).alias("folder"))
-    rows = prefix_join(catalog.select("ord", "uri"), "uri", keys, "folder")
+    rows = prefix_join(keyed(catalog), "key", keys, "folder")
     is_fasta = F.col("uri").endswith(".fa")
     first = rows.groupBy("build").agg(F.min(F.when(is_fasta, F.col("ord"))).alias("_base"))
     role = (
@@ -112,7 +122,7 @@ def viral_bundle(builds: DataFrame, catalog: DataFrame) -> DataFrame:
         .when(~is_fasta, F.lit("index"))
     )
     return (
-        rows.join(first, "build").select("build", role.alias("role"), "ord", "uri").filter(F.col("role").isNotNull())
+        skew.checked_join(rows, first, ["build"]).select("build", role.alias("role"), "ord", "uri").filter(F.col("role").isNotNull())
     )
 
 
@@ -128,17 +138,17 @@ def database_bundle(builds: DataFrame, catalog: DataFrame, tool: str = "snpeff",
     folder = F.concat(
         P.normalize_remote(P.join_path(P.join_path(_parent(), F.lit(tool)), F.col("db"))), F.lit("/"))
     keys = builds.select("build", "db", P.normalize_remote(tar).alias("tar"), folder.alias("folder"))
-    rows = catalog.select("ord", "uri")
-    tars = skew.checked_join(rows, keys.select("build", "db", F.col("tar").alias("uri")), ["uri"])
+    rows = keyed(catalog)
+    tars = skew.checked_join(rows, keys.select("build", "db", F.col("tar").alias("key")), ["key"])
     one_tar = tars.groupBy("build", "db").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord"),
                                               F.min("uri").alias("uri")).filter("n = 1")
-    inside = prefix_join(rows, "uri", keys, "folder").join(one_tar.select("build", "db"), ["build", "db"], "left_anti")
+    inside = skew.checked_join(prefix_join(rows, "key", keys, "folder"), one_tar.select("build", "db"), ["build", "db"], "left_anti")
     is_base = F.col("uri").endswith("/" + base_name)
     bases = inside.groupBy("build", "db").agg(F.count_if(is_base).alias("_n"))
     role = (
         F.when(F.col("_n") != 1, F.lit("bad base")).when(is_base, F.lit("base")).otherwise(F.lit("index"))
     )
-    members = inside.join(bases, ["build", "db"]).select("build", "db", role.alias("role"), "ord", "uri")
+    members = skew.checked_join(inside, bases, ["build", "db"]).select("build", "db", role.alias("role"), "ord", "uri")
     return members.unionByName(one_tar.select("build", "db", F.lit("plain").alias("role"), "ord", "uri"))
 
 
@@ -146,14 +156,14 @@ def context_files(builds: DataFrame, catalog: DataFrame) -> DataFrame:
     """``.gz`` files under ``<parent>/coverage/problem_regions``; ``(name, ord)`` is their order."""
     folder = P.normalize_remote(P.join_path(_parent(), F.lit("coverage/problem_regions")))
     keys = builds.select("build", folder.alias("folder"))
-    packed = catalog.select("ord", "uri").filter(F.col("uri").endswith(".gz"))
-    return prefix_join(packed, "uri", keys, "folder").select("build", P.basename("uri").alias("name"), "ord", "uri")
+    packed = keyed(catalog).filter(F.col("key").endswith(".gz"))
+    return prefix_join(packed, "key", keys, "folder").select("build", P.basename("uri").alias("name"), "ord", "uri")
 
 
 def companion(builds: DataFrame, catalog: DataFrame, path: Column) -> DataFrame:
     """First catalog row equal to a path derived from each build; null when there is none."""
-    keys = builds.select("build", path.alias("uri"))
-    hits = skew.checked_join(catalog.select("ord", "uri"), keys, ["uri"])
+    keys = builds.select("build", path.alias("key"))
+    hits = skew.checked_join(keyed(catalog), keys, ["key"])
     first = hits.groupBy("build").agg(F.min_by(F.struct("ord", "uri"), "ord").alias("_b"))
     return builds.select("build").join(first.select("build", "_b.*"), "build", "left")
 
@@ -171,31 +181,30 @@ def resource_file(fasta: Column | str) -> Column:
     return F.concat(P.without_extension(fasta), F.lit("-resources.yaml"))
 
 
-def resolve_relative(resources: DataFrame, catalog: DataFrame, lookup: bool = False) -> DataFrame:
+def resolve_relative(resources: DataFrame, catalog: DataFrame, lookup: Callable[[DataFrame], DataFrame] | bool = False) -> DataFrame:
     """Resolve ``../`` values of two-level resources ``(res_id, base_dir, k1, k2, value)``.
 
-    The normalised path must be a catalog row under the parent of ``base_dir``; with ``lookup`` a flexible
-    name lookup is tried first. Values that cannot be resolved are dropped, other values pass unchanged.
+    The normalised path must be the key of a catalog row under the parent of ``base_dir``, and becomes that row's uri. ``lookup`` is
+    tried first: the lookup of a platform, names → ``(name, ord, uri)``, or True for the one by equality, ending and
+    glob. Values that cannot be resolved are dropped, other values pass unchanged.
     """
     relative = F.col("value").startswith("../")
     rest = resources.filter(~relative | F.col("value").isNull())
     asked = resources.filter(relative).withColumn("_path", P.normalize_remote(P.join_path("base_dir", "value")))
     cols = resources.columns
-    keys = catalog.select(F.col("uri").alias("_path"))
+    rows = keyed(catalog)
     wanted = asked.select("_path", _parent().alias("_root")).distinct()
     listed = (
-        skew.checked_join(keys, wanted, ["_path"]).filter(F.col("_path").startswith(F.col("_root")))
-        .select("_path", "_root").distinct()
+        skew.checked_join(rows.withColumnRenamed("key", "_path"), wanted, ["_path"]).filter(F.col("_path").startswith(F.col("_root")))
+        .groupBy("_path", "_root").agg(F.min_by("uri", "ord").alias("_uri"))
     )
-    exact = asked.withColumn("_root", _parent()).join(listed, ["_path", "_root"]).withColumn("value", F.col("_path"))
+    exact = skew.checked_join(asked.withColumn("_root", _parent()), listed, ["_path", "_root"]).withColumn("value", F.col("_uri"))
     if not lookup:
         return rest.unionByName(exact.select(*cols))
-    found = (
-        find_all(catalog.select("ord", "uri"), wanted.select(F.col("_path").alias("name")))
-        .select(F.col("name").alias("_path"), F.col("uri").alias("_uri"))
-    )
-    hit = asked.join(found, "_path").withColumn("value", F.col("_uri")).select(*cols)
-    rest_exact = exact.join(found.select("_path").distinct(), "_path", "left_anti").select(*cols)
+    find = lookup if callable(lookup) else lambda names: find_all(catalog.select("ord", "uri"), names)
+    found = find(wanted.select(F.col("_path").alias("name"))).select(F.col("name").alias("_path"), F.col("uri").alias("_uri"))
+    hit = skew.checked_join(asked, found, ["_path"]).withColumn("value", F.col("_uri")).select(*cols)
+    rest_exact = skew.checked_join(exact, found.select("_path").distinct(), ["_path"], "left_anti").select(*cols)
     return rest.unionByName(hit).unionByName(rest_exact)
 
 
@@ -222,5 +231,8 @@ def jar_resources(sheets: DataFrame, catalog: DataFrame) -> DataFrame:
     for text, name in reversed(JAR_RULES.items()):
         program = F.when(F.lower("uri").contains(text), F.lit(name)).otherwise(program)
     jars = catalog.select("ord", "uri", program.alias("program")).filter(F.col("program").isNotNull())
-    hits = prefix_join(jars, "uri", folders, "folder")
-    return hits.groupBy("sheet_id", "program").agg(F.max_by("uri", F.struct("level", "ord")).alias("uri"))
+    # One jar per folder and program is left before any sheet comes in.
+    best = prefix_join(jars, "uri", folders.select("folder").distinct(), "folder").groupBy("folder", "program").agg(
+        F.max_by(F.struct("ord", "uri"), "ord").alias("_last"))
+    hits = skew.checked_join(folders, best, ["folder"])
+    return hits.groupBy("sheet_id", "program").agg(F.max_by("_last.uri", F.struct("level", "_last.ord")).alias("uri"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from stowline.functions import paths as P
 from stowline.operators import skew
 from stowline.operators.matching import name_join, prefix_join, suffix_join
+from stowline.session import cut_lineage
 
 
 def split_requests(requests: DataFrame, key: str = "names", sep: str | None = ";") -> DataFrame:
@@ -63,8 +64,7 @@ def find_with_prefix(catalog: DataFrame, names: DataFrame, prefix: Column | str)
         .agg(F.max("ord").alias("ord"))
     )
     later = (
-        find_all(catalog.select("ord", "uri"), names)
-        .join(last.select("name", F.col("ord").alias("_last")), "name", "left")
+        skew.checked_join(find_all(catalog.select("ord", "uri"), names), last.select("name", F.col("ord").alias("_last")), ["name"], "left")
         .filter(F.col("_last").isNull() | (F.col("ord") > F.col("_last")))
         .select("name", "ord", "uri")
     )
@@ -133,13 +133,21 @@ def folder_catalog(keyed: DataFrame) -> DataFrame:
     )
 
 
+def _above(path: str) -> Column:
+    """All folders of a path: the text before each of its slashes."""
+    parts = F.split(path, "/")
+    joined = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/"))
+    return F.when(F.size(parts) > 1, joined).otherwise(F.array().cast("array<string>"))
+
+
 def find_in_folders(keyed: DataFrame, requests: DataFrame, scheme: str = "dx") -> DataFrame:
     """Folder-ordered lookup.
 
     ``requests`` is ``(req_id, name, folders array<struct<rank, project, folder>>)`` and ``keyed`` is
     ``(ord, project, file_id, path)`` with one row per path. Tier 1 takes the first configured folder
     (of the asked project, if the name says ``project:name``) that holds ``folder/name``. Without one,
-    tier 2 returns all rows below any folder that end with ``/name`` or match it as a glob.
+    tier 2 returns all rows below any folder that end with ``/name`` or match it as a glob. It looks at nothing
+    else: rows are cut to those below a folder that is still asked for, and the folder is part of the join key.
     """
     platform = F.lit(scheme)
     bare = F.when(P.is_remote("name", platform), P.object_path("name", platform)).otherwise(F.col("name"))
@@ -159,16 +167,17 @@ def find_in_folders(keyed: DataFrame, requests: DataFrame, scheme: str = "dx") -
     tier1 = _first(
         skew.checked_join(base, exact, ["path"]).withColumn("tier", F.lit(1)),
         ["req_id", "name"], ["rank", "ord"], ["tier", "rank", "ord", "project", "file_id", "path"])
-    rest = asked.select(F.col("_want").alias("name")).distinct()
-    loose = find_all(base.withColumn("uri", F.col("path")), rest).filter(F.col("path") != F.col("name"))
-    below = (
-        skew.checked_join(loose.withColumnRenamed("name", "_want"), asked, ["_want"])
-        .withColumn("_f", F.explode("folders"))
-        .filter(F.col("path").startswith(F.concat(F.col("_f.folder"), F.lit("/"))))
-        .select("req_id", "name", F.lit(2).alias("tier"), F.col("_f.rank").alias("rank"), "ord", "project",
-                "file_id", "path")
-    )
-    tier2 = below.join(tier1.select("req_id", "name"), ["req_id", "name"], "left_anti")
+    # Only what tier 1 left over goes on, and only rows below one of its folders.
+    tier1 = cut_lineage(tier1)
+    left = cut_lineage(skew.checked_join(asked, tier1.select("req_id", "name"), ["req_id", "name"], "left_anti").select(
+        "req_id", "name", "_want", F.explode("folders").alias("_f")).select("req_id", "name", "_want", F.col("_f.rank").alias("rank"), F.col("_f.folder").alias("_folder")))
+    folders = left.select("_folder").distinct()
+    under = skew.checked_join(base.withColumn("_folder", F.explode(_above("path"))), folders, ["_folder"], "left_semi")
+    below = under.groupBy("ord", "project", "file_id", "path").agg(F.collect_set("_folder").alias("_folders"))
+    loose = find_all(below.withColumn("uri", F.col("path")), left.select(F.col("_want").alias("name")))
+    opened = loose.filter(F.col("path") != F.col("name")).withColumnRenamed("name", "_want").withColumn("_folder", F.explode("_folders"))
+    tier2 = skew.checked_join(opened, left, ["_want", "_folder"]).select(
+        "req_id", "name", F.lit(2).alias("tier"), "rank", "ord", "project", "file_id", "path")
     uri = F.concat(F.lit(scheme + ":"), F.col("file_id"), F.lit("/"), F.col("project"), F.lit(":"), F.col("path"))
     return tier1.unionByName(tier2).select("req_id", "name", "tier", "rank", "ord", uri.alias("uri"))
 
@@ -206,7 +215,7 @@ def expand_names(listing: DataFrame, asked: DataFrame) -> DataFrame:
     wanted = asked.select("name").distinct()
     present = skew.checked_join(
         wanted, listing.select(F.col("path").alias("name")).distinct(), ["name"], "left_semi")
-    asked_missing = asked.join(present, "name", "left_anti")
+    asked_missing = skew.checked_join(asked, present, ["name"], "left_anti")
     full = P.join_path("_dir", "name")
     literal = F.regexp_extract(P.basename("_full"), r"^([^*?\[]*)", 1)
     patterns = (
@@ -229,14 +238,15 @@ def expand_names(listing: DataFrame, asked: DataFrame) -> DataFrame:
         .filter(F.expr("rlike(_file, _regex)") & ~hidden)
         .select("req_id", "name", "pos", "path")
     )
-    itself = asked.join(present, "name").select(
+    itself = skew.checked_join(asked, present, ["name"]).select(
         "req_id", "name", F.lit(-1).alias("pos"), F.col("name").alias("path"))
     return itself.unionByName(found)
 
 
 def unresolved(asked: DataFrame, found: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Asked rows without any result: the rows a strict caller treats as errors."""
-    return asked.join(found.select(*(on or ["req_id", "name"])).distinct(), on or ["req_id", "name"], "left_anti")
+    keys = on or ["req_id", "name"]
+    return skew.checked_join(asked, found.select(*keys).distinct(), keys, "left_anti")
 
 
 def require_none(violations: DataFrame, message: str) -> DataFrame:
@@ -250,7 +260,7 @@ def exists(catalog: DataFrame, names: DataFrame, key: str = "uri") -> DataFrame:
     keys = catalog.select(F.col(key).alias("name"))
     wanted = names.select("name").distinct()
     there = skew.checked_join(keys, wanted, ["name"]).groupBy("name").agg(F.lit(True).alias("_there"))
-    return wanted.join(there, "name", "left").select("name", F.col("_there").isNotNull().alias("found"))
+    return wanted.join(there, "name", "left").select("name", F.col("_there").isNotNull().alias("found"))  # distinct on both sides
 
 
 def reference_prefix(builds: DataFrame, folders: DataFrame) -> DataFrame:
@@ -261,7 +271,7 @@ def reference_prefix(builds: DataFrame, folders: DataFrame) -> DataFrame:
     """
     tries = builds.select(
         "build", F.posexplode(F.array("build", F.concat(F.lit("genomes/"), F.col("build")))).alias("rank", "name"))
-    hits = folders.select("name", "path").join(tries, "name")
+    hits = skew.checked_join(folders.select("name", "path"), tries, ["name"])
     return _first(hits, ["build"], ["rank", "path"], ["rank", "path"])
 
 
@@ -271,6 +281,42 @@ def reference_prefix_names(builds: DataFrame) -> DataFrame:
     return builds.select(F.explode(names).alias("name")).distinct()
 
 
+def match_sets(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches ``(name, ord, uri)`` → one row per name, and the members of the names that have several.
+
+    The first table is ``(name, uri, set_id)``: the only match, or the id of a set. The second is ``(set_id, ord, uri)``; a
+    popular name's list is stored there once, however many records ask for it.
+    """
+    counts = matches.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.min_by("uri", "ord").alias("_uri"))
+    counts = cut_lineage(counts)
+    many = F.col("_n") > 1
+    sets = counts.select("name", F.when(~many, F.col("_uri")).alias("uri"), F.when(many, F.col("name")).alias("set_id"))
+    members = skew.checked_join(matches, counts.filter(many).select("name"), ["name"], "left_semi")
+    return sets, members.select(F.col("name").alias("set_id"), "ord", "uri")
+
+
+def fill_sets(leaves: DataFrame, sets: DataFrame, candidate: Column) -> DataFrame:
+    """``leaves`` with ``filled`` and ``set_id``: a value with one match is replaced, one with several gets its set.
+
+    As many rows as ``leaves``. Leaves that are no candidates have no key: they stay where they are.
+    """
+    keyed = leaves.withColumn("name", F.when(candidate, F.col("value")))
+    found = skew.checked_join(keyed, sets.withColumnRenamed("uri", "_uri"), ["name"], "left")
+    return found.select("rec_id", "path", "kind", F.coalesce("_uri", "value").alias("value"),
+                        (F.col("_uri").isNotNull() | F.col("set_id").isNotNull()).alias("filled"), "set_id")
+
+
+def open_sets(filled: DataFrame, members: DataFrame) -> DataFrame:
+    """Leaves with a set become lists: one leaf per member, one list step longer and in match order."""
+    item = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("_ord").cast("long").alias("idx")))
+    inside = members.select("set_id", F.col("ord").alias("_ord"), F.col("uri").alias("_uri"))
+    # Without a set there is no key, and a left join keeps the leaf.
+    opened = skew.checked_join(filled, inside, ["set_id"], "left")
+    return opened.select(
+        "rec_id", F.when(F.col("_uri").isNotNull(), F.concat("path", item)).otherwise(F.col("path")).alias("path"),
+        "kind", F.coalesce("_uri", "value").alias("value"), "filled")
+
+
 def fill_references(leaves: DataFrame, matches: DataFrame, candidate: Column) -> DataFrame:
     """Replace candidate leaf values by what they resolve to.
 
@@ -278,17 +324,8 @@ def fill_references(leaves: DataFrame, matches: DataFrame, candidate: Column) ->
     with several matches becomes a list: its leaf turns into one leaf per match, one list step longer and
     in match order. Values without a match stay as they are.
     """
-    counts = matches.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
-    found = matches.select("name", F.col("ord").alias("_ord"), F.col("uri").alias("_uri")).join(counts, "name")
-    # Leaves that ask for nothing get scattered keys that match nothing; null keys would meet in one task.
-    nothing = F.concat(F.lit("\0"), F.pmod(F.xxhash64("rec_id", "path"), F.lit(4096)).cast("string"))
-    keyed = leaves.withColumn("name", F.coalesce(F.when(candidate, F.col("value")), nothing))
-    filled = keyed.join(found, "name", "left")
-    item = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("_ord").cast("long").alias("idx")))
-    return filled.select(
-        "rec_id", F.when(F.col("_n") > 1, F.concat("path", item)).otherwise(F.col("path")).alias("path"),
-        "kind", F.coalesce("_uri", "value").alias("value"), F.col("_uri").isNotNull().alias("filled"),
-    )
+    sets, members = match_sets(matches)
+    return open_sets(fill_sets(leaves, sets, candidate), members)
 
 
 def is_candidate(value: Column | str, platform: Column, kind: Column | str = "kind") -> Column:
@@ -303,10 +340,10 @@ def candidate_names(leaves: DataFrame, platform: Column, listing: DataFrame | No
     names = leaves.filter(is_candidate("value", platform)).select(F.col("value").alias("name")).distinct()
     if listing is None:
         return names
-    return names.join(listing.select(F.col("path").alias("name")), "name", "left_anti")
+    return skew.checked_join(names, listing.select(F.col("path").alias("name")).distinct(), ["name"], "left_anti")
 
 
 def drop_existing(leaves: DataFrame, listing: DataFrame) -> DataFrame:
     """Leaves whose value is not an existing local path."""
     local = listing.select(F.col("path").alias("value")).distinct()
-    return leaves.join(local, "value", "left_anti")
+    return skew.checked_join(leaves, local, ["value"], "left_anti")

@@ -50,22 +50,16 @@ def checked_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     return skew_join(big, small, on, how)
 
 
-def _holds_map(kind) -> bool:
-    if kind.typeName() in ("map", "variant"):
-        return True
-    inner = [f.dataType for f in kind.fields] if kind.typeName() == "struct" else [kind.elementType] if kind.typeName() == "array" else []
-    return any(_holds_map(k) for k in inner)
-
-
 def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
               hot_rows: int | None = None) -> DataFrame:
     """Shuffle join that spreads every key of ``big`` with more than ``hot_rows`` rows.
 
     A hot key gets one salt per ``hot_rows`` rows; the matching rows of ``small`` are repeated once per
-    salt, so inner, left, semi and anti joins all keep their meaning. There are at most
-    ``rows(big) / hot_rows`` hot keys, each counted with a map-side combine; if even these are too many to
-    broadcast, a key must have twice as many rows to count as hot, and so on. Rows whose key has a null match
-    nothing: they skip the shuffle. The salt is a hash of the columns that can be hashed (no maps, no variants).
+    salt, so inner, left, semi and anti joins all keep their meaning. The salt is a row number, so that equal rows are
+    spread as well; rows of hot keys are checkpointed with it, because a task that runs again must not deal them
+    otherwise. There are at most ``rows(big) / hot_rows`` hot keys, counted once with a map-side combine; if
+    even these are too many to broadcast, a key must have twice as many rows to count as hot, and so on. Rows whose key
+    has a null match nothing: they skip the shuffle.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     on, how = list(on), how.replace("_", "").lower()
@@ -74,21 +68,18 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
         no_null = no_null & F.col(f"`{c}`").isNotNull()
     whole, big = big, big.filter(no_null)
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    while True:
-        hot = counts.filter(F.col("_rows") > hot_rows).select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
-        if fits_broadcast(hot, HOT_KEYS):
-            break
+    hot = cut_lineage(counts.filter(F.col("_rows") > hot_rows))
+    while not fits_broadcast(hot, HOT_KEYS):
         hot_rows *= 2
-    hot = F.broadcast(hot)
-    row_hash = F.xxhash64(*[F.col(f"`{f.name}`") for f in big.schema.fields if not _holds_map(f.dataType)])
-    salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(row_hash, F.col("_salts")).cast("int"))
-    left = big.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
-    right = (
-        small.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .drop("_salts")
-    )
-    joined = left.join(right, [*on, "_salt"], how).drop("_salt")
+        hot = hot.filter(F.col("_rows") > hot_rows)
+    if hot.isEmpty():
+        joined = big.join(small, on, how)
+    else:
+        hot = F.broadcast(hot.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts")))
+        salted = big.join(hot, on).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int"))
+        spread = small.join(hot, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+        joined = big.join(hot, on, "left_anti").join(small, on, how).unionByName(
+            cut_lineage(salted.drop("_salts")).join(spread.drop("_salts"), [*on, "_salt"], how).drop("_salt"))
     if how in ("left", "leftouter", "leftanti", "anti"):
         joined = joined.unionByName(whole.filter(~no_null), allowMissingColumns=True)
     return joined

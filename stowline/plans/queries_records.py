@@ -12,6 +12,7 @@ from stowline.plans import lifecycle as LC
 from stowline.plans import oracle_views as V
 from stowline.plans.registry import query
 from stowline.sources import files as SF
+from stowline.sources import inventory as I
 
 RECORDS = """
 recs AS (SELECT k AS rec_id, unnest([
@@ -143,6 +144,88 @@ def a17(t):
     return shown(LC.fill_records(leaves(t), B.catalog(t).select("ord", "uri"), B.listing(t), "gs"), "filled")
 
 
+def _candidates(scheme: str) -> str:
+    """SQL for the leaves with the name that each asks for."""
+    return f"""{V.LISTING_ONLY},
+cand AS (SELECT *, CASE WHEN kind = 'string' AND regexp_matches(value, '\\.[^./]*$') AND NOT starts_with(value, '{scheme}:')
+    AND value NOT IN (SELECT path FROM listing) THEN value END AS name FROM leaves),
+wanted AS (SELECT DISTINCT name FROM cand WHERE name IS NOT NULL)
+"""
+
+
+#: SQL for the leaves filled with at most one match each, ``m (name, uri)``.
+_FILLED_ONCE = "SELECT rec_id, ctx, pos, kind, coalesce(uri, value) AS value, uri IS NOT NULL AS filled FROM cand LEFT JOIN m USING (name)"
+
+
+@query("a17_fill_refs_keep", f"""
+WITH {V.OBJECTS}, {RECORDS}, {_candidates("keep")},
+hits AS (SELECT name, 1 AS tier, ord, container, path FROM wanted JOIN objects ON path = name
+    UNION ALL SELECT name, 2, ord, container, path FROM wanted JOIN objects ON ends_with(path, '/' || name)),
+m AS (SELECT name, 'keep:' || container || '/' || path AS uri FROM hits QUALIFY row_number() OVER (PARTITION BY name ORDER BY tier, ord) = 1)
+{_FILLED_ONCE}
+""")
+def a17_keep(t):
+    return shown(LC.fill_records(leaves(t), B.objects(t), B.listing(t), "keep"), "filled")
+
+
+@query("a17_fill_refs_sbg", f"""
+WITH {V.PARTS}, {RECORDS}, {_candidates("sbg")},
+m AS (SELECT w.name, 'sbg:f' || min(k) || '/' || w.name AS uri FROM wanted w JOIN parts p ON p.brand || '/' || p.base = w.name GROUP BY w.name)
+{_FILLED_ONCE}
+""")
+def a17_sbg(t):
+    short = B.parts(t).select(F.col("k").alias("ord"), F.concat(F.lit("f"), F.col("k").cast("string")).alias("file_id"),
+                              F.concat_ws("/", "brand", "base").alias("path"))
+    return shown(LC.fill_records(leaves(t), short, B.listing(t), "sbg"), "filled")
+
+
+DX_FOLDERS = ((0, "p0", "/economy"), (1, "p1", "/promo"), (2, "p1", "/small/Brand#11"))
+_DX_PLACES = "places AS (SELECT * FROM (VALUES " + ", ".join(map(str, DX_FOLDERS)) + ") v(rank, project, folder))"
+
+
+@query("a17_fill_refs_dx", f"""
+WITH {V.KEYED}, {RECORDS}, {_candidates("dx")}, {_DX_PLACES},
+t1 AS (SELECT name, rank, ord, file_id, k.project, path FROM wanted CROSS JOIN places p JOIN keyed k ON path = folder || '/' || name
+    QUALIFY row_number() OVER (PARTITION BY name ORDER BY rank, ord) = 1),
+t2 AS (SELECT name, rank, ord, file_id, k.project, path FROM wanted CROSS JOIN places p JOIN keyed k ON starts_with(path, folder || '/') AND ends_with(path, '/' || name)
+    WHERE name NOT IN (SELECT name FROM t1)),
+m AS (SELECT name, rank * 1099511627776 + ord AS ord, 'dx:' || file_id || '/' || project || ':' || path AS uri, count(*) OVER (PARTITION BY name) AS n
+    FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2))
+SELECT rec_id, ctx, CASE WHEN n > 1 THEN pos || '.' || ord ELSE pos END AS pos, kind, coalesce(uri, value) AS value, uri IS NOT NULL AS filled
+FROM cand LEFT JOIN m USING (name)
+""")
+def a17_dx(t):
+    catalog = I.keyed_last_wins(B.keyed_listing(t))
+    return shown(LC.fill_records(leaves(t), catalog, B.listing(t), "dx", DX_FOLDERS), "filled")
+
+
+LOCAL_BASES = ("/data/ref/economy", "/data/in0/promo", "/data/in1/small")
+
+
+@query("a17_fill_refs_local", f"""
+WITH {V.PARTS}, {RECORDS}, {_candidates("local")},
+bases AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{b}')" for i, b in enumerate(LOCAL_BASES))}) v(pos, base)),
+m AS (SELECT name, path AS uri FROM wanted CROSS JOIN bases JOIN listing ON path = CASE WHEN starts_with(name, '/') THEN name ELSE base || '/' || name END
+    QUALIFY row_number() OVER (PARTITION BY name ORDER BY bases.pos) = 1)
+{_FILLED_ONCE}
+""")
+def a17_local(t):
+    files = B.listing(t)
+    return shown(LC.fill_records(leaves(t), files, files, "local", LOCAL_BASES), "filled")
+
+
+@query("a17_fill_refs_sets", f"""
+WITH {V.CATALOG}, {RECORDS}, {_candidates("gs")},
+hits AS (SELECT n.name, c.ord, c.uri FROM wanted n JOIN catalog c ON c.uri = n.name OR ends_with(c.uri, '/' || n.name)),
+m AS (SELECT name, CASE WHEN count(*) = 1 THEN min(uri) END AS uri, CASE WHEN count(*) > 1 THEN name END AS set_id FROM hits GROUP BY name)
+SELECT rec_id, ctx, pos, kind, coalesce(uri, value) AS value, m.name IS NOT NULL AS filled, set_id FROM cand LEFT JOIN m USING (name)
+""")
+def a17_sets(t):
+    """As many rows as leaves; lists are named, not copied."""
+    filled, _ = LC.fill_records(leaves(t), B.catalog(t).select("ord", "uri"), B.listing(t), "gs", encoded=True)
+    return shown(filled, "filled", "set_id")
+
+
 @query("a9_path_candidates", f"""
 WITH {V.LISTING}, {RECORDS}
 SELECT * FROM leaves WHERE kind = 'string' AND regexp_matches(value, '\\.[^./]*$') AND value NOT IN (SELECT path FROM listing)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from stowline.functions import paths as P
 from stowline.operators import refs as RF
 from stowline.operators import resolve as R
+from stowline.operators.platforms import PLATFORMS
 from stowline.plans import bindings as B
 from stowline.plans import oracle_views as V
 from stowline.plans.registry import query
 from stowline.sources import files as SF
+from stowline.sources import inventory as I
 
 REFS = V.PARTS + """,
 r AS (SELECT k, 'hg' || (k // 80) || 'x' AS build, kind, psize FROM parts),
@@ -190,6 +192,114 @@ def a18_lookup(t):
     return RF.resolve_relative(_resources(t), ref_catalog(t), lookup=True)
 
 
+#: The reference catalog of platforms with ids: key ``<project>:/<build>/…``, and the name with the file's id before it.
+_BY_ID = REFS + """,
+ids AS (SELECT ord, build, replace(uri, 'gs://refs/', '/') AS path, 'p' || (ord % 2) AS project, 'f' || ord AS file_id FROM refs),
+dx AS (SELECT arg_max(file_id, ord) AS file_id, arg_max(project, ord) AS project, min(ord) AS ord, path FROM ids GROUP BY path),
+dxb AS (SELECT build, aligner, 'p' || m || ':' || replace(prefix, 'gs://refs/', '/') AS prefix, 'p' || m || ':' || replace(base_dir, 'gs://refs/', '/') AS base_dir
+    FROM builds CROSS JOIN (SELECT unnest([0, 1]) AS m))
+"""
+
+
+def _ids(t):
+    return ref_catalog(t).select(
+        "ord", F.replace("uri", F.lit("gs://refs/"), F.lit("/")).alias("path"), F.concat(F.lit("p"), (F.col("ord") % 2).cast("string")).alias("project"),
+        F.concat(F.lit("f"), F.col("ord").cast("string")).alias("file_id"))
+
+
+def _dx_catalog(t):
+    return I.keyed_last_wins(_ids(t))
+
+
+def _dx_builds(t):
+    """Every build in either project; names come with an id, which the comparison leaves out."""
+    dx = PLATFORMS["dx"]
+    inside = lambda c: dx.strip(F.concat(F.lit("dx:f7/p"), F.col("_m").cast("string"), F.lit(":"), F.replace(c, F.lit("gs://refs/"), F.lit("/"))))
+    return builds(t).withColumn("_m", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        F.concat_ws("@", "build", "_m").alias("key_build"), "build", "aligner", inside(F.col("prefix")).alias("prefix"), inside(F.col("base_dir")).alias("base_dir"))
+
+
+@query("a21_bundle_dx", f"""
+WITH {_BY_ID},
+w AS (SELECT build, aligner, prefix, k AS kind FROM dxb, (SELECT unnest(['seq', 'rtg', 'bwa']) AS k) WHERE prefix LIKE 'p1:%' AND (k <> 'bwa' OR aligner = 'bwa')),
+named AS (SELECT ord, project || ':' || path AS key, 'dx:' || file_id || '/' || project || ':' || path AS uri FROM dx),
+tars AS (SELECT w.*, ord, uri FROM w JOIN named n ON starts_with(n.key, prefix) AND ends_with(n.key, '-wf.tar.gz') AND starts_with(regexp_extract(n.key, '[^/]*$'), kind)),
+files AS (SELECT w.*, ord, uri, ends_with(n.key, '/' || w.build || '.fa') OR ends_with(n.key, '/mainIndex') AS is_base FROM w JOIN named n ON starts_with(n.key, prefix || '/' || kind)),
+counts AS (SELECT build, aligner, kind, CASE kind WHEN 'seq' THEN 'fasta' ELSE kind END AS key,
+    (SELECT count(*) FROM tars x WHERE x.build = w.build AND x.kind = w.kind) AS n_tar,
+    (SELECT count(*) FROM files x WHERE x.build = w.build AND x.kind = w.kind AND is_base) AS n_base,
+    (SELECT count(*) FROM files x WHERE x.build = w.build AND x.kind = w.kind) AS n_files FROM w),
+status AS (SELECT *, CASE WHEN n_tar > 1 THEN 'bad' WHEN n_tar = 1 AND kind = aligner THEN 'tarball base' WHEN n_tar = 1 THEN 'tarball' WHEN n_base > 1 THEN 'bad'
+    WHEN n_base = 1 THEN 'base' WHEN n_files = 1 THEN 'single' ELSE 'indexes' END AS form FROM counts)
+SELECT s.build, s.aligner, s.kind, key, unnest(CASE WHEN form = 'tarball base' THEN ['base', 'index'] ELSE ['plain'] END) AS role, ord, uri
+FROM status s JOIN tars f ON s.build = f.build AND s.kind = f.kind WHERE form IN ('tarball', 'tarball base')
+UNION ALL
+SELECT s.build, s.aligner, s.kind, key, CASE WHEN form = 'single' THEN 'plain' WHEN is_base THEN 'base' ELSE 'index' END, ord, uri
+FROM status s JOIN files f ON s.build = f.build AND s.kind = f.kind WHERE form IN ('base', 'single', 'indexes')
+""")
+def a21_dx(t):
+    """Bundles of the builds in project p1, compared without file ids."""
+    return RF.reference_bundle(_dx_builds(t).filter(F.col("prefix").startswith("p1:")).drop("key_build"), PLATFORMS["dx"].keyed(_dx_catalog(t)))
+
+
+@query("a19_companions_dx", f"""
+WITH {_BY_ID}
+SELECT b.build || '@' || substr(prefix, 2, 1) AS build, k.ord AS ord, 'dx:' || file_id || '/' || project || ':' || path AS uri
+FROM dxb b LEFT JOIN dx k ON project || ':' || path = prefix || '/versions.csv'
+""")
+def a19_dx(t):
+    named = _dx_builds(t).drop("build").withColumnRenamed("key_build", "build")
+    return RF.companion(named, PLATFORMS["dx"].keyed(_dx_catalog(t)), RF.versions_path())
+
+
+@query("a22_viral_bundle_sbg", f"""
+WITH {_BY_ID},
+v AS (SELECT b.build, i.ord, 'sbg:' || file_id || '/' || path AS uri, ends_with(path, '.fa') AS fa FROM builds b JOIN ids i
+    ON starts_with(path, replace(prefix, 'gs://refs/', '/') || '/viral')),
+f AS (SELECT *, min(CASE WHEN fa THEN ord END) OVER (PARTITION BY build) AS first_fa FROM v)
+SELECT build, CASE WHEN first_fa IS NULL THEN 'no base' WHEN ord = first_fa THEN 'base' ELSE 'index' END AS role, ord, uri
+FROM f WHERE first_fa IS NULL OR ord = first_fa OR NOT fa
+""")
+def a22_sbg(t):
+    return RF.viral_bundle(_sbg_builds(t), PLATFORMS["sbg"].keyed(_ids(t)))
+
+
+def _sbg_builds(t):
+    inside = lambda c: PLATFORMS["sbg"].strip(F.concat(F.lit("sbg:f7/"), F.replace(c, F.lit("gs://refs/"), F.lit("/"))))
+    return builds(t).select("build", "aligner", inside(F.col("prefix")).alias("prefix"), inside(F.col("base_dir")).alias("base_dir"))
+
+
+@query("a18_lookup_sbg", f"""
+WITH {_BY_ID} {RESOURCES},
+own AS (SELECT res_id, replace(base_dir, 'gs://refs/', '/') AS base_dir, k1, k2, value, replace(target, 'gs://refs/', '/') AS target FROM res),
+m AS (SELECT path, 'sbg:' || arg_min(file_id, ord) || '/' || path AS uri FROM ids GROUP BY path)
+SELECT res_id, base_dir, k1, k2, value FROM own WHERE NOT starts_with(value, '../')
+UNION ALL SELECT res_id, base_dir, k1, k2, uri FROM own JOIN m ON path = target WHERE starts_with(value, '../')
+""")
+def a18_sbg(t):
+    sbg, catalog = PLATFORMS["sbg"], _ids(t)
+    asked = _resources(t).withColumn("base_dir", sbg.strip(F.concat(F.lit("sbg:f9/"), F.replace("base_dir", F.lit("gs://refs/"), F.lit("/")))))
+    return RF.resolve_relative(asked, sbg.keyed(catalog), lambda names: sbg.find(catalog, names, ()))
+
+
+@query("a18_lookup_dx", f"""
+WITH {_BY_ID} {RESOURCES},
+own AS (SELECT res_id, 'p' || (res_id % 2) || ':' || replace(base_dir, 'gs://refs/', '/') AS base_dir, k1, k2, value, 'p' || (res_id % 2) AS project,
+    replace(target, 'gs://refs/', '/') AS target FROM res),
+m AS (SELECT path, project, 'dx:' || file_id || '/' || project || ':' || path AS uri FROM dx)
+SELECT res_id, base_dir, k1, k2, value FROM own WHERE NOT starts_with(value, '../')
+UNION ALL SELECT res_id, base_dir, k1, k2, uri FROM own JOIN m ON path = target WHERE starts_with(value, '../') AND own.project = 'p1'
+UNION ALL SELECT res_id, base_dir, k1, k2, uri FROM own JOIN m ON path = target AND own.project = m.project
+    WHERE starts_with(value, '../') AND own.project <> 'p1' AND starts_with(own.project || ':' || target, regexp_replace(base_dir, '/seq$', ''))
+""")
+def a18_dx(t):
+    """Project p1 is configured: there the lookup finds a path whatever its project. Others are compared by key alone."""
+    dx, catalog = PLATFORMS["dx"], _dx_catalog(t)
+    inside = F.concat(F.lit("dx:f9/p"), (F.col("res_id") % 2).cast("string"), F.lit(":"), F.replace("base_dir", F.lit("gs://refs/"), F.lit("/")))
+    asked = _resources(t).withColumn("base_dir", dx.strip(inside))
+    return RF.resolve_relative(asked, dx.keyed(catalog), lambda names: dx.find(catalog, names, ((0, "p1", "/none"),)))
+
+
 JARS = V.PARTS + """,
 sheets AS (SELECT k AS sheet_id, 's3://bk' || (k % 40) || '/proj' || (k % 9) || '/sheet' || k || '.yaml' AS uri FROM parts),
 jars AS (SELECT k AS ord, 's3://bk' || (k % 40) || '/' || CASE k % 2 WHEN 0 THEN '' ELSE 'proj' || (k % 9) || '/' END || 'jars/' ||
