@@ -69,13 +69,16 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
     whole, big = big, big.filter(no_null)
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     hot = cut_lineage(counts.filter(F.col("_rows") > hot_rows))
-    while not fits_broadcast(hot, HOT_KEYS):
+    while True:
+        salts = hot.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
+        if fits_broadcast(salts, HOT_KEYS):
+            break
         hot_rows *= 2
         hot = hot.filter(F.col("_rows") > hot_rows)
     if hot.isEmpty():
         joined = big.join(small, on, how)
     else:
-        hot = F.broadcast(hot.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts")))
+        hot = F.broadcast(salts)
         salted = big.join(hot, on).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int"))
         spread = small.join(hot, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
         joined = big.join(hot, on, "left_anti").join(small, on, how).unionByName(
