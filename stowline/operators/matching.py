@@ -29,7 +29,14 @@ def _fits(facts) -> bool:
 
 def suffix_join(rows: DataFrame, text: str, names: DataFrame, name: str = "name") -> DataFrame:
     """Pairs where ``text`` equals ``name`` or ends with ``/`` + ``name`` (names must be distinct)."""
-    facts = _facts(names, name, F.collect_set(F.size(F.split(name, "/"))).alias("depths"))
+    return _suffix_join(rows, text, names, name, _facts(names, name, _depths(name)))
+
+
+def _depths(name: str) -> Column:
+    return F.collect_set(F.size(F.split(name, "/"))).alias("depths")
+
+
+def _suffix_join(rows: DataFrame, text: str, names: DataFrame, name: str, facts) -> DataFrame:
     depths = sorted(facts["depths"])
     if not depths:
         return rows.join(names, F.lit(False))
@@ -143,7 +150,10 @@ def name_join(rows: DataFrame, text: str, names: DataFrame, name: str = "name")
     brackets need a regular expression then.
     """
     col, is_glob = F.col(text), F.col(name).contains("*")
-    whole = suffix_join(rows, text, names, name)
+    facts = _facts(names, name, _depths(name), F.count_if(is_glob).alias("globs"))
+    whole = _suffix_join(rows, text, names, name, facts)
+    if not facts["globs"]:
+        return whole
     met = glob_candidates(rows, text, names.filter(is_glob), name)
     regex = F.concat(F.lit(r"(?s)^.*/"), P.glob_regex(name), F.lit(r"\z"))
     simple = ~F.col(name).rlike(r"[?\[]")

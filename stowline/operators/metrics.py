@@ -105,16 +105,35 @@ def attribute_steps(metrics: DataFrame, steps: DataFrame, bucket_seconds: int =
     Rows and steps are cut into time buckets per host, so neither a busy host nor a long run is handled by
     one task, and rows are never paired with all steps of their host. The step running at the start of a
     bucket is found from one row per bucket and enters the bucket as its first step. A bucket with more
-    than ``split_rows`` rows is cut into equal time slices first.
+    than ``split_rows`` rows and steps is cut into equal time slices first. Of steps that start at one instant only the last
+    counts. Rows of one instant all get one answer: more than ``split_rows`` of them are one row while steps are sought,
+    and are then given its step where they are, by a broadcast of at most rows / ``split_rows`` instants.
     """
     split_rows = skew.HOT_ROWS if split_rows is None else split_rows
     width = bucket_seconds * 1_000_000
-    rows = metrics.withColumn("_us", _micros(metrics, "ts")).withColumn("_bucket", F.floor(F.col("_us") / width))
-    marks = steps.select(
-        "host", F.col("step").alias("_step"), F.col("start").alias("_start"), _micros(steps, "start").alias("_us"),
-    ).withColumn("_bucket", F.floor(F.col("_us") / width))
+    rows = metrics.withColumn("_us", _micros(metrics, "ts"))
+    instants = cut_lineage(rows.groupBy("host", "_us").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > split_rows).select("host", "_us"))
+    if instants.isEmpty():
+        return _attribute(rows, steps, width, split_rows).select(*metrics.columns, "step", "step_start")
+    crowd = instants.withColumn("_crowd", F.lit(True))
+    marked = skew.null_safe_join(rows, crowd, ["host", "_us"], "left", spread_right=skew.fits_broadcast(crowd))
+    rest = _attribute(marked.filter("_crowd IS NULL").drop("_crowd"), steps, width, split_rows)
+    known = cut_lineage(_attribute(instants, steps, width, split_rows).select("host", "_us", "step", "step_start"))
+    many = skew.null_safe_join(marked.filter("_crowd").drop("_crowd"), known, ["host", "_us"], "left", spread_right=skew.fits_broadcast(known))
+    columns = [*metrics.columns, "step", "step_start"]
+    return rest.select(*columns).unionByName(many.select(*columns))
+
+
+def _attribute(rows: DataFrame, steps: DataFrame, width: int, split_rows: int) -> DataFrame:
+    """``rows`` (with ``_us``) and their ``step, step_start``; no instant has more than ``split_rows`` rows."""
+    columns = rows.columns
+    rows = rows.withColumn("_bucket", F.floor(F.col("_us") / width))
+    marks = steps.select("host", F.col("step").alias("_step"), F.col("start").alias("_start"), _micros(steps, "start").alias("_us"))
+    marks = marks.groupBy("host", "_us").agg(F.max(F.struct("_start", "_step")).alias("_m")).select(
+        "host", "_us", "_m._start", "_m._step", F.floor(F.col("_us") / width).alias("_bucket"))
+    both = rows.select("host", "_bucket").unionByName(marks.select("host", "_bucket"))
     crowded = (
-        rows.groupBy("host", "_bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > split_rows)
+        both.groupBy("host", "_bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > split_rows)
         .select("host", "_bucket", F.ceil(F.col("_n") / split_rows).alias("_slices"))
     )
     if not crowded.isEmpty():
@@ -142,7 +161,7 @@ def attribute_steps(metrics: DataFrame, steps: DataFrame, bucket_seconds: int =
     )
     so_far = Window.partitionBy(*cell).orderBy("_at", "_turn", "_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tagged = events.withColumn("_now", F.last("_s", ignorenulls=True).over(so_far)).filter("_turn = 1")
-    return tagged.select(*metrics.columns, F.col("_now._step").alias("step"), F.col("_now._start").alias("step_start"))
+    return tagged.select(*columns, F.col("_now._step").alias("step"), F.col("_now._start").alias("step_start"))
 
 
 def with_hardware(metrics: DataFrame, hardware: DataFrame) -> DataFrame:
@@ -150,10 +169,28 @@ def with_hardware(metrics: DataFrame, hardware: DataFrame) -> DataFrame:
     return skew.checked_join(metrics, hardware, ["host"], "left")
 
 
-def step_ends(steps: DataFrame) -> DataFrame:
-    """Steps with their end, the start of the host's next step; the last step stays open."""
-    following = Window.partitionBy("host").orderBy("start", "step")
-    return steps.withColumn("end", F.lead("start").over(following))
+def step_ends(steps: DataFrame, group_rows: int | None = None) -> DataFrame:
+    """Steps with their end, the start of the host's next step; the last step stays open.
+
+    Hosts up to ``group_rows`` steps use an ordinary window. When a larger one exists, steps are cut into slices by a
+    range partitioning on (host, start, step): the last step of a slice ends where the host's next slice begins.
+    """
+    group_rows = skew.GROUP_ROWS if group_rows is None else group_rows
+    seen = steps.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
+    order = ["start", "step"]
+    if (seen["top"] or 0) <= group_rows:
+        return steps.withColumn("end", F.lead("start").over(Window.partitionBy("host").orderBy(*order)))
+    slices = max(int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(seen["all"]) // group_rows))
+    # The slice of a row must not change when a lost task runs again, hence the checkpoint.
+    sliced = cut_lineage(steps.repartitionByRange(slices, "host", *order).withColumn("_slice", F.spark_partition_id()))
+    first = F.min(F.struct(F.col("start").isNotNull().alias("none"), "start")).alias("_first")
+    carry = cut_lineage(sliced.groupBy("host", "_slice").agg(first).select(
+        "host", "_slice", F.lead("_first").over(Window.partitionBy("host").orderBy("_slice")).alias("_carry")))
+    # A struct tells the end of a slice from a null start.
+    inside = F.lead(F.struct("start")).over(Window.partitionBy("host", "_slice").orderBy(*order))
+    joined = skew.null_safe_join(sliced.withColumn("_next", inside), carry, ["host", "_slice"], spread_right=skew.fits_broadcast(carry))
+    end = F.when(F.col("_next").isNotNull(), F.col("_next.start")).otherwise(F.col("_carry.start"))
+    return joined.select(*steps.columns, end.alias("end"))
 
 
 def usage_by_step(attributed: DataFrame) -> DataFrame:

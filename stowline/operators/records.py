@@ -8,6 +8,8 @@ Object keys are in sorted order, as in Spark's VARIANT.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +26,8 @@ IGNORED_SAMPLE_KEYS = ("description", "analysis", "resources", "genome_build", "
 IGNORED_ALGORITHM_KEYS = ("variantcaller", "realign", "recalibrate", "phasing", "svcaller")
 
 
-def json_depth(json: Column | str) -> Column:
-    """How deep the containers of a JSON text nest."""
-    text = F.col(json) if isinstance(json, str) else json
-    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-
-    def step(at: Column, mark: Column) -> Column:
-        now = at["now"] + F.when(mark.isin("[", "{"), 1).otherwise(F.when(mark == "", 0).otherwise(-1))
-        return F.struct(now.alias("now"), F.greatest(at["top"], now).alias("top"))
-
-    return F.aggregate(F.split(brackets, ""), start, step, lambda at: at["top"])
+#: Levels that are opened in one plan; what is deeper goes on from a checkpoint.
+LEVELS = 6
 
 
 def _is_container(v: str) -> Column:
@@ -42,18 +35,41 @@ def _is_container(v: str) -> Column:
     return shape.startswith("OBJECT<") | shape.startswith("ARRAY<")
 
 
-def flatten(records: DataFrame, json: str = "json", depth: int | None = None) -> DataFrame:
+def flatten(records: DataFrame, json: str = "json", depth: int | None = None, levels: int | None = None) -> DataFrame:
     """Records ``(rec_id, json)`` → leaf table.
 
-    Containers are opened level by level in one pass: finished leaves ride along, so there is neither a
-    shuffle nor a union. The number of levels is measured unless ``depth`` is given; a deeper record then
-    fails instead of losing leaves.
+    Containers are opened level by level, ``levels`` of them in one scan without a shuffle; finished leaves ride along. Rows
+    that are still containers then are the frontier, looked for among the records with more brackets than that. They
+    alone are checkpointed and opened further, as often as there are any, so that neither the plan nor the work on shallow
+    records grows with the deepest one. With ``depth`` given no frontier is looked for, and a deeper record fails
+    instead of losing leaves.
     """
-    if depth is None:
-        depth = records.agg(F.max(json_depth(json))).first()[0] or 0
-    rows = records.select(
-        "rec_id", F.parse_json(json).alias("v"), F.array().cast(PATH_TYPE).alias("path"))
-    for _ in range(depth):
+    levels = LEVELS if levels is None else levels
+    rows = records.select("rec_id", F.parse_json(json).alias("v"), F.array().cast(PATH_TYPE).alias("path"))
+    if depth is not None:
+        return _leaves(_opened(rows, depth), strict=True)
+    brackets = F.length(json) - F.length(F.replace(F.replace(F.col(json), F.lit("[")), F.lit("{")))
+    deeper = _frontier(_opened(records.filter(brackets > levels).select("rec_id", F.parse_json(json).alias("v"), F.array().cast(PATH_TYPE).alias("path")), levels))
+    done = [_leaves(_opened(rows, levels).filter(~_is_open()))]
+    while not deeper.isEmpty():
+        rows = _opened(deeper.select("rec_id", F.parse_json("v").alias("v"), "path"), levels)
+        done.append(_leaves(rows.filter(~_is_open())))
+        deeper = _frontier(rows)
+    return reduce(DataFrame.unionByName, done)
+
+
+def _is_open() -> Column:
+    """Whether ``v`` is a container with something in it."""
+    return _is_container("v") & ~F.to_json("v").isin("{}", "[]")
+
+
+def _frontier(rows: DataFrame) -> DataFrame:
+    return cut_lineage(rows.filter(_is_open()).select("rec_id", F.to_json("v").alias("v"), "path"))
+
+
+def _opened(rows: DataFrame, levels: int) -> DataFrame:
+    """``rows (rec_id, v, path)`` with ``levels`` levels of containers opened."""
+    for _ in range(levels):
         opened = rows.withColumn("_c", F.when(_is_container("v"), F.col("v"))).lateralJoin(
             rows.sparkSession.tvf.variant_explode_outer(F.col("_c").outer()))
         step = F.struct(F.col("key").alias("key"), F.col("pos").cast("long").alias("idx"))
@@ -62,14 +78,18 @@ def flatten(records: DataFrame, json: str = "json", depth: int | None = None) ->
             F.when(F.col("pos").isNull(), F.col("v")).otherwise(F.col("value")).alias("v"),
             F.when(F.col("pos").isNull(), F.col("path")).otherwise(F.concat("path", F.array(step))).alias("path"),
         )
+    return rows
+
+
+def _leaves(rows: DataFrame, strict: bool = False) -> DataFrame:
     shape = F.schema_of_variant("v")
-    too_deep = _is_container("v") & ~F.to_json("v").isin("{}", "[]")
     kind = (
-        F.when(too_deep, F.raise_error(F.lit("record nests deeper than the given depth")).cast("string"))
-        .when(shape == "STRING", F.lit("string")).when(shape == "VOID", F.lit("null"))
+        F.when(shape == "STRING", F.lit("string")).when(shape == "VOID", F.lit("null"))
         .when(shape == "BOOLEAN", F.lit("boolean")).when(shape.startswith("OBJECT"), F.lit("object"))
         .when(shape.startswith("ARRAY"), F.lit("array")).otherwise(F.lit("number"))
     )
+    if strict:
+        kind = F.when(_is_open(), F.raise_error(F.lit("record nests deeper than the given depth")).cast("string")).otherwise(kind)
     value = F.when(shape == "STRING", F.col("v").cast("string")).otherwise(F.to_json("v"))
     return rows.select("rec_id", "path", kind.alias("kind"), value.alias("value"))
 

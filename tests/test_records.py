@@ -180,3 +180,13 @@ def test_localize(spark):
     df = spark.createDataFrame([(["reference"], "s3://b/x"), (["files"], "s3://b/x"), (["files"], "/l"), ([], "s3://b/q")],
                                "ctx array<string>, value string")
     assert [r["value"] for r in TR.localize(df, "b", "/d/b").collect()] == ["/d/b/genomes/x", "/d/b/x", "/l", "/d/b/q"]
+
+
+def test_flatten_goes_on_where_records_are_deep(spark, monkeypatch):
+    deep = lambda n: '{"a":[' * (n // 2) + '"x"' + "]}" * (n // 2)
+    df = spark.createDataFrame([(1, deep(200)), (2, '{"b":1,"e":{}}'), (3, deep(14)), (4, '[[[[[[[[]]]]]]]]'), (5, '"[[[[[[[[["')], "rec_id long, json string")
+    got = {(r["rec_id"], len(r["path"]), r["kind"], r["value"]) for r in RC.flatten(df).collect()}
+    assert got == {(1, 200, "string", "x"), (2, 1, "number", "1"), (2, 1, "object", "{}"), (3, 14, "string", "x"), (4, 7, "array", "[]"), (5, 0, "string", "[[[[[[[[[")}
+    assert {r["rec_id"]: r["json"] for r in RC.rebuild(RC.flatten(df, levels=2)).collect()} == {r["rec_id"]: r["json"] for r in df.collect()}
+    shallow = RC.flatten(df.filter("rec_id = 2"))
+    assert shallow._jdf.queryExecution().executedPlan().toString().count("Generate") <= RC.LEVELS

@@ -182,3 +182,15 @@ def test_capacity_and_images(spark):
     folders = spark.createDataFrame([("hg19", "seq"), ("hg19", "vep"), ("hg19", "bwa"), ("hg19", "tmp")], "build string, name string")
     targets = spark.createDataFrame([("seq",), ("bwa",)], "target string")
     assert rows(FL.target_folders(folders, targets), "target", "path") == [("bwa", "hg19/bwa"), ("seq", "hg19/seq"), ("seq", "hg19/vep")]
+
+
+def test_steps_of_one_busy_host_and_of_one_instant(spark):
+    steps = spark.range(400).selectExpr("'h' host", "cast(id as string) step", "timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,0,0, id div 2) start")
+    plain, sliced = (sorted(map(tuple, MT.step_ends(steps, n).collect())) for n in (None, 30))
+    assert plain == sliced and sum(r[-1] is None for r in sliced) == 1
+    # Most rows and many steps share one instant.
+    rows = spark.range(3000).selectExpr("id event_id", "case when id % 50 = 0 then null else 'h' end host",
+                                        "timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,0,0, if(id < 2500, 100, id - 2500)) ts", "'m' metric", "1D value")
+    crowd = steps.unionByName(spark.range(500).selectExpr("'h' host", "concat('c', id) step", "timestamp_ntz'2024-01-01 00:01:40' start"))
+    whole, split = (sorted(map(str, MT.attribute_steps(rows, crowd, split_rows=n).collect())) for n in (None, 40))
+    assert whole == split and len(whole) == 3000
