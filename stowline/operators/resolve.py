@@ -12,6 +12,8 @@ large part of a catalog, and no task should hold such a list.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,11 +208,56 @@ def first_existing(listing: DataFrame, asked: DataFrame) -> DataFrame:
     return _first(hits, keys, ["pos"], ["pos", "path"])
 
 
+_WILD = r"[*?\[]"
+
+
+def _child(parent: Column, name: Column) -> Column:
+    return F.when(parent.isin("", "/"), F.concat(parent, name)).otherwise(F.concat(parent, F.lit("/"), name))
+
+
+def folder_tree(listing: DataFrame) -> DataFrame:
+    """``(parent, name)`` of every folder above a file; the parent of a first component is ``/`` or nothing."""
+    folder = F.col("_folder")
+    parent = F.when(folder.rlike("^/[^/]*$"), F.lit("/")).otherwise(P.dirname(folder))
+    return listing.select(F.explode(_above("path")).alias("_folder")).filter("_folder != ''").distinct().select(
+        parent.alias("parent"), P.basename("_folder").alias("name"))
+
+
+def walk_folders(tree: DataFrame, asked: DataFrame, folder: str = "_folder") -> DataFrame:
+    """``asked`` with each folder pattern replaced by the folders that it names; one row per folder found.
+
+    Components are matched one by one: the literal ones before the first wildcard at once, then one join per component with
+    the children of the folders found so far, so that no pattern meets a folder it has not reached. Wildcards
+    stay within a component, and a leading one does not reach hidden folders. ``tree`` is ``(parent, name)``.
+    """
+    keys = [c for c in asked.columns if c != folder]
+    parts = F.filter(F.split(P.normalize(folder), "/"), lambda p: p != "")
+    # How many components come before the first wildcard.
+    literal = F.aggregate(parts, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda acc, p: F.struct(
+        (acc["n"] + F.when(acc["go"] & ~p.rlike(_WILD), 1).otherwise(0)).alias("n"), (acc["go"] & ~p.rlike(_WILD)).alias("go")), lambda acc: acc["n"])
+    root = F.when(F.col(folder).startswith("/"), F.lit("/")).otherwise(F.lit(""))
+    at = asked.select(*keys, parts.alias("_parts"), literal.alias("_n"), root.alias("_root"))
+    at = at.select(*keys, F.concat("_root", F.array_join(F.slice("_parts", F.lit(1), F.col("_n")), "/")).alias("_at"),
+                   F.slice("_parts", F.col("_n") + 1, F.size("_parts")).alias("_left"))
+    at, found = cut_lineage(at), []
+    while True:
+        found.append(at.filter(F.size("_left") == 0).select(*keys, F.col("_at").alias(folder)))
+        open_ones = at.filter(F.size("_left") > 0)
+        if open_ones.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        ready = open_ones.withColumns({"_part": F.element_at("_left", 1), "_left": F.slice("_left", F.lit(2), F.size("_left")), "parent": F.col("_at")})
+        met = skew.checked_join(tree.withColumnRenamed("name", "_name"), ready, ["parent"])
+        regex = F.concat(F.lit(r"(?s)^"), P.glob_regex("_part", "[^/]*", "[^/]"), F.lit(r"\z"))
+        hidden = F.col("_name").startswith(".") & ~F.col("_part").startswith(".")
+        hit = F.when(F.col("_part").rlike(_WILD), F.rlike("_name", regex) & ~hidden).otherwise(F.col("_part") == F.col("_name"))
+        at = cut_lineage(met.filter(hit).select(*keys, _child(F.col("_at"), F.col("_name")).alias("_at"), "_left"))
+
+
 def expand_names(listing: DataFrame, asked: DataFrame) -> DataFrame:
     """An existing name stands for itself; another one for the sample files ``folder/name*``.
 
-    ``asked`` is ``(req_id, name, inputs array<string>)``; ``listing`` is ``(path)``. The name may hold
-    wildcards in its last component; a leading wildcard does not reach hidden files.
+    ``asked`` is ``(req_id, name, inputs array<string>)``; ``listing`` is ``(path)``. Names and folders may hold
+    wildcards in any component; a leading wildcard does not reach hidden files. Folders are normalised.
     """
     wanted = asked.select("name").distinct()
     present = skew.checked_join(
@@ -218,12 +265,17 @@ def expand_names(listing: DataFrame, asked: DataFrame) -> DataFrame:
     asked_missing = skew.checked_join(asked, present, ["name"], "left_anti")
     full = P.join_path("_dir", "name")
     literal = F.regexp_extract(P.basename("_full"), r"^([^*?\[]*)", 1)
-    patterns = (
+    tried = cut_lineage(
         asked_missing.select("req_id", "name", F.posexplode("inputs").alias("pos", "_dir"))
         .select("req_id", "name", "pos", full.alias("_full"))
         .select("req_id", "name", "pos", P.dirname("_full").alias("_folder"), literal.alias("_head"),
                 P.basename("_full").alias("_base"))
     )
+    wild = F.col("_folder").rlike(_WILD)
+    plain = F.when(F.col("_folder") == "", F.lit("")).otherwise(P.normalize("_folder"))
+    patterns = tried.filter(~wild).withColumn("_folder", plain)
+    if not tried.filter(wild).isEmpty():
+        patterns = patterns.unionByName(walk_folders(folder_tree(listing), tried.filter(wild)).select(*tried.columns))
     files = listing.filter(P.is_sample_file("path")).select(
         "path", P.dirname("path").alias("_folder"), P.basename("path").alias("_file"))
     lengths = sorted(
@@ -233,9 +285,10 @@ def expand_names(listing: DataFrame, asked: DataFrame) -> DataFrame:
     fanned = files.withColumn("_head", F.explode(F.transform(cuts, lambda n: F.substr("_file", F.lit(1), n))))
     regex = F.concat(F.lit(r"(?s)^"), P.glob_regex(F.concat(F.col("_base"), F.lit("*")), "[^/]*", "[^/]"), F.lit(r"\z"))
     hidden = F.col("_file").startswith(".") & ~F.col("_base").startswith(".")
+    # A name without wildcards is the head that both sides are joined by.
+    fits = F.when(F.col("_base").rlike(_WILD), F.rlike("_file", regex)).otherwise(F.lit(True))
     found = (
-        skew.checked_join(fanned, patterns.withColumn("_regex", regex), ["_folder", "_head"])
-        .filter(F.expr("rlike(_file, _regex)") & ~hidden)
+        skew.checked_join(fanned, patterns, ["_folder", "_head"]).filter(fits & ~hidden)
         .select("req_id", "name", "pos", "path")
     )
     itself = skew.checked_join(asked, present, ["name"]).select(

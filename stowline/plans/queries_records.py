@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stowline.operators import records as RC
@@ -11,6 +13,7 @@ from stowline.plans import bindings as B
 from stowline.plans import lifecycle as LC
 from stowline.plans import oracle_views as V
 from stowline.plans.registry import query
+from stowline.session import checkpoint_ready
 from stowline.sources import files as SF
 from stowline.sources import inventory as I
 
@@ -92,17 +95,29 @@ def b8_conversations(t):
     return shown(RC.flatten(rows))
 
 
-@query("b8_rebuild", f"""
+_RECORD_JSON = f"""
 WITH {V.PARTS}
 SELECT k AS rec_id, '{{"algorithm":{{"depth":' || psize || ',"variant_regions":"/data/ref/' || path || '","variantcaller":"' || base
     || '"}},"analysis":"variant.bam","attrs":{{}},"description":"' || kind || '-' || k || '","files":["' || brand || '/' || base
     || '","miss_' || k || '.bam"],"flag":true,"nest":[[{{"p":"/data/in0/' || path || '"}},null],"x"],"note":null,"only":[null],'
     || '"reference":{{"alt":{{"v":null}},"fasta":{{"base":"/mnt/bio/' || folder || '/seq/' || base || '"}}}},"tags":[]}}' AS json FROM parts
-""")
+"""
+
+
+@query("b8_rebuild", _RECORD_JSON)
 def b8_rebuild(t):
     return RC.rebuild(leaves(t))
 
 
+@query("c9_records", f"SELECT json FROM ({_RECORD_JSON})")
+def c9(t):
+    """Records written as JSON lines and read again."""
+    checkpoint_ready(t.spark)
+    out = SF.ready_path(f"{t.spark.sparkContext.getCheckpointDir()}/sheet-{uuid.uuid4().hex}.json")
+    SF.write_records(RC.rebuild(leaves(t)), out)
+    return t.spark.read.text(out).select(F.col("value").alias("json"))
+
+
 @query("b1_sheet_samples", """
 SELECT '/s/' || conv_id || '.json' AS path, CAST(i AS INTEGER) AS pos, '{"turn":' || (turn + i) || ',"role":"' || role || '"}' AS sample, '{"fc_name":"c' || conv_id || '"}' AS sheet
 FROM (SELECT *, unnest([0, 1]) AS i FROM conversations)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stowline.operators import resolve as R
 from stowline.plans import bindings as B
 from stowline.plans import oracle_views as V
 from stowline.plans.registry import query
+from stowline.session import checkpoint_ready
 from stowline.sources import inventory as I
 
 
@@ -183,6 +186,25 @@ def a16(t):
     return R.expand_names(B.listing(t), asked)
 
 
+@query("a16_glob_folders", f"""
+WITH {V.LISTING},
+asked AS (SELECT k AS req_id, CASE k % 2 WHEN 0 THEN substr(kind, 1, 2) || '*/' || brand || '/' || split_part(base, '_', 1) ELSE kind || '/?rand#' || substr(brand, 7) || '/../' || brand || '/*' END AS name FROM parts),
+tried AS (SELECT req_id, name, unnest([{{'pos': 0, 'd': '/data/ref'}}, {{'pos': 1, 'd': '/data/in[01]'}}]) AS t FROM asked),
+files AS (SELECT path, split_part(path, '/', 3) AS base, split_part(path, '/', 4) AS kind, split_part(path, '/', 5) AS brand, split_part(path, '/', 6) AS file FROM listing
+    WHERE regexp_matches(path, '(\\.bam|\\.(fastq|fq)(\\.gz)?|\\.vcf(\\.gz)?)$'))
+SELECT req_id, name, t.pos AS pos, f.path FROM tried JOIN files f ON (CASE WHEN t.pos = 0 THEN f.base = 'ref' ELSE f.base IN ('in0', 'in1') END)
+AND (CASE WHEN req_id % 2 = 0 THEN starts_with(f.kind, substr(name, 1, 2)) AND f.brand = split_part(name, '/', 2) AND starts_with(f.file, split_part(name, '/', 3))
+    ELSE f.kind = split_part(name, '/', 1) AND f.brand = split_part(name, '/', 4) END)
+""")
+def a16_folders(t):
+    """Wildcards in folders of names and of inputs; a step up is taken out before folders are walked."""
+    even = F.concat(F.substring("kind", 1, 2), F.lit("*/"), "brand", F.lit("/"), F.substring_index("base", "_", 1))
+    odd = F.concat("kind", F.lit("/?rand#"), F.expr("substr(brand, 7)"), F.lit("/../"), "brand", F.lit("/*"))
+    asked = B.parts(t).select(F.col("k").alias("req_id"), F.when(F.col("k") % 2 == 0, even).otherwise(odd).alias("name"),
+                              F.array(F.lit("/data/ref"), F.lit("/data/in[01]")).alias("inputs"))
+    return R.expand_names(B.listing(t), asked)
+
+
 @query("a16_unresolved", f"""
 WITH {V.LISTING},
 asked AS (SELECT k AS req_id, split_part(base, '_', 1) AS name, '/data/ref/' || folder AS d FROM parts)
@@ -267,6 +289,20 @@ def a2(t):
     return I.expand_folders(_nodes(t), 0)
 
 
+@query("a2_start_folder", f"""
+WITH {NODES}
+SELECT a.parent AS root, a.name || '/' || b.name || '/' AS path, b.id AS id FROM nodes b JOIN nodes a ON b.parent = a.id WHERE a.parent >= 0
+UNION ALL SELECT parent, '', parent FROM nodes WHERE parent >= 0 GROUP BY parent
+""")
+def a2_start(t):
+    """Every node is looked for from two levels above it, and every folder from itself."""
+    nodes = _nodes(t)
+    above = nodes.select(F.col("id").alias("parent"), F.col("parent").alias("root"), F.col("name").alias("_name"))
+    asked = nodes.join(above, "parent").filter("root >= 0").select("root", F.concat("_name", F.lit("/"), "name", F.lit("/")).alias("path"))
+    own = nodes.filter("parent >= 0").select(F.col("parent").alias("root"), F.lit("").alias("path")).distinct()
+    return I.find_folders(nodes, asked.unionByName(own))
+
+
 CONFIGS = """
 configs AS (SELECT n_nationkey AS cfg_id, CASE n_nationkey % 5 WHEN 0 THEN 'gs' WHEN 1 THEN 's3' WHEN 2 THEN 'keep' WHEN 3 THEN 'dx' ELSE 'sbg' END AS platform,
     lower(r_name) || '/ref' AS ref, [lower(n_name) || '/in', 'shared', lower(n_name) || '/in'] AS inputs, ['fold'] AS folders,
@@ -322,6 +358,15 @@ def a6(t):
     return I.under_prefixes(B.catalog(t).select("ord", "uri"), prefixes).select("prefix", "ord", "uri")
 
 
+@query("a6_prefix_scan", f"WITH {V.CATALOG} SELECT ord, uri FROM catalog WHERE starts_with(uri, 'gs://b1/economy/Brand#1')")
+def a6_scan(t):
+    """One prefix over a stored catalog: the condition reaches the files, whose statistics leave most of them out."""
+    checkpoint_ready(t.spark)
+    out = f"{t.spark.sparkContext.getCheckpointDir()}/catalog-{uuid.uuid4().hex}"
+    I.write_catalog(B.catalog(t).select("ord", "uri"), out)
+    return I.under_prefix(t.spark.read.parquet(out), "gs://b1/economy/Brand#1")
+
+
 @query("a6_prefix_list_by_id", f"""
 WITH {V.KEYED}, prefixes AS (SELECT DISTINCT 'dx:f1/p' || (k % 2) || ':/' || folder AS prefix FROM parts)
 SELECT prefix, ord, 'dx:' || file_id || '/' || project || ':' || path AS uri

@@ -14,6 +14,7 @@ from stowline.plans import oracle_views as V
 from stowline.plans.registry import query
 from stowline.session import checkpoint_ready
 from stowline.sources import files as SF
+from stowline.sources import inventory as IV
 from stowline.streaming import live as LV
 
 METRICS = """
@@ -190,6 +191,45 @@ def s1(t):
     return t.spark.read.parquet(f"{out}/data").select("host", "name", "size", "mtime")
 
 
+@query("s1_new_versions", f"WITH {FILES} SELECT DISTINCT host, name, size, mtime FROM remote")
+def s1_versions(t):
+    """Four files land, one a batch; each version is in two of them."""
+    out = _scratch(t.spark)
+    files = _files(t).select("host", "name", "size", F.col("mtime").cast("timestamp").alias("mtime"))
+    twice = files.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    twice.repartitionByRange(4, "copy", "mtime").drop("copy").write.parquet(f"{out}/landed")
+    stream = LV.open_stream(t.spark, f"{out}/landed", files.schema, max_files=1)
+    query = LV.new_versions(stream, "40 days").writeStream.format("parquet").option("path", f"{out}/data").option(
+        "checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return t.spark.read.parquet(f"{out}/data").withColumn("mtime", F.col("mtime").cast("timestamp_ntz"))
+
+
+@query("d2_pruned", f"""
+WITH {FILES}, frame AS (SELECT min(ts) AS a, max(ts) AS b FROM events WHERE event_type = 'view' AND ts BETWEEN '2024-01-05' AND '2024-01-06')
+SELECT host, name, mtime FROM remote, frame WHERE mtime >= a AND first_ts <= b
+""")
+def d2_pruned(t):
+    """The same window over stored files: days outside the run are not read."""
+    out = _scratch(t.spark) + "/files"
+    SF.write_raw_files(_files(t), out)
+    frame = t.events.filter("event_type = 'view' and ts between timestamp_ntz'2024-01-05' and timestamp_ntz'2024-01-06'").agg(
+        F.min("ts").alias("run_start"), F.max("ts").alias("run_end"))
+    return MT.in_run_frame(t.spark.read.parquet(out), frame, day="day", span_days=1).select("host", "name", "mtime")
+
+
+@query("a1_listing", f"""
+WITH {V.PARTS} SELECT kind, CAST(sum(octet_length(encode(path)) + 1) AS BIGINT) AS bytes FROM parts GROUP BY kind
+""")
+def a1(t):
+    """Files below a folder with their sizes, read from the file system alone: the paths, one a line, in one folder per kind."""
+    out = _scratch(t.spark) + "/tree"
+    B.parts(t).select("kind", "path").write.partitionBy("kind").text(out)
+    files = IV.scan_files(t.spark, out)
+    kind = F.regexp_extract("path", r"/kind=([^/]*)/[^/]*$", 1)
+    return files.groupBy(kind.alias("kind")).agg(F.sum("size").alias("bytes"))
+
+
 # -- fleet ---------------------------------------------------------------------------------------------
 
 FLEET = """

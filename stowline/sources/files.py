@@ -109,6 +109,13 @@ def write_series(series: DataFrame, path: str, mode: str = "overwrite") -> None:
     dated.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("day").parquet(path)
 
 
+def write_raw_files(files: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store raw files ``(host, name, size, mtime, …)`` in folders of the day of ``mtime``, for ``metrics.in_run_frame``."""
+    order = ["day", "host", "mtime"]
+    dated = files.withColumn("day", F.to_date("mtime"))
+    dated.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("day").parquet(path)
+
+
 def ready_path(sheet: str) -> str:
     """Where the normalised form of a sheet goes: next to it, marked ``-ready``."""
     stem, dot, ext = sheet.rpartition(".")

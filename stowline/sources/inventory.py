@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,11 +75,30 @@ def expand_folders(nodes: DataFrame, root_id: Column | int | str) -> DataFrame:
 
 def find_folder(nodes: DataFrame, root_id, path: str) -> DataFrame:
     """``(id)`` of the folder reached by walking ``path`` from ``root_id``; the first hit per level wins."""
-    at = nodes.sparkSession.range(1).select(F.lit(root_id).cast(nodes.schema["id"].dataType).alias("parent"))
-    for name in [p for p in path.split("/") if p]:
-        step = nodes.filter(F.col("name") == name).select("id", "parent")
-        at = step.join(F.broadcast(at), "parent").agg(F.min("id").alias("parent"))
-    return at.withColumnRenamed("parent", "id")
+    kind = nodes.schema["id"].dataType
+    asked = nodes.sparkSession.range(1).select(F.lit(root_id).cast(kind).alias("root"), F.lit(path).alias("path"))
+    return find_folders(nodes, asked).select("id")
+
+
+def find_folders(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """The start folder of every row of ``asked (root, path)``: walked from ``root`` one component a level.
+
+    The first hit of a level wins (the smallest id); rows that lead nowhere are left out. All rows take a level in one join, and
+    each level is checkpointed.
+    """
+    steps = F.filter(F.split("path", "/"), lambda p: p != "")
+    at = asked.select("root", "path", F.col("root").alias("_at"), steps.alias("_left"))
+    first = nodes.groupBy("parent", "name").agg(F.min("id").alias("_id"))
+    found = []
+    while True:
+        at = cut_lineage(at)
+        found.append(at.filter(F.size("_left") == 0).select("root", "path", F.col("_at").alias("id")))
+        going = at.filter(F.size("_left") > 0)
+        if going.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        keyed = going.select("root", "path", F.col("_at").alias("parent"), F.element_at("_left", 1).alias("name"),
+                             F.slice("_left", F.lit(2), F.size("_left")).alias("_left"))
+        at = skew.checked_join(keyed, first, ["parent", "name"]).select("root", "path", F.col("_id").alias("_at"), "_left")
 
 
 def catalog_roots(configs: DataFrame) -> DataFrame:
@@ -132,6 +153,11 @@ def keyed_last_wins(listing: DataFrame, key: str = "path") -> DataFrame:
     return listing.groupBy(key).agg(F.min("ord").alias("ord"), last).select(key, "ord", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def write_catalog(catalog: DataFrame, path: str, key: str = "uri", mode: str = "overwrite") -> None:
+    """Store a catalog in the order of its names: a file holds a narrow range, which its statistics tell a prefix scan."""
+    catalog.repartitionByRange(key).sortWithinPartitions(key).write.mode(mode).parquet(path)
+
+
 def under_prefix(catalog: DataFrame, prefix: str, key: str = "uri") -> DataFrame:
     """Catalog rows whose key starts with ``prefix``; pushed down to the scan of a stored catalog."""
     return catalog.filter(F.col(key).startswith(prefix))

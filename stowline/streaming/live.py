@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from stowline.operators.metrics import interval_stats
+from stowline.operators.skew import null_safe_join
 
 FILE_KEYS = ["host", "name", "size", "mtime"]
 
@@ -39,8 +40,8 @@ def ingest_changed(stream: DataFrame, target: str, checkpoint: str, available_no
 
     Every micro-batch owns the folder ``run=<query id>/batch=<id>`` below ``target``, cut into days of ``mtime``. The query id
     lives in the checkpoint, so a batch that runs again after a failure replaces its own rows, and a new checkpoint
-    over an old target adds to it. A batch is compared with the rows of its own days only, so that its cost does
-    not grow with the history.
+    over an old target adds to it. A batch is compared with the rows of its own days only (and of the null day), so that
+    its cost does not grow with the history. Nulls are equal: a file without host or time is written once.
     """
     started, own = threading.Event(), {}
 
@@ -49,17 +50,17 @@ def ingest_changed(stream: DataFrame, target: str, checkpoint: str, available_no
         started.wait()
         fresh = batch.dropDuplicates(FILE_KEYS).withColumn("day", F.to_date("mtime"))
         days = fresh.agg(F.min("day"), F.max("day")).first()
-        if days[0] is not None:
-            schema = StructType([batch.schema[c] for c in FILE_KEYS]).add("run", "string").add("batch", "long").add("day", "date")
-            try:
-                known = spark.read.schema(schema).parquet(target)
-            except AnalysisException as error:
-                if error.getCondition() != "PATH_NOT_FOUND":
-                    raise
-            else:
-                others = (F.col("run") != own["id"]) | (F.col("batch") != batch_id)
-                known = known.filter(others & F.col("day").between(*days)).select(*FILE_KEYS)
-                fresh = fresh.join(known, FILE_KEYS, "left_anti")
+        schema = StructType([batch.schema[c] for c in FILE_KEYS]).add("run", "string").add("batch", "long").add("day", "date")
+        try:
+            known = spark.read.schema(schema).parquet(target)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            others = (F.col("run") != own["id"]) | (F.col("batch") != batch_id)
+            # Files without a time have a day of their own, the null one.
+            same_days = F.col("day").isNull() if days[0] is None else F.col("day").between(*days) | F.col("day").isNull()
+            fresh = null_safe_join(fresh, known.filter(others & same_days).select(*FILE_KEYS), FILE_KEYS, "left_anti")
         fresh.write.mode("overwrite").partitionBy("day").parquet(f"{target}/run={own['id']}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
