@@ -2,8 +2,11 @@
 
 Terms (lower-case words) are counted over all documents. The lexicon is a band of document frequency: terms in at
 least ``LEAST`` and at most ``MOST`` of the documents, and in two at least. A document keeps its distinct lexicon
-terms; each of several randomised subsets of the lexicon hashes those that it holds, in sorted order, and the
-fingerprint is the list of these hashes. A subset that holds none gives an empty entry.
+terms, sorted; each of several randomised subsets of the lexicon hashes those that it holds, and the
+fingerprint is the list of these hashes. A subset's hash is a mixed sum over its terms: they are sorted and distinct, so the sum
+stands for the sorted list (it tells lists apart but for chance, as a hash of their bytes would) and all subsets of a text are
+made at once. A subset that holds none gives an empty entry. A text with terms but none in the lexicon gets entries
+made from all of its sorted distinct terms, so that only equal sets of terms agree.
 
 Subsets come in ``SCALES`` scales of ``PER_SCALE`` each; a subset of scale s holds a term with probability
 2^-(s + 1). So there is a scale at which a text of any length keeps a few terms of each subset. The likeness of two
@@ -11,8 +14,8 @@ fingerprints is the best, over the scales, of the share of equal hashes among th
 both; scales with fewer than ``FILLED`` such entries count as if they had so many.
 
 The band bounds the lexicon: at most (mean distinct terms of a document) / LEAST terms, at any corpus size; it is
-counted before it is broadcast. Null text counts as empty, and the fingerprint of an empty text has no hash; two
-empty fingerprints have likeness 1. Equal texts have equal fingerprints.
+counted before it is broadcast. Null text counts as empty, and the fingerprint of a text without terms has no hash; two
+such have likeness 1. Equal texts have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -24,17 +27,18 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stowline.llm.common import row_key, text_chunks
+from stowline.llm.common import cut, row_key, text_chunks
+from stowline.operators.skew import number_in_group
 
 LEAST, MOST = 0.0005, 0.05
 SCALES, PER_SCALE, FILLED = 10, 8, 4
 SEED = 11
-#: Characters of a bucket of the pass that meets each document with the next.
-BUCKET_CHARS = 16_000_000
+#: Characters of a bucket of the pass that meets each document with the next, and buckets at most; beyond, buckets grow.
+BUCKET_CHARS, BUCKETS_MOST = 16_000_000, 100_000
 #: The largest lexicon that is broadcast, in terms of 8 bytes.
 LEXICON_TERMS = 20_000_000
 
@@ -132,6 +136,14 @@ def fingerprint(kept: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.where(some, (_mixed(sums ^ _PLACES) >> np.uint64(32)) | np.uint64(1), np.uint64(0))
 
 
+def fallback(terms: np.ndarray) -> np.ndarray:
+    """The entries of a text that has the sorted distinct ``terms`` and none of them in the lexicon."""
+    if not len(terms):
+        return np.zeros(SCALES * PER_SCALE, np.uint64)
+    whole = np.uint64(xxhash.xxh3_64_intdigest(terms.tobytes()))
+    return (_mixed(whole ^ _PLACES) >> np.uint64(32)) | np.uint64(1)
+
+
 def shown(marks: np.ndarray) -> str:
     return "-".join(["%x" % m if m else "" for m in marks.tolist()])
 
@@ -149,34 +161,50 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     """``docs`` in buckets by descending id, each followed by the first row of the next bucket (``_more``).
 
     Bucket bounds are sampled rows; ties of the id are ordered by a hash of the text and the place in the scan, so
-    that no id makes a bucket of its own. Null ids come last. The bound rows are at most one per bucket.
+    that no id makes a bucket of its own. Null ids come last. The sample is put in order by Spark; the bounds, one row per
+    bucket, reach the driver. ``_b`` is a number that Spark deals to a task of its own when it deals by ``_b``.
     """
     rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.xxhash64("text").alias("_hash"), row_key().alias("_at"), "doc_id", "text")
     total, chars = rows.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
-    buckets = max(1, -(-(chars or 0) // BUCKET_CHARS))
-    share = min(1.0, 64 * buckets / max(1, total))
-    drawn = rows.select("_id", "_hash", "_at").where(
-        F.pmod(F.xxhash64("_id", "_hash", "_at", F.lit(SEED)), F.lit(1_000_003)) < share * 1_000_003).limit(200 * buckets).collect()
-    drawn = sorted((tuple(r) for r in drawn), reverse=True)
-    # Bucket b starts at its bound; the first bucket starts with the very first row.
-    bounds = [drawn[i * len(drawn) // buckets] for i in range(1, buckets)] if len(drawn) >= buckets else []
+    buckets = max(1, min(BUCKETS_MOST, total, -(-(chars or 0) // BUCKET_CHARS)))
+    bounds = []
+    if buckets > 1:
+        share = min(1.0, 64 * buckets / total)
+        order = ["_id", "_hash", "_at"]
+        drawn = rows.select(*order).where(F.pmod(F.xxhash64(*order, F.lit(SEED)), F.lit(1_000_003)) < share * 1_000_003)
+        drawn = cut(number_in_group(drawn.withColumn("_all", F.lit(0)), ["_all"], order, "_rank"))
+        step = max(1, drawn.count() // buckets)
+        # Bucket b starts at its bound; the first bucket starts with the very first row.
+        kept = drawn.where((F.col("_rank") > 0) & (F.col("_rank") % step == 0)).select(*order)
+        bounds = sorted((tuple(r) for r in kept.collect()), reverse=True)[-(buckets - 1):]
     first = rows.orderBy(F.desc("_id"), F.desc("_hash"), F.desc("_at")).select("_id", "_hash", "_at").first()
     keys = [tuple(-x for x in b) for b in bounds]
     start = set(bounds) | ({tuple(first)} if first else set())
+    dealt = _dealt(docs.sparkSession, len(keys) + 1)
     schema = T.StructType([T.StructField("_b", T.IntegerType()), T.StructField("_more", T.BooleanType()), *rows.schema.fields])
 
     def run(batches):
         for batch in batches:
             own = list(zip(*(batch.column(c).to_pylist() for c in ("_id", "_hash", "_at"))))
             b = [bisect.bisect_right(keys, tuple(-x for x in k)) for k in own]
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([False] * len(b)), *batch.columns], schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([dealt[i] for i in b], pa.int32()), pa.array([False] * len(b)), *batch.columns], schema.names)
             extra = [i for i, k in enumerate(own) if k in start]
             if extra:
-                before = [(b[i] - 1) % (len(keys) + 1) for i in extra]
+                before = [dealt[(b[i] - 1) % (len(keys) + 1)] for i in extra]
                 part = batch.take(pa.array(extra))
                 yield pa.RecordBatch.from_arrays([pa.array(before, pa.int32()), pa.array([True] * len(extra)), *part.columns], schema.names)
 
-    return rows.mapInArrow(run, schema), buckets
+    return rows.mapInArrow(run, schema), len(keys) + 1
+
+
+def _dealt(spark: SparkSession, parts: int) -> list[int]:
+    """For each of ``parts`` tasks a number that Spark's hash deals to it; one row per task."""
+    tried = spark.range(int(parts * (np.log(parts) + 12)) + 64).select(F.col("id").cast("int").alias("k"))
+    found = tried.groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).agg(F.min("k").alias("k")).collect()
+    known = {r["p"]: r["k"] for r in found}
+    # A task without a number, which hardly happens, shares that of another: numbers only must differ.
+    spare = iter(range(2**30, 2**30 + parts))
+    return [known[p] if p in known else next(spare) for p in range(parts)]
 
 
 def fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -196,7 +224,7 @@ def fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             own = known.hashes(text)
             at = np.searchsorted(lexicon, own)
             at = at[(lexicon[np.minimum(at, len(lexicon) - 1)] == own)] if len(lexicon) else at[:0]
-            return fingerprint(lexicon[at], bits[at])
+            return fingerprint(lexicon[at], bits[at]) if len(at) else fallback(own)
 
         held, out = None, []
         for batch in batches:
