@@ -67,7 +67,10 @@ def mix_plan(docs: DataFrame, weigh: Callable[[DataFrame], DataFrame] = cycle_we
 
     ``weigh`` adds ``weight`` to a table of (source, source_size); ``share`` of all sizes is the budget.
     """
-    rows = docs.withColumns({"size": words(), "_row": row_key(), "_stratum": _hex(f"mix{seed}", F.col("doc_id"), 1, 3)})
+    # The caller's columns travel in one struct, so that none can clash.
+    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "times")]
+    rows = docs.select(F.struct(*names).alias("_kept"), "doc_id", "source", words().alias("size"), row_key().alias("_row"),
+                       _hex(f"mix{seed}", F.col("doc_id"), 1, 3).alias("_stratum"))
     strata = cut(rows.groupBy("source", "_stratum").agg(F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_rows")))
     sources = cut(weigh(strata.groupBy("source").agg(F.sum("_size").alias("source_size"), F.sum("_rows").alias("_source_rows"))))
     budget = share * (sources.agg(F.sum("source_size")).first()[0] or 0)
@@ -91,7 +94,7 @@ def mix_plan(docs: DataFrame, weigh: Callable[[DataFrame], DataFrame] = cycle_we
                 .otherwise(F.col("doc_id").cast("string")), 1, 8) / F.lit(float(16 ** 8))
     extra = F.when(F.col("_stratum") < F.col("_cut"), 1).when((F.col("_stratum") == F.col("_cut")) & (draw < F.col("_p")), 1).otherwise(0)
     times = F.when(F.col("size") > 0, F.least(F.col("_whole") + extra, F.lit(int(max_epochs)))).otherwise(0).cast("int")
-    return joined.withColumn("times", times).select(*docs.drop("size", "source_size", "target", "times").columns,
+    return joined.withColumn("times", times).select(*(F.col("_kept").getField(c).alias(c) for c in names),
                                                     "size", "source_size", "target", "times")
 
 
