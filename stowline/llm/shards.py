@@ -1,10 +1,10 @@
 """Sharding by a two-pass external shuffle, with DataFrame functions only.
 
-Pass 1 scatters rows over memory-sized buckets by a seeded hash of their key. Pass 2 shuffles each bucket with
-``shuffle()``, Spark's Fisher-Yates shuffle of an array, after sorting it; each bucket is a Spark group of about
-``bucket_rows`` rows. The row's place in the concatenation of the shuffled buckets decides its shard (place mod
-shards) and its slot in the shard (place div shards), so that shards differ by at most one row and slots have no
-gaps.
+Pass 1 scatters whole records over memory-sized buckets by a seeded hash of their key. Pass 2 shuffles each bucket with
+``shuffle()``, Spark's Fisher-Yates shuffle of an array, after sorting it, and writes it; each bucket is a Spark group of about
+``bucket_rows`` rows and ``bucket_bytes`` bytes. The row's place in the concatenation of the shuffled buckets decides its shard: shards are
+equal ranges of places, so that they differ by at most one row and slots have no gaps. A bucket falls into a few
+shards only, so it is written from the task that shuffled it: a shard is a folder of files, each with a range of its slots.
 
 Rows that share a key (or have none) would meet in one bucket. A bucket of more than twice its rows is overfull;
 its rows are scattered again over all buckets by key and place in the scan. Equal texts need not share a shard:
@@ -12,15 +12,20 @@ one group may hold a third of all rows, which no shard could take.
 
 A given input (same files and scan settings), seed and bucket count give the same shards again, also after a task is
 recomputed: buckets are sorted before they are shuffled, and the partition count is fixed, so that each bucket
-meets the same random numbers. An empty table gives an empty result; null text has no bytes.
+meets the same random numbers. An empty table gives an empty result; null text has no bytes. The caller's columns with the names
+``shard`` and ``slot`` are replaced; others may have any name.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stowline.llm.common import cut, row_key
+from stowline.session import checkpoint_ready
 
 SHARDS = 24
 SEED = 29
@@ -29,14 +34,16 @@ BUCKET_ROWS = 50_000
 BUCKET_BYTES = 32_000_000
 
 
-def shuffled(rows: DataFrame, key: str, shards: int = SHARDS, seed: int = SEED, row_bytes: int | None = None,
-             bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``rows`` with ``shard`` and ``slot``. All columns move through the shuffle; ``row_bytes`` is their mean size.
+def shuffled(rows: DataFrame, key: str, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS,
+             bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``rows`` with ``shard`` and ``slot``. All columns move through the shuffle; ``text`` decides their mean size, if there is one.
 
     ``rows`` must be a table scan or a checkpointed frame with columns that can be sorted.
     """
-    total = rows.count()
-    per_bucket = max(1, min(bucket_rows, bucket_bytes // (row_bytes or 1)))
+    size = F.octet_length("text") if "text" in rows.columns else F.lit(0)
+    total, mean = rows.agg(F.count(F.lit(1)), F.avg(F.coalesce(size, F.lit(0)))).first()
+    row_bytes = int(mean or 0) + 64
+    per_bucket = max(1, min(bucket_rows, bucket_bytes // row_bytes))
     buckets = max(1, -(-total // per_bucket))
     names = [c for c in rows.columns if c not in ("shard", "slot")]
     row = F.struct(*names)
@@ -51,24 +58,26 @@ def shuffled(rows: DataFrame, key: str, shards: int = SHARDS, seed: int = SEED,
     gathered = scattered.repartition(buckets, "_b").groupBy("_b").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     mixed = gathered.sortWithinPartitions("_b").select("_b", F.posexplode(F.shuffle("_rows", seed)).alias("_place", "_row"))
     place = F.col("_start") + F.col("_place")
-    return mixed.join(F.broadcast(starts), "_b").select(
-        *(F.col(f"_row.{c}").alias(c) for c in names), (place % shards).cast("int").alias("shard"),
-        F.expr(f"(_start + _place) div {shards}").cast("long").alias("slot"))
+    # Shard s has the places from s * total div shards on.
+    shard = F.expr(f"((_start + _place + 1) * {shards} - 1) div {max(1, total)}")
+    placed = mixed.join(F.broadcast(starts), "_b").select(*(F.col(f"_row.{c}").alias(c) for c in names), shard.cast("int").alias("shard"), place.alias("_at"))
+    return placed.select(*names, "shard", (F.col("_at") - F.expr(f"CAST(shard AS BIGINT) * {total} div {shards}")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", **options) -> None:
-    """Write ``docs`` as one folder per shard, each in the order of its slots.
-
-    A shard is one task and one file; ask for more shards where that is too large.
-    """
-    size = docs.agg(F.avg(F.octet_length("text"))).first()[0] or 0
-    rows = shuffled(docs, key, row_bytes=int(size) + 64, **options)
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    """Write ``docs`` as one folder per shard, with ``slot``, each file in the order of its slots."""
+    shuffled(docs, key, **options).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
 
 
 def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row of ``docs``."""
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row of ``docs``, read from the shards that were written."""
+    spark = docs.sparkSession
+    checkpoint_ready(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
+    write_shards(docs, folder, shards=shards)
+    kinds = [f for f in docs.schema.fields if f.name not in ("shard", "slot")]
+    written = spark.read.schema(T.StructType([*kinds, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])).parquet(folder)
     text = F.coalesce(F.col("text"), F.lit(""))
-    facts = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return shuffled(cut(facts), "doc_id", shards).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return written.select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,6 +1,7 @@
 """Exact dedup, mixing and sharding against brute force, with nulls, ties, repeated rows and clashing columns."""
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -133,6 +134,39 @@ def test_shards(spark, tmp_path, bucket):
     assert shards.shuffled(docs.limit(0), "doc_id").count() == 0
 
 
+def test_mix_plan_keeps_columns_with_its_own_names(spark, docs):
+    clash = docs.withColumns({"target": F.lit("t"), "source_size": F.lit("s"), "_cut": F.lit("c"), "_kept": F.lit("k"), "_stratum": F.lit(7)})
+    rows = mixing.mix_plan(clash).collect()
+    assert len(rows) == len(ROWS) and all((r["_cut"], r["_kept"], r["_stratum"]) == ("c", "k", 7) for r in rows)
+    assert Counter(r["times"] for r in rows) == Counter(r["times"] for r in mixing.mix_plan(docs).collect())
+    assert set(mixing.mix(clash).columns) == set(clash.columns)
+
+
+def test_shard_report_is_what_was_written(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} " * (i % 7), "s", i) for i in range(400)] + [(i, "copy", None, 0) for i in range(400, 600)] + [(None, None, None, None)] * 5
+    spark.createDataFrame(rows, "doc_id long, text string, shard string, slot long").repartition(3).write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(shards, "BUCKET_ROWS", 40)
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = shards.shard_report(docs, 7).collect()
+    wanted = Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == wanted
+    places = defaultdict(list)
+    for r in got:
+        places[r["shard"]].append(r["slot"])
+    assert sorted(places) == list(range(7)) and all(sorted(v) == list(range(len(v))) for v in places.values())
+    assert {len(v) for v in places.values()} <= {605 // 7, 605 // 7 + 1}
+    # Shuffled: neighbours in the input are seldom neighbours in a shard, and every shard has ids of the whole range.
+    at = {(r["shard"], r["slot"]): r["doc_id"] for r in got}
+    near = sum(at.get((s, k + 1)) is not None and d is not None and abs(at[s, k + 1] - d) == 1 for (s, k), d in at.items())
+    assert near < 20 and all(min(d for (s, _), d in at.items() if s == k and d is not None) < 150 for k in range(7))
+    shards.write_shards(docs, str(tmp_path / "out"), shards=7, bucket_rows=40)
+    files = spark.read.parquet(str(tmp_path / "out")).select("shard", "slot", F.input_file_name().alias("f")).collect()
+    by_file = defaultdict(list)
+    for r in files:
+        by_file[r["f"]].append(r["slot"])
+    assert all(v == sorted(v) for v in by_file.values()) and len(by_file) > 7
+
+
 def test_write_shards(spark, docs, tmp_path):
     shards.write_shards(docs, str(tmp_path / "out"), shards=3)
     back = spark.read.parquet(str(tmp_path / "out"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from stowline.llm import common, imatch, jaccard, span_dedup
 from stowline.llm.components import components
@@ -199,11 +200,41 @@ def test_span_dedup_finds_passages_at_any_phase(spark, tmp_path):
             assert set(range(start + edge, start + length - edge)) <= set(gone) and gone
 
 
+def plain_mix(h):
+    h &= 2**64 - 1
+    h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 & (2**64 - 1)
+    h = (h ^ h >> 29) * 0x94D049BB133111EB & (2**64 - 1)
+    return h ^ h >> 32
+
+
+def plain_marks(text, band):
+    """One entry per subset, a term at a time."""
+    terms = sorted({xxhash.xxh3_64_intdigest(w) - 2**63 for w in text.lower().split()})
+    kept = [t for t in terms if t in band]
+    if not kept:
+        whole = xxhash.xxh3_64_intdigest(b"".join(t.to_bytes(8, "little", signed=True) for t in terms))
+        return [plain_mix(whole ^ k) >> 32 | 1 if terms else 0 for k in range(80)]
+    out = []
+    for k in range(80):
+        held = [t for t in kept if plain_mix(t % 2**64 ^ 0x9E3779B97F4A7C15 * (k + 11) % 2**64) >> (63 - k // 8) == 0]
+        out.append(plain_mix(sum(plain_mix(t % 2**64) for t in held) % 2**64 ^ k) >> 32 | 1 if held else 0)
+    return out
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    scales = [[(x, y) for x, y in zip(a[i:i + 8], b[i:i + 8]) if x or y] for i in range(0, 80, 8)]
+    return max(sum(x == y for x, y in scale) / max(4, len(scale)) for scale in scales)
+
+
 def test_fingerprints(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(imatch, "BUCKET_CHARS", 3000)
     rng = random.Random(4)
     rows = [(i * 7 % 101, " ".join(rng.choice(VOCAB[:200]) for _ in range(rng.randint(1, 60)))) for i in range(101)]
-    rows += [(200, None), (201, ""), (202, rows[0][1])]
+    # Texts without a term of the band are alike only if they have the same terms.
+    rows += [(200, None), (201, ""), (202, rows[0][1]), (203, "common one"), (204, "common"), (205, " common  common")]
+    rows += [(210 + i, f"common u{i}") for i in range(8)]
     rng.shuffle(rows)
     spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
@@ -220,11 +251,13 @@ def test_fingerprints(spark, tmp_path, monkeypatch):
         k = len(text) // 3
         edited = text[:len(text) - k] + following[:k]
         row = got[i]
-        own = terms.hashes(text)
-        own = own[np.isin(own, lexicon)]
+        known = set(lexicon.tolist())
+        mine, new, other = (plain_marks(t, known) for t in (text, edited, following))
         assert (row.n_chars, row.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert row.fingerprint == imatch.shown(imatch.fingerprint(own, imatch.subsets(own)))
-        assert 0 <= row.near_edited <= 1 and 0 <= row.near_next <= 1
+        assert (row.fingerprint, row.edited_fingerprint) == tuple("-".join(f"{m:x}" if m else "" for m in x) for x in (mine, new))
+        assert (row.near_edited, row.near_next) == pytest.approx((plain_likeness(mine, new), plain_likeness(mine, other)))
+    assert got[204].fingerprint == got[205].fingerprint != got[203].fingerprint and got[205].near_next == 1.0
+    assert got[204].near_next == got[212].near_next == 0.0
     assert got[202].fingerprint == got[rows[[r[1] for r in rows].index(dict(rows)[202])][0]].fingerprint
     # Ties and null ids: as many rows as there are, in any order among equals.
     tied = spark.createDataFrame([(1, "a b c")] * 5 + [(None, "d e f")] * 4 + [(1, None)], "doc_id long, text string")
