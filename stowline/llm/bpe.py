@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from stowline.llm.common import with_arrow
 
 #: Entries of a generation of a worker's caches of words and of matches. Longer strings are not kept.
-CACHE_WORDS, CACHE_PIECES = 70_000, 150_000
+CACHE_WORDS, CACHE_PIECES = 150_000, 70_000
 CACHE_CHARS = 48
 #: Children of a node of the segment tree; a match of up to so many bytes is a tree of one level.
 FAN = 16
@@ -121,23 +121,20 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         out = []
         for piece in self.find(part):
-            ids = self.pieces.get(piece)
-            if ids is None:
+            if piece[0] == " " and piece[1:].isalpha():
+                ids = self._word(piece[1:])
+            elif (ids := self.pieces.get(piece)) is None:
                 ids = array("i", merge(piece.encode(), self.ranks)).tobytes()
                 self.pieces.put(piece, ids)
             out.append(ids)
         return b"".join(out)
 
     def _word(self, word: str) -> bytes:
-        """The ids of a space and ``word``. A run of letters is one match."""
+        """The ids of a space and ``word``. A run of letters is one match; it is kept with the words alone."""
         ids = self.words.get(word)
         if ids is None:
             if word.isalpha():
-                piece = " " + word
-                ids = self.pieces.get(piece)
-                if ids is None:
-                    ids = array("i", merge(piece.encode(), self.ranks)).tobytes()
-                    self.pieces.put(piece, ids)
+                ids = array("i", merge(b" " + word.encode(), self.ranks)).tobytes()
             else:
                 ids = self._part(" " + word)
             self.words.put(word, ids)
