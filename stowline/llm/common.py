@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -49,6 +50,16 @@ def row_key() -> Column:
     return F.monotonically_increasing_id()
 
 
+def task_numbers(spark: SparkSession, parts: int) -> DataFrame:
+    """``part, number``: for each of ``parts`` tasks a number that Spark's hash deals to it, if it deals by an int column to so many.
+
+    Dealt by its own number, a bucket would share its task with others by chance, and one task get several. A task for which
+    no number was found, which hardly happens, has no row.
+    """
+    tried = spark.range(int(parts * (math.log(parts) + 12)) + 64).select(F.col("id").cast("int").alias("number"))
+    return tried.groupBy(F.pmod(F.hash("number"), F.lit(parts)).cast("int").alias("part")).agg(F.min("number").alias("number"))
+
+
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; stops counting beyond."""
     return df.limit(rows + 1).count() <= rows

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stowline.llm.common import cut, row_key, text_chunks
+from stowline.llm.common import cut, row_key, task_numbers, text_chunks
 from stowline.operators.skew import number_in_group
 
 LEAST, MOST = 0.0005, 0.05
@@ -199,12 +199,9 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
 
 def _dealt(spark: SparkSession, parts: int) -> list[int]:
     """For each of ``parts`` tasks a number that Spark's hash deals to it; one row per task."""
-    tried = spark.range(int(parts * (np.log(parts) + 12)) + 64).select(F.col("id").cast("int").alias("k"))
-    found = tried.groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).agg(F.min("k").alias("k")).collect()
-    known = {r["p"]: r["k"] for r in found}
-    # A task without a number, which hardly happens, shares that of another: numbers only must differ.
-    spare = iter(range(2**30, 2**30 + parts))
-    return [known[p] if p in known else next(spare) for p in range(parts)]
+    known = {r["part"]: r["number"] for r in task_numbers(spark, parts).collect()}
+    # A task without a number shares that of another: numbers only must differ.
+    return [known.get(p, 2**30 + p) for p in range(parts)]
 
 
 def fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stowline.llm.common import cut, row_key
+from stowline.llm.common import cut, row_key, task_numbers
 from stowline.session import checkpoint_ready
 
 SHARDS = 24
@@ -55,7 +55,10 @@ def shuffled(rows: DataFrame, key: str, shards: int = SHARDS, seed: int = SEED,
     scattered = scattered.join(F.broadcast(full), "_b", "left").withColumn("_b", F.when(F.col("_full"), again).otherwise(F.col("_b")))
     counts = cut(scattered.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")))
     starts = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_start"))
-    gathered = scattered.repartition(buckets, "_b").groupBy("_b").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    # Each bucket goes to a task of its own; one row per bucket.
+    numbers = task_numbers(rows.sparkSession, buckets).select(F.col("part").cast("long").alias("_b"), F.col("number").alias("_task"))
+    dealt = scattered.join(F.broadcast(numbers), "_b", "left").withColumn("_task", F.coalesce("_task", (F.col("_b") + 2**30).cast("int")))
+    gathered = dealt.repartition(buckets, "_task").groupBy("_task", "_b").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     mixed = gathered.sortWithinPartitions("_b").select("_b", F.posexplode(F.shuffle("_rows", seed)).alias("_place", "_row"))
     place = F.col("_start") + F.col("_place")
     # Shard s has the places from s * total div shards on.

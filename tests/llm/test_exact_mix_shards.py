@@ -173,3 +173,10 @@ def test_write_shards(spark, docs, tmp_path):
     assert back.count() == len(ROWS) and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2}
     report = shards.shard_report(docs).collect()
     assert sum(r["size"] for r in report) == sum(len((r[1] or "").encode()) + 8 for r in ROWS)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 200])
+def test_task_numbers_deal_one_bucket_a_task(spark, parts):
+    numbers = common.task_numbers(spark, parts)
+    dealt = numbers.repartition(parts, "number").select(F.spark_partition_id().alias("p"), "part")
+    assert dealt.count() == parts and dealt.where("p <> part").count() == 0
