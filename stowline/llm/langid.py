@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stowline.llm.common import cut, lookup_join, with_arrow
-from stowline.llm.subword import BUCKETS, Trainer, WordSums, clean_letters, softmax
+from stowline.llm.subword import BUCKETS, Trainer, WordSums, clean_letters, give_back, softmax
 
 TRAIN_ROWS, TRAIN_WORDS = 6_000, 60
 LO, HI = 1, 4
@@ -91,7 +91,9 @@ class Model:
 
 def train(docs: DataFrame) -> Model:
     """Learn from the rows of ``docs`` (text, lang) whose lang is not null."""
-    return Model(sample(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang"), TRAIN_ROWS, TRAIN_WORDS))
+    model = Model(sample(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang"), TRAIN_ROWS, TRAIN_WORDS))
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = False) -> DataFrame:
