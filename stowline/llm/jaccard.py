@@ -13,9 +13,12 @@ split at white space; a text of fewer words is one shingle, and one without word
 4. What is left is verified exactly on the sets of 64-bit shingle hashes.
 
 Nothing emits all pairs of a group. Classes of a bucket of up to ``PAIRS_UP_TO`` are paired as rows. Larger buckets that
-overlap form clusters; a cluster's members are dealt into blocks, each two blocks meet in one Spark group, where
-they are compared as in 3 and 4, and only counts and the least linked class leave it. The work inside such a
-cluster is still quadratic in its different texts (not in its copies).
+overlap form clusters. Short bands also chain texts that only share a passage, so the members of a cluster of more than one
+block are banded again, by ``LONG_BANDS`` bands of ``LONG_ROWS`` other values, and those that still share buckets form the
+clusters from there on; a pair at 0.8 is missed there with probability (1 - 0.8^LONG_ROWS)^LONG_BANDS, 5e-5 too. A cluster's
+members are dealt into blocks, each two blocks meet in one Spark group, where they are compared as in 3 and 4, and only
+counts and the least linked class leave it. The work inside such a cluster is still quadratic in its different texts
+(not in its copies), most of which are links then.
 
 Results: one row per row of the input with ``class_id``, the least ``doc_id`` of its connected component, and
 ``n_links``. Null ids are never a class id unless a class has no other. Repeated rows are copies. An empty table
@@ -38,6 +41,7 @@ from stowline.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
+LONG_BANDS, LONG_ROWS = 88, 10
 TOLERANCE = 1e-4
 PAIRS_UP_TO = 8
 BLOCK = 128
@@ -47,6 +51,8 @@ CELLS = 8_000_000
 _RNG = np.random.default_rng(41)
 _MUL = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_LONG_MUL = _RNG.integers(1, 2**63, LONG_BANDS * LONG_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LONG_ADD = _RNG.integers(0, 2**63, LONG_BANDS * LONG_ROWS, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,19 +88,19 @@ class Shingler:
         return np.unique(out)
 
 
-def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    best = np.full(len(_MUL), np.iinfo(np.uint32).max, np.uint32)
+def min_hashes(shingles: np.ndarray, mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
+    best = np.full(len(mul), np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(shingles), 1024):
-        part = ((shingles[None, at:at + 1024] * _MUL[:, None] + _ADD[:, None]) >> np.uint64(32)).min(1)
+        part = ((shingles[None, at:at + 1024] * mul[:, None] + add[:, None]) >> np.uint64(32)).min(1)
         best = np.minimum(best, part.astype(np.uint32))
     return best
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One number per band of each row of ``sig``."""
-    parts = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]) * _P
-    for k in range(ROWS):
+    parts = sig.reshape(len(sig), bands, rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]) * _P
+    for k in range(rows):
         h = _mixed(h * _P + parts[:, :, k])
     return h.view(np.int64)
 
@@ -234,6 +240,35 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("c", "sig").mapInArrow(run, "band long, c long")
 
 
+def _split(members: DataFrame) -> DataFrame:
+    """``node, root``: the clusters that long bands leave of ``members (c, root, shingles)``; a member that meets no other has no row."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sig = np.stack([min_hashes(s, _LONG_MUL, _LONG_ADD) for s in _ints(part.column("shingles"), np.uint64)])
+                root = _mixed(part.column("root").to_numpy().astype(np.uint64) * _P)
+                keys = band_keys(sig, LONG_BANDS, LONG_ROWS) ^ root.view(np.int64)[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("c").to_numpy(), LONG_BANDS))], ["band", "c"])
+
+    bands = cut(members.select("c", "root", "shingles").mapInArrow(run, "band long, c long"))
+    sizes = cut(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("hub")).where("n > 1"))
+    return components(lookup_join(bands, sizes, ["band"], "n", "inner").select(F.col("c").alias("a"), F.col("hub").alias("b")))
+
+
+def _clusters(dense: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, root, m``: the clusters of ``dense``, those of more than one block split, with their numbers of members."""
+    def sized(clusters):
+        counts = cut(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m")))
+        return lookup_join(clusters, counts, ["root"], "m", "inner")
+
+    all_ = cut(sized(dense))
+    large = all_.where(F.col("m") > BLOCK).select(F.col("node").alias("c"), "root")
+    if large.isEmpty():
+        return all_
+    return all_.where(F.col("m") <= BLOCK).unionByName(sized(_split(large.join(sets.select("c", "shingles"), "c"))))
+
+
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that the incremental comparison of signatures keeps."""
     sig = classes.select("c", "sig")
@@ -288,9 +323,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = likely.select(F.explode(F.array("a", "b")).alias("c")).unionByName(dense.select(F.col("node").alias("c"))).distinct()
     sets = cut(_with_shingles(docs, cut(wanted.join(classes.select("c", "n_docs"), "c"))))
     exact = cut(_exact(likely, sets))
-    counts = dense.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = dense.join(counts, "root").withColumn("blocks", blocks).withColumn(
+    members = _clusters(dense, sets).withColumn("blocks", blocks).withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumnRenamed("node", "c")
     members = members.join(sets, "c").join(classes.select("c", "sig"), "c")
     met_blocks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(

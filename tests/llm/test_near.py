@@ -108,6 +108,25 @@ def test_pruning_keeps_what_can_reach_the_threshold():
     assert list(zip(i, j)) == [(0, 0), (1, 1)]
 
 
+def test_long_bands_split_a_cluster_by_a_shared_passage(spark):
+    assert (1 - jaccard.THRESHOLD ** jaccard.LONG_ROWS) ** jaccard.LONG_BANDS < 1e-4
+    rng = random.Random(5)
+    words = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    shared, rows = words(60), []
+    for group in range(60):
+        own = words(90)
+        for copy in range(3):
+            rows.append((len(rows), group, " ".join(shared + own + [f"x{copy}"])))
+    shingler = jaccard.Shingler()
+    made = [(c, 0 if c < 150 else 150, shingler.shingles(t).tobytes()) for c, _, t in rows]
+    got = jaccard._split(spark.createDataFrame(made, "c long, root long, shingles binary")).collect()
+    # Texts with a third in common part; the near ones stay together, and nothing crosses the clusters there were.
+    assert {r.node: r.root for r in got} == {c: c - c % 3 for c, _, _ in rows}
+    same = [(c, 0 if c < 4 else 150, made[0][2]) for c in range(8)]
+    got = jaccard._split(spark.createDataFrame(same, "c long, root long, shingles binary")).collect()
+    assert {r.node: r.root for r in got} == {c: c - c % 4 for c in range(8)}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 3), (9, 8), (8, 7), (7, 9), (2, 1)] + [(20, k) for k in range(30, 60)] + [(k, k + 1) for k in range(100, 140)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
