@@ -52,7 +52,11 @@ STORAGE_ROLES = {
     "ost": "oss",
 }
 
+# States of instances that count no more, the name of the address translator, and what a usable image is.
 GONE_STATES = ("terminated", "shutting-down")
+TRANSLATOR = "NATDevice"
+IMAGE_TYPE = "hvm:ebs-ssd"
+IMAGE_RELEASE = "LTS"
 
 
 def target_folders(folders: DataFrame, targets: DataFrame) -> DataFrame:
@@ -168,7 +172,7 @@ def rescale_specs(specs: DataFrame, target_cores: int, target_mb: int) -> DataFr
 
 def stack_members(instances: DataFrame) -> DataFrame:
     """Address of every member of a stack; of equal names the last instance counts, gone ones never do."""
-    address = F.when(F.col("name") == "NATDevice", F.col("public_ip")).otherwise(F.col("private_ip"))
+    address = F.when(F.col("name") == TRANSLATOR, F.col("public_ip")).otherwise(F.col("private_ip"))
     alive = instances.filter(~F.col("state").isin(*GONE_STATES))
     return alive.groupBy("stack", "name").agg(F.max_by(address, "ord").alias("address"))
 
@@ -219,7 +223,8 @@ def audit_expected(expected: DataFrame, objects: DataFrame) -> DataFrame:
     asked = expected.select("scope", "kind", F.col("name").alias("expected"))
     counts = objects.groupBy("scope", "kind").agg(F.count(F.lit(1)).alias("n"))
     hits = objects.select("scope", "kind", F.col("name").alias("expected")).distinct().withColumn("_hit", F.lit(True))
-    joined = asked.join(counts, ["scope", "kind"], "left").join(hits, ["scope", "kind", "expected"], "left")
+    joined = skew.checked_join(asked, counts, ["scope", "kind"], "left")
+    joined = skew.checked_join(joined, hits, ["scope", "kind", "expected"], "left")
     state = F.when(F.coalesce("n", F.lit(0)) == 0, F.lit("none exist")).when(F.col("_hit"), F.lit("ok")).otherwise(F.lit("missing"))
     return joined.select("scope", "kind", "expected", state.alias("state"))
 
@@ -237,6 +242,6 @@ def stack_parameter(parameters: DataFrame, key: str) -> DataFrame:
 def latest_image(images: DataFrame) -> DataFrame:
     """Newest long-term-support image per region: highest version, then highest id."""
     image = F.regexp_extract("image", r"^[^>]*>([^<>]*)", 1)
-    usable = images.filter((F.col("instance_type") == "hvm:ebs-ssd") & F.col("version").contains("LTS"))
+    usable = images.filter((F.col("instance_type") == IMAGE_TYPE) & F.col("version").contains(IMAGE_RELEASE))
     best = F.max(F.struct(F.col("version"), image.alias("image_id")))
     return usable.groupBy("region").agg(best.alias("_b")).select("region", "_b.*")
