@@ -29,7 +29,10 @@ def fits_broadcast(df: DataFrame, rows: int | None = None, size: int | None = No
     if rows <= 0:
         return False
     width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    # Rows are counted first, without their columns. Widths are taken before the limit, which brings its rows to one task.
+    if df.select(F.lit(1)).limit(rows + 1).count() > rows:
+        return False
+    seen = df.select(width.alias("_w")).limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("b")).first()
     return seen["n"] <= rows and (seen["b"] or 0) <= size
 
 
@@ -44,14 +47,17 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
 def checked_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
                  small_fits: bool | None = None) -> DataFrame:
-    """Broadcast ``small`` when its counted size allows it, otherwise use ``skew_join``."""
+    """Broadcast ``small`` when its counted size allows it, otherwise use ``skew_join``.
+
+    ``big`` is broadcast instead if it turns out to be the smaller one and the join is an inner one.
+    """
     if fits_broadcast(small) if small_fits is None else small_fits:
         return big.join(F.broadcast(small), list(on), how)
-    return skew_join(big, small, on, how)
+    return skew_join(big, small, on, how, either=True)
 
 
 def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
-              hot_rows: int | None = None) -> DataFrame:
+              hot_rows: int | None = None, either: bool = False) -> DataFrame:
     """Shuffle join that spreads every key of ``big`` with more than ``hot_rows`` rows.
 
     A hot key gets one salt per ``hot_rows`` rows; the matching rows of ``small`` are repeated once per
@@ -60,6 +66,10 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
     otherwise. There are at most ``rows(big) / hot_rows`` hot keys, counted once with a map-side combine; if
     even these are too many to broadcast, a key must have twice as many rows to count as hot, and so on. Rows whose key
     has a null match nothing: they skip the shuffle.
+
+    The plain join is a merge join by hint. Without it Spark broadcasts ``small`` by a guess made from the size of the
+    compressed file that it comes from, which can be a hundredth of what the driver would have to hold. With ``either`` a ``big``
+    that may be broadcast is, in an inner join.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     on, how = list(on), how.replace("_", "").lower()
@@ -68,19 +78,26 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
         no_null = no_null & F.col(f"`{c}`").isNotNull()
     whole, big = big, big.filter(no_null)
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = cut_lineage(counts.filter(F.col("_rows") > hot_rows))
-    while True:
-        salts = hot.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
-        if fits_broadcast(salts, HOT_KEYS):
-            break
-        hot_rows *= 2
-        hot = hot.filter(F.col("_rows") > hot_rows)
-    if hot.isEmpty():
+    seen = counts.agg(F.max("_rows").alias("top"), F.sum("_rows").alias("all")).first()
+    salts = None
+    if (seen["top"] or 0) > hot_rows:
+        hot = cut_lineage(counts.filter(F.col("_rows") > hot_rows))
+        while True:
+            salts = hot.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
+            if fits_broadcast(salts, HOT_KEYS):
+                break
+            hot_rows *= 2
+            hot = hot.filter(F.col("_rows") > hot_rows)
+        salts = None if hot.isEmpty() else salts
+    small = small.hint("merge")
+    if salts is None:
+        if either and how == "inner" and (seen["all"] or 0) <= BROADCAST_ROWS and fits_broadcast(big):
+            big = F.broadcast(big)
         joined = big.join(small, on, how)
     else:
         hot = F.broadcast(salts)
         salted = big.join(hot, on).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int"))
-        spread = small.join(hot, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+        spread = small.join(hot, on).hint("merge").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
         joined = big.join(hot, on, "left_anti").join(small, on, how).unionByName(
             cut_lineage(salted.drop("_salts")).join(spread.drop("_salts"), [*on, "_salt"], how).drop("_salt"))
     if how in ("left", "leftouter", "leftanti", "anti"):
