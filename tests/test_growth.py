@@ -34,3 +34,14 @@ def test_the_other_side_is_broadcast_if_it_is_the_smaller_one(spark, monkeypatch
     joined = skew.checked_join(few, many, ["k"])
     assert "BroadcastHashJoin [k" in plan(joined) and "BuildLeft" in plan(joined)
     assert joined.columns == ["k", "v", "w"] and joined.count() == 200
+
+
+def test_items_of_long_lists_take_their_texts_from_the_leaf(spark):
+    item = F.array(F.struct(F.lit("files").alias("key"), F.lit(2).cast("long").alias("idx")))
+    leaf = spark.createDataFrame([(1, "x.fa"), (2, "y.fa"), (3, "z.fa")], "rec_id long, value string").select(
+        "rec_id", item.alias("path"), F.lit("string").alias("kind"), "value")
+    matches = spark.createDataFrame([("x.fa", 4, "gs://a/x.fa"), ("x.fa", 7, "gs://b/x.fa"), ("y.fa", 5, "gs://a/y.fa")], "name string, ord long, uri string")
+    filled = QR.shown_filled(R.fill_references(QR.labelled(leaf), matches, F.lit(True)))
+    assert sorted(tuple(r) for r in filled.collect()) == [
+        (1, "files", "2.4", "string", "gs://a/x.fa", True), (1, "files", "2.7", "string", "gs://b/x.fa", True),
+        (2, "files", "2", "string", "gs://a/y.fa", True), (3, "files", "2", "string", "z.fa", False)]
