@@ -15,6 +15,7 @@ from stowline.functions import paths as P
 from stowline.operators import skew
 from stowline.operators.matching import prefix_join
 from stowline.operators.resolve import find_all
+from stowline.session import cut_lineage
 
 # How bundle kinds are named in a record, and the file names that mark a base file.
 RENAMED_KINDS = {
@@ -190,22 +191,24 @@ def resolve_relative(resources: DataFrame, catalog: DataFrame, lookup: Callable[
     """
     relative = F.col("value").startswith("../")
     rest = resources.filter(~relative | F.col("value").isNull())
-    asked = resources.filter(relative).withColumn("_path", P.normalize_remote(P.join_path("base_dir", "value")))
+    asked = cut_lineage(resources.filter(relative).withColumns(
+        {"_path": P.normalize_remote(P.join_path("base_dir", "value")), "_root": _parent()}))
     cols = resources.columns
-    rows = keyed(catalog)
-    wanted = asked.select("_path", _parent().alias("_root")).distinct()
-    listed = (
-        skew.checked_join(rows.withColumnRenamed("key", "_path"), wanted, ["_path"]).filter(F.col("_path").startswith(F.col("_root")))
-        .groupBy("_path", "_root").agg(F.min_by("uri", "ord").alias("_uri"))
-    )
-    exact = skew.checked_join(asked.withColumn("_root", _parent()), listed, ["_path", "_root"]).withColumn("value", F.col("_uri"))
+    # One row is left per key before any resource comes in.
+    first = keyed(catalog).groupBy(F.col("key").alias("_path")).agg(F.min_by("uri", "ord").alias("_uri"))
     if not lookup:
-        return rest.unionByName(exact.select(*cols))
+        return rest.unionByName(_below_root(asked, first).select(*cols))
+    names = cut_lineage(asked.select(F.col("_path").alias("name")).distinct())
     find = lookup if callable(lookup) else lambda names: find_all(catalog.select("ord", "uri"), names)
-    found = find(wanted.select(F.col("_path").alias("name"))).select(F.col("name").alias("_path"), F.col("uri").alias("_uri"))
+    found = cut_lineage(find(names).select(F.col("name").alias("_path"), F.col("uri").alias("_uri")))
     hit = skew.checked_join(asked, found, ["_path"]).withColumn("value", F.col("_uri")).select(*cols)
-    rest_exact = skew.checked_join(exact, found.select("_path").distinct(), ["_path"], "left_anti").select(*cols)
-    return rest.unionByName(hit).unionByName(rest_exact)
+    left = skew.checked_join(asked, found.select("_path").distinct(), ["_path"], "left_anti")
+    return rest.unionByName(hit).unionByName(_below_root(left, first).select(*cols))
+
+
+def _below_root(asked: DataFrame, first: DataFrame) -> DataFrame:
+    """``asked`` with the uri of the file at its path as value, if the path is below the root."""
+    return skew.checked_join(asked, first, ["_path"]).filter(F.col("_path").startswith(F.col("_root"))).withColumn("value", F.col("_uri"))
 
 
 # Text in an uploaded jar's name, and the program it stands for; the first rule wins.

@@ -55,3 +55,15 @@ def test_a_pattern_is_walked_once(spark, monkeypatch):
     found = R.expand_names(listing, asked.unionByName(asked.filter("req_id = 3")))
     assert found.count() == 62 and found.filter("req_id = 3").count() == 4
     assert seen == [1]
+
+
+def test_relative_resources_meet_one_row_per_file(spark, monkeypatch):
+    joins, real = [], skew.checked_join
+    monkeypatch.setattr(skew, "checked_join", lambda big, small, on, *a, **b: joins.append((big.columns, small)) or real(big, small, on, *a, **b))
+    listed = spark.createDataFrame([(i, f"s3://b/hg/v/{i % 3}.gz") for i in range(60)], "ord long, uri string")
+    asked = spark.createDataFrame([(i, "s3://b/hg/seq", "a", "b", f"../v/{i % 4}.gz") for i in range(40)],
+                                  "res_id long, base_dir string, k1 string, k2 string, value string")
+    found = RF.resolve_relative(asked, listed)
+    assert found.count() == 30
+    # Resources stay on the side that is not broadcast.
+    assert [("res_id" in big, small.count()) for big, small in joins] == [(True, 3)]
