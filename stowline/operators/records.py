@@ -287,13 +287,14 @@ def absolute_paths(leaves: DataFrame, listing: DataFrame, bases: list[str], igno
     wanted = marked.filter("_scope").select("value").distinct()
     tries = wanted.select("value", F.posexplode(F.array(*[F.lit(b) for b in bases])).alias("_rank", "_base")).select(
         "value", "_rank", P.normalize(P.join_path("_base", "value")).alias("_try"))
-    found = (
+    found = cut_lineage(
         skew.checked_join(known, tries, ["_try"]).groupBy("value").agg(F.min_by("_real", "_rank").alias("_abs"))
     )
     joined = skew.checked_join(marked, found, ["value"], "left")
     lists = joined.filter("_scope and _list and _item = 0 and _abs is not null").select(
         "rec_id", key.alias("_key")).distinct().withColumn("_open", F.lit(True))
-    full = skew.checked_join(joined.withColumn("_key", key), lists, ["rec_id", "_key"], "left")
+    # Only items of lists ask for them: other leaves have no key and stay where they are.
+    full = skew.checked_join(joined.withColumn("_key", F.when(F.col("_list"), key)), lists, ["rec_id", "_key"], "left")
     expand = F.col("_scope") & ~F.col("_list") & F.col("_abs").isNotNull()
     listed = F.col("_list") & F.coalesce("_open", F.lit(False)) & F.coalesce(scope, F.lit(False))
     return full.select(

@@ -46,9 +46,9 @@ def _k(mod: int) -> Column:
     return F.col("p_partkey") % mod
 
 
-def parts(t: Tables, wide: bool = False) -> DataFrame:
-    """Part rows with the pieces the other bindings are made of."""
-    return (t.wide_part if wide else t.part).select(
+def parts(t: Tables) -> DataFrame:
+    """Part rows with the pieces the other bindings are made of, over all cores: what is made of them costs more than the scan."""
+    return t.wide_part.select(
         F.col("p_partkey").alias("k"), _kind().alias("kind"), F.col("p_brand").alias("brand"),
         _base().alias("base"), _folder().alias("folder"), _path().alias("path"),
         F.col("p_size").cast("long").alias("psize"), F.col("p_name").alias("pname"),
@@ -66,7 +66,7 @@ def catalog(t: Tables) -> DataFrame:
 
 def objects(t: Tables) -> DataFrame:
     """``(ord, container, file_id, path)``: the same listing with ids split off."""
-    return t.part.select(
+    return t.wide_part.select(
         F.col("p_partkey").alias("ord"),
         F.concat(F.lit("b"), _k(3).cast("string")).alias("container"),
         F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("file_id"),
@@ -76,7 +76,7 @@ def objects(t: Tables) -> DataFrame:
 
 def keyed_listing(t: Tables) -> DataFrame:
     """``(ord, project, file_id, path)`` before the last-wins merge."""
-    return t.part.select(
+    return t.wide_part.select(
         F.col("p_partkey").alias("ord"),
         F.concat(F.lit("p"), _k(2).cast("string")).alias("project"),
         F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("file_id"),
@@ -104,7 +104,7 @@ def listing(t: Tables) -> DataFrame:
     """``(path)``: files found under local base folders."""
     base = F.element_at(
         F.array(*[F.lit(x) for x in ("/data/ref", "/data/in0", "/data/in1", "/data/ref")]), (_k(4) + 1).cast("int"))
-    return t.part.select(F.concat_ws("/", base, _path()).alias("path")).distinct()
+    return t.wide_part.select(F.concat_ws("/", base, _path()).alias("path")).distinct()
 
 
 def bases() -> Column:

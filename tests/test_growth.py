@@ -67,3 +67,23 @@ def test_relative_resources_meet_one_row_per_file(spark, monkeypatch):
     assert found.count() == 30
     # Resources stay on the side that is not broadcast.
     assert [("res_id" in big, small.count()) for big, small in joins] == [(True, 3)]
+
+
+def test_bindings_of_a_small_file_use_all_cores(spark, tmp_path):
+    spark.range(40).select(
+        F.col("id").alias("p_partkey"), F.lit("red bolt").alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("PROMO").alias("p_type"),
+        F.lit(3).alias("p_size")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    t = B.Tables(spark, str(tmp_path))
+    for made in (B.parts(t), B.objects(t), B.keyed_listing(t), B.requests(t), B.catalog(t)):
+        assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and made.count() == 40
+
+
+def test_only_list_items_ask_for_their_list(spark, monkeypatch):
+    joins, real = [], skew.checked_join
+    monkeypatch.setattr(skew, "checked_join", lambda big, small, on, *a, **b: joins.append((big, list(on))) or real(big, small, on, *a, **b))
+    sheet = spark.createDataFrame([(1, '{"a":"x.fa","files":["x.fa","y.fa"]}')], "rec_id long, json string")
+    there = spark.createDataFrame([("/d/x.fa",)], "path string")
+    out = RC.absolute_paths(RC.flatten(sheet), there, ["/d"], [])
+    assert sorted(r["value"] for r in out.collect()) == ["/d/x.fa", "/d/x.fa", "null"]
+    [asked] = [big for big, on in joins if "_key" in on]
+    assert asked.filter("_key is not null").count() == 2
