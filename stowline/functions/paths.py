@@ -67,9 +67,19 @@ def join_path(folder: Column | str, name: Column | str) -> Column:
     return F.replace(joined, F.lit("\0"), F.lit("/"))
 
 
+#: A path with an empty, ``.`` or ``..`` component; only the first may be empty.
+_UNEVEN = r"^$|//|/$|(?:^|/)\.\.?(?:/|$)"
+
+#: A name and the ``..`` that takes it back; an empty component behind them is left, as it might become a leading one.
+_BACK = r"(?<![^/])(?!\.\.?/)[^/]+/\.\./(?!/)"
+
+
 def normalize(path: Column | str) -> Column:
     """Collapse empty, ``.`` and ``..`` components of a path."""
-    return _with(_col(path), _normalized)
+    # Most paths are as they should be: only those with an empty, ``.`` or ``..`` component are walked.
+    # A name before ``..`` is taken out by one regex, and what is uneven after that goes step by step.
+    walked = lambda p: F.when(p.rlike(_UNEVEN), _normalized(p)).otherwise(p)
+    return _with(_col(path), lambda p: F.when(p.rlike(_UNEVEN), _with(F.regexp_replace(p, _BACK, ""), walked)).otherwise(p))
 
 
 def _normalized(path: Column) -> Column:

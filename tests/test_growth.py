@@ -87,3 +87,10 @@ def test_only_list_items_ask_for_their_list(spark, monkeypatch):
     assert sorted(r["value"] for r in out.collect()) == ["/d/x.fa", "/d/x.fa", "null"]
     [asked] = [big for big, on in joins if "_key" in on]
     assert asked.filter("_key is not null").count() == 2
+
+
+def test_even_paths_are_not_walked(spark):
+    paths = ["/a/b", "a", "/x/../y", "x/../y/./z", "/x/..//y", "//x/../y", "x/..//y", "a/../b/../c", "x/../..", "..x/../y", "/../x/../../y", "x/y/../../z", "x\n/../y", "./../a", "a/..", "///a/../b"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", P.normalize("p").alias("n"))
+    assert {r["p"]: r["n"] for r in df.collect()} == {p: os.path.normpath(p) for p in paths}
+    assert P._UNEVEN in df._jdf.queryExecution().toString()
