@@ -94,3 +94,20 @@ def test_even_paths_are_not_walked(spark):
     df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", P.normalize("p").alias("n"))
     assert {r["p"]: r["n"] for r in df.collect()} == {p: os.path.normpath(p) for p in paths}
     assert P._UNEVEN in df._jdf.queryExecution().toString()
+
+
+def test_counts_are_not_broadcast_by_a_guess(spark, monkeypatch):
+    names = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "name string")
+    matches = spark.createDataFrame([("a", 1), ("a", 2)], "name string, ord long")
+    monkeypatch.setattr(skew, "fits_broadcast", lambda df, *a: False)
+    counts = R.match_counts(names, matches)
+    assert "BroadcastHashJoin" not in plan(counts)
+    assert {r["name"]: r["n_matches"] for r in counts.collect()} == {"a": 2, "b": 0, None: 0}
+
+
+def test_ends_of_globs_are_cut_off_before_they_meet_texts(spark):
+    texts = spark.createDataFrame([("/d/abcd_x.fa",), ("/d/abcd_y.fa",)], "uri string")
+    met = M.glob_candidates(texts, "uri", spark.createDataFrame([("abcd*x.fa",)], "name string"))
+    assert met.columns == ["uri", "name"] and [r["uri"] for r in met.collect()] == ["/d/abcd_x.fa"]
+    conditions = [x for x in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Contains(" in x]
+    assert conditions and not any("split(" in x for x in conditions)
