@@ -111,3 +111,15 @@ def test_ends_of_globs_are_cut_off_before_they_meet_texts(spark):
     assert met.columns == ["uri", "name"] and [r["uri"] for r in met.collect()] == ["/d/abcd_x.fa"]
     conditions = [x for x in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Contains(" in x]
     assert conditions and not any("split(" in x for x in conditions)
+
+
+def test_literal_ends_are_tested_before_the_rest_of_a_glob(spark):
+    texts = spark.createDataFrame([("/d/abcd_x.fa",), ("/d/abcd_y.fa",), ("/d/abcd_z_x.fa",)], "uri string")
+    asked = spark.createDataFrame([("abcd*x.fa",), ("abcd_[x-z].f*a",)], "name string")
+    met = M.name_join(texts, "uri", asked).filter(F.col("name").isNotNull()).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    assert {r["name"]: r["n"] for r in met.collect()} == {"abcd*x.fa": 2, "abcd_[x-z].f*a": 2}
+    [condition] = [x for x in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Contains(" in x]
+    ends = max(condition.index("Contains("), condition.index("EndsWith("))
+    assert ends < condition.index("RLIKE(") and ends < condition.index("aggregate(")
+    # Parts and expressions of a glob are made once per glob.
+    assert "split(" not in condition and "regexp_replace(" not in condition
