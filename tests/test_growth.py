@@ -123,3 +123,17 @@ def test_literal_ends_are_tested_before_the_rest_of_a_glob(spark):
     assert ends < condition.index("RLIKE(") and ends < condition.index("aggregate(")
     # Parts and expressions of a glob are made once per glob.
     assert "split(" not in condition and "regexp_replace(" not in condition
+
+
+def test_filled_lists_do_without_paths(spark, monkeypatch):
+    monkeypatch.setattr(skew, "fits_broadcast", lambda df, *a: False)
+    leaf = RC.flatten(spark.createDataFrame([(1, '{"files":["x.fa","y.fa"]}'), (2, '{"a":{"b":"x.fa"}}')], "rec_id long, json string"))
+    matches = spark.createDataFrame([("x.fa", 4, "gs://a/x.fa"), ("x.fa", 7, "gs://b/x.fa")], "name string, ord long, uri string")
+    filled = QR.shown_filled(R.fill_references(QR.labelled(leaf), matches, F.lit(True)))
+    assert sorted(tuple(r) for r in filled.collect()) == [
+        (1, "files", "0.0.4", "string", "gs://a/x.fa", True), (1, "files", "0.0.7", "string", "gs://b/x.fa", True),
+        (1, "files", "0.1", "string", "y.fa", False),
+        (2, "a.b", "0.0.4", "string", "gs://a/x.fa", True), (2, "a.b", "0.0.7", "string", "gs://b/x.fa", True)]
+    # No step is added to a path, and no path is shuffled to the lists.
+    above = filled._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[0]
+    assert "path#" not in above and "element_at(" not in above
